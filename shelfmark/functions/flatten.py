@@ -99,7 +99,8 @@ def with_entries(
     """
     split = df.select(
         "*",
-        F.explode(
+        # outer: an inner explode infers a filter on its size, which evaluates it twice
+        F.explode_outer(
             F.transform(
                 F.array(entries(value, sep, max_depth)),
                 lambda all_: F.struct(

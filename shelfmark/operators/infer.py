@@ -37,11 +37,24 @@ ORDER = ("integer", "number", "boolean", "date", "datetime")
 
 
 def _kind(cell: Column) -> Column:
-    """The narrowest type a cell's text has the form of."""
-    out = F.lit("string")
-    for kind in reversed(ORDER):
-        out = F.when(cell.rlike(PATTERNS[kind]), kind).otherwise(out)
-    return out
+    """The narrowest type a cell's text has the form of.
+
+    The first character decides which patterns are tried at all.
+    """
+
+    def first_of(kinds: Sequence[str]) -> Column:
+        out = F.lit("string")
+        for kind in reversed(kinds):
+            out = F.when(cell.rlike(PATTERNS[kind]), kind).otherwise(out)
+        return out
+
+    start = F.left(cell, F.lit(1))
+    numeric = start.isin(*"0123456789+-.")
+    return (
+        F.when(numeric, first_of([k for k in ORDER if k != "boolean"]))
+        .when(start.isin(*"tTfF"), first_of(["boolean"]))
+        .otherwise("string")
+    )
 
 
 def infer_types(

@@ -81,8 +81,8 @@ def resolve_paths(catalog: DataFrame, folders: DataFrame, base: str) -> DataFram
         "source",
         "metadata_uri",
         F.coalesce("_local", F.lit(False)).alias("_local"),
-        F.posexplode("datapackage.resources").alias("pos", "_r"),
-    )
+        F.posexplode_outer("datapackage.resources").alias("pos", "_r"),
+    ).filter(F.col("pos").isNotNull())
     path = F.coalesce("_r.path", F.lit(""))
     kind = F.when(F.col("_local"), "local").when(F.col("source") == "git", "git").otherwise("direct")
     return found.select(

@@ -109,7 +109,8 @@ def search_fields(catalog: DataFrame, keys: Sequence[str] = SEARCH_KEYS, sep: st
         mine = F.try_variant_get(value, "$", "map<string,variant>")
         value = F.to_variant_object(F.map_concat(mine, F.coalesce(chosen, F.create_map().cast("map<string,variant>"))))
     found = with_entries(catalog.select("id", "pos", value.alias("_v")), F.col("_v"), "_e", sep)
-    return found.select("id", "pos", F.explode("_e").alias("_e")).select("id", "pos", "_e.key", "_e.value")
+    rows = found.select("id", "pos", F.posexplode_outer("_e").alias("_n", "_e"))
+    return rows.filter(F.col("_n").isNotNull()).select("id", "pos", "_e.key", "_e.value")
 
 
 def filter_report(report: DataFrame, level: str | None = "warning") -> DataFrame:

@@ -56,10 +56,16 @@ def search(
     limit: int | None = None,
     normalize: bool = True,
 ) -> DataFrame:
-    """Datasets that reach ``min_score``, best first, ties in catalog order."""
+    """Datasets that reach ``min_score``, best first, ties in catalog order.
+
+    A global sort reads its input twice, first to sample the range bounds. The hits,
+    few against the catalog, are therefore exchanged once before the sort, so that
+    the catalog is scored only once. A top-k needs no range sort.
+    """
     found = search_score(catalog, keywords, keys, normalize, min_score)
-    ranked = found.orderBy(F.desc("score"), "pos")
-    return ranked if limit is None else ranked.limit(limit)
+    if limit is None:
+        return found.repartition("pos").orderBy(F.desc("score"), "pos")
+    return found.orderBy(F.desc("score"), "pos").limit(limit)
 
 
 def result_count(results: DataFrame) -> DataFrame:

@@ -55,14 +55,24 @@ def normalize(df: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
+def _inner(exploded: DataFrame, pos: str) -> DataFrame:
+    """Drop the rows an outer explode adds for empty arrays.
+
+    An inner explode makes Catalyst infer a filter on the array's size; where the
+    array is parsed from a descriptor, that filter parses it once more.
+    """
+    return exploded.filter(F.col(pos).isNotNull())
+
+
 def explode_resources(catalog: DataFrame, outer: bool = False) -> DataFrame:
     """One row per resource, with its position; ``outer`` keeps datasets without any."""
-    explode = F.posexplode_outer if outer else F.posexplode
     out = catalog.select(
         F.col("id").alias("dataset_id"),
         *([F.col("first_pos")] if "first_pos" in catalog.columns else []),
-        explode("datapackage.resources").alias("pos", "resource"),
+        F.posexplode_outer("datapackage.resources").alias("pos", "resource"),
     )
+    if not outer:
+        out = _inner(out, "pos")
     pos = F.col("pos").cast("long")
     if "first_pos" in catalog.columns:
         pos = pos + F.col("first_pos")
@@ -71,16 +81,16 @@ def explode_resources(catalog: DataFrame, outer: bool = False) -> DataFrame:
 
 def explode_fields(catalog: DataFrame, outer: bool = False) -> DataFrame:
     """One row per declared field of every resource."""
-    explode = F.posexplode_outer if outer else F.posexplode
+    fields = explode_resources(catalog, outer).select(
+        "dataset_id",
+        F.col("pos").alias("resource_pos"),
+        F.col("name").alias("resource"),
+        F.posexplode_outer("schema.fields").alias("field_pos", "field"),
+    )
+    if not outer:
+        fields = _inner(fields, "field_pos")
     return (
-        explode_resources(catalog, outer)
-        .select(
-            "dataset_id",
-            F.col("pos").alias("resource_pos"),
-            F.col("name").alias("resource"),
-            explode("schema.fields").alias("field_pos", "field"),
-        )
-        .select(
+        fields.select(
             "dataset_id",
             "resource_pos",
             "resource",
@@ -104,7 +114,8 @@ def flatten(
     if dict(df.dtypes)[col] == "string":
         value = F.try_parse_json(value)
     found = with_entries(df.select(*id_cols, value.alias("_value")), F.col("_value"), "_entries", sep, max_depth)
-    return found.select(*id_cols, F.explode("_entries").alias("_e")).select(
+    rows = _inner(found.select(*id_cols, F.posexplode_outer("_entries").alias("_n", "_e")), "_n")
+    return rows.select(
         *id_cols, F.coalesce("_e.key", F.lit("")).alias("key"), F.col("_e.value").alias("value")
     )
 

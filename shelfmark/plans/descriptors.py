@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import infer, shape
 from ..operators.position import dense_position
 from .registry import query
-from .views import table, tag, text, whole
+from .views import spread, table, tag, text, whole
 
 LINEITEM = (
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -44,7 +44,7 @@ def _cells(table_name: str, columns: dict[str, str]) -> str:
 
 @query("infer_types", _votes(_cells("lineitem", {c: c for c in LINEITEM}), 0.75))
 def infer_types(spark, folder):
-    rows = table(spark, folder, "lineitem")
+    rows = spread(table(spark, folder, "lineitem"))
     return infer.infer_types(rows.select(*[text(c).alias(c) for c in LINEITEM]))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lookup, shape
 from .registry import query
-from .views import ORDER_RESOURCES, PARTS, order_documents, parts, table, with_raw
+from .views import ORDER_RESOURCES, PARTS, order_documents, parts, spread, table, with_raw
 
 
 def _orders(spark, folder):
@@ -39,7 +39,7 @@ def normalize_defaults(spark, folder):
         .when(e == "view", F.to_json(F.struct(*common)))
         .otherwise(F.to_json(F.struct(*common, F.array(e, user).alias("tags"))))
     )
-    raw = table(spark, folder, "events").select(
+    raw = spread(table(spark, folder, "events")).select(
         F.col("event_id").alias("pos"), F.parse_json(doc).alias("raw")
     )
     return shape.normalize(raw).select(
@@ -98,8 +98,8 @@ def _selected(**kwargs):
 _SELECT = f"WITH {ORDER_RESOURCES} SELECT dataset_id, pos, name, path, true AS found FROM order_resources WHERE "
 
 query("resource_by_idx", _SELECT + "pos = 1")(_selected(idx=1, path="ignored"))
-query("resource_by_path", _SELECT + "path = 'dataset/trace-12.json'")(
-    _selected(path="dataset/trace-12.json", name="ignored")
+query("resource_by_path", _SELECT + "path = 'dataset/notes-5.csv'")(
+    _selected(path="dataset/notes-5.csv", name="ignored")
 )
 query("resource_by_name", _SELECT + "name = 'notes'")(_selected(name="notes"))
 query(
@@ -174,7 +174,7 @@ def _flat(max_depth):
             F.col("event_id").cast("string"),
             F.lit('},null]}},"flag":true,"none":{},"empty":[]}'),
         )
-        events = table(spark, folder, "events").select(F.col("event_id").alias("id"), doc.alias("doc"))
+        events = spread(table(spark, folder, "events")).select(F.col("event_id").alias("id"), doc.alias("doc"))
         return shape.flatten(events, "doc", max_depth=max_depth)
 
     return run

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import token_set_ratio
 from ..operators import lookup, search
 from .registry import query
-from .views import DOCS, PARTS, docs, parts, spread, table
+from .views import DOCS, PARTS, docs, parts, table
 
 # Similarity in SQL, over "given": (a, b) texts; gives "ratio": (a, b, score).
 # Word sets are made once per distinct text. The common subsequence is a recursion
@@ -129,7 +129,7 @@ def search_by_keys(spark, folder):
 
 @query("search_result_count", PART_SEARCH + "SELECT count(*) AS n_results FROM scored WHERE score >= 50")
 def search_result_count(spark, folder):
-    return search.result_count(search.search(parts(spark, folder), PART_WORDS))
+    return search.result_count(search.search_score(parts(spark, folder), PART_WORDS, min_score=50))
 
 
 DOC_FIELDS = """
@@ -148,7 +148,7 @@ DOC_WORDS = ["und der tion", "french src3", "thand"]
 )
 def document_search(spark, folder):
     """Whole texts as descriptions. The SQL twin, too, skips pairs that cannot reach 50."""
-    return search.search(spread(docs(spark, folder)), DOC_WORDS).select("pos", "id", "score")
+    return search.search(docs(spark, folder), DOC_WORDS).select("pos", "id", "score")
 
 
 NEIGHBOURS = """

@@ -17,7 +17,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer splits than cores, evened out; larger scans stay as they are.
 
-    For per-row work that costs more than moving the row, such as scoring long texts.
+    For per-row work that costs more than moving the row, such as scoring texts or
+    parsing descriptors.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
@@ -55,7 +56,7 @@ parts AS (
 
 
 def parts(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "part")
+    p = spread(table(spark, folder, "part"))
     repository = F.concat(F.lower("p_type"), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("-")))
     late = F.col("p_size") > 25
     return p.select(
@@ -100,7 +101,7 @@ docs AS (
 
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         F.col("doc_id").alias("pos"),
         F.concat_ws("-", "source", text("doc_id")).alias("id"),
         F.concat_ws(" ", "lang", F.lit("text"), "source").alias("name"),
@@ -177,7 +178,7 @@ def order_documents(spark: SparkSession, folder: str) -> DataFrame:
             F.slice(resources, F.lit(1), n).alias("resources"),
         ).alias("datapackage"),
     )
-    return table(spark, folder, "orders").select(
+    return spread(table(spark, folder, "orders")).select(
         F.col("o_orderkey").alias("pos"), F.parse_json(F.to_json(doc)).alias("raw")
     )
 

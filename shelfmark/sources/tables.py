@@ -110,7 +110,7 @@ def _read_commented(
     before = rf'^((?:[^"{mark}]|"[^"]*")*){mark}.*$'
     if charset in ("UTF-8", "ISO-8859-1", "US-ASCII"):
         raw = spark.read.text(location).select(
-            F.decode(F.col("value").cast("binary"), F.lit(charset)).alias("value")
+            F.decode(F.col("value").cast("binary"), charset).alias("value")
         )
     else:
         # one column: a separator that cannot occur in the text
