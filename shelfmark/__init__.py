@@ -10,6 +10,7 @@ from .operators.infer import (
     csv_fields,
     infer_resources,
     infer_types,
+    resource_failures,
 )
 from .operators.locate import (
     legacy_urls,

@@ -32,8 +32,15 @@ PATTERNS = {
     ),
 }
 
-# Types from narrow to wide.
+# Types from narrow to wide, and the forms that count for each.
 ORDER = ("integer", "number", "boolean", "date", "datetime")
+FORMS = {
+    "integer": ("integer",),
+    "number": ("integer", "number"),
+    "boolean": ("boolean",),
+    "date": ("date",),
+    "datetime": ("datetime",),
+}
 
 
 def _kind(cell: Column) -> Column:
@@ -57,6 +64,30 @@ def _kind(cell: Column) -> Column:
     )
 
 
+def _votes() -> list[Column]:
+    """Counts over the column ``kind``, null for missing cells."""
+    kind = F.col("kind")
+    return [
+        F.count("*").alias("n"),
+        F.count_if(kind.isNull()).alias("n_missing"),
+        *[F.count_if(kind.isin(*FORMS[k])).alias(f"n_{k}") for k in ORDER],
+    ]
+
+
+def _elected(confidence: float) -> Column:
+    """The narrowest type with a sufficient share of the non-missing cells."""
+    need = F.lit(confidence) * (F.col("n") - F.col("n_missing"))
+    chosen = F.lit("string")
+    for kind in reversed(ORDER):
+        votes = F.col(f"n_{kind}")
+        chosen = F.when((votes >= need) & (votes > 0), kind).otherwise(chosen)
+    return chosen
+
+
+def _cell_kind(cell: Column, missing: Sequence[str]) -> Column:
+    return F.when(~(cell.isNull() | cell.isin(list(missing))), _kind(cell))
+
+
 def infer_types(
     df: DataFrame, confidence: float = 0.75, missing: Sequence[str] = ("",)
 ) -> DataFrame:
@@ -69,21 +100,8 @@ def infer_types(
     cells = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]).unpivot(
         [], [F.col(f"`{c}`") for c in df.columns], "column", "cell"
     )
-    cell = F.col("cell")
-    gone = cell.isNull() | cell.isin(list(missing))
-    kinds = cells.select("column", F.when(~gone, _kind(cell)).alias("kind"))
-    votes = kinds.groupBy("column").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("kind").isNull()).alias("n_missing"),
-        F.count_if(F.col("kind") == "integer").alias("n_integer"),
-        F.count_if(F.col("kind").isin("integer", "number")).alias("n_number"),
-        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ORDER[2:]],
-    )
-    need = F.lit(confidence) * (F.col("n") - F.col("n_missing"))
-    chosen = F.lit("string")
-    for kind in reversed(ORDER):
-        chosen = F.when((F.col(f"n_{kind}") >= need) & (F.col(f"n_{kind}") > 0), kind).otherwise(chosen)
-    return votes.withColumn("type", chosen)
+    kinds = cells.select("column", _cell_kind(F.col("cell"), missing).alias("kind"))
+    return kinds.groupBy("column").agg(*_votes()).withColumn("type", _elected(confidence))
 
 
 def _clean(name: str, missing: Sequence[str]) -> Column:
@@ -217,14 +235,12 @@ def infer_encodings(lines: DataFrame) -> DataFrame:
     utf-8 if every line is valid; else windows-1252 if a byte 0x80-0x9F occurs; else
     iso-8859-1. Lines are reduced per task first, so a file of any size is split.
     """
-    flags = lines.select(
-        "uri",
-        F.is_valid_utf8("value").alias("valid"),
-        F.hex(F.col("value").cast("binary")).rlike("^(?:..)*[89].").alias("c1"),
-    )
+    valid = F.is_valid_utf8("value")
+    c1 = F.hex(F.col("value").cast("binary")).rlike("^(?:..)*[89].")
+    flags = lines.select("uri", valid.alias("valid"), F.when(~valid, c1).otherwise(False).alias("c1"))
     return (
         flags.groupBy("uri")
-        .agg(F.bool_and("valid").alias("valid"), F.bool_or(~F.col("valid") & F.col("c1")).alias("c1"))
+        .agg(F.bool_and("valid").alias("valid"), F.bool_or("c1").alias("c1"))
         .select(
             "uri",
             F.when(F.col("valid"), "utf-8").when(F.col("c1"), "windows-1252").otherwise("iso-8859-1").alias("encoding"),
@@ -232,21 +248,19 @@ def infer_encodings(lines: DataFrame) -> DataFrame:
     )
 
 
-def infer_resources(
+def column_votes(
     spark: SparkSession,
     root: str,
-    dataset_depth: int = 1,
     glob: str = "*.csv",
-    confidence: float = 0.75,
     missing: Sequence[str] = ("",),
     multi_line: bool = False,
 ) -> DataFrame:
-    """Resource rows (dataset_id, pos, name, path, ..., schema) of all CSV files below ``root``.
+    """(path, encoding, field_pos, field, n, n_missing, votes) of every column of every CSV file.
 
-    The first ``dataset_depth`` segments of a path are the dataset's folder, the rest
-    is the resource's path. Encoding and column types are inferred from all lines;
-    files with different headers are read in one job. ``multi_line`` is for files with
-    quoted line breaks.
+    One job for files with different headers: they are read by column number, under
+    the widest header, and as ISO-8859-1, since the type patterns are ASCII. Cells are
+    counted by (file, column) before the shuffle, however large a file is. The header
+    is one line of its file: its cell is taken out of the counts again.
     """
     files = list_files(spark, root, glob=glob).select("path", "uri")
     lines = spark.read.text(root, recursiveFileLookup=True, pathGlobFilter=glob).select(
@@ -255,27 +269,83 @@ def infer_resources(
     encoded = files.join(infer_encodings(lines), "uri", "left").withColumn(
         "encoding", F.coalesce("encoding", F.lit("utf-8"))
     )
-    headers = encoded.join(csv_headers(encoded), "path")
-    types = _types_per_file(spark, root, glob, headers, confidence, missing, multi_line)
+    headers = encoded.join(csv_headers(encoded), "path").select(
+        "path", "uri", "encoding", F.posexplode("names").alias("field_pos", "field")
+    )
+    # the schema of a read is fixed on the driver: one number
+    width = (headers.agg(F.max("field_pos")).first()[0] or 0) + 1
+    table = spark.read.csv(
+        root,
+        schema=", ".join(f"c{i} string" for i in range(width)),
+        recursiveFileLookup=True,
+        pathGlobFilter=glob,
+        encoding="ISO-8859-1",
+        quote='"',
+        escape='"',
+        multiLine=multi_line,
+    )
+    cells = table.select(
+        F.col("_metadata.file_path").alias("uri"),
+        F.posexplode(F.array(*[F.col(f"c{i}") for i in range(width)])).alias("field_pos", "cell"),
+    )
+    votes = (
+        cells.select("uri", "field_pos", _cell_kind(F.col("cell"), missing).alias("kind"))
+        .groupBy("uri", "field_pos")
+        .agg(*_votes())
+    )
+    head = _cell_kind(F.col("field"), missing)
+
+    def without_header(name: str, is_head: Column) -> Column:
+        return (F.col(name) - F.coalesce(is_head, F.lit(False)).cast("int")).alias(name)
+
+    return headers.join(votes, ["uri", "field_pos"]).select(
+        "path",
+        "encoding",
+        F.col("field_pos").cast("long").alias("field_pos"),
+        "field",
+        (F.col("n") - 1).alias("n"),
+        without_header("n_missing", head.isNull()),
+        *[without_header(f"n_{k}", head.isin(*FORMS[k])) for k in ORDER],
+    )
+
+
+def infer_resources(
+    spark: SparkSession,
+    root: str,
+    dataset_depth: int = 1,
+    glob: str = "*.csv",
+    confidence: float = 0.75,
+    missing: Sequence[str] = ("",),
+    multi_line: bool = False,
+) -> DataFrame:
+    """Resource rows (dataset_id, pos, name, path, ..., schema) of all CSV files below ``root``.
+
+    The first ``dataset_depth`` segments of a path are the dataset's folder, the rest
+    is the resource's path. Encoding and column types are inferred from all lines.
+    ``multi_line`` is for files with quoted line breaks.
+    """
+    votes = column_votes(spark, root, glob, missing, multi_line)
+    field = F.struct(
+        "field_pos",
+        F.col("field").alias("name"),
+        _elected(confidence).alias("type"),
+        F.lit("default").alias("format"),
+    )
+    # the fields of one file: as many as its header has
+    per_file = votes.groupBy("path", "encoding").agg(F.array_sort(F.collect_list(field)).alias("_fields"))
     steps = F.split("path", "/")
-    folder = F.array_join(F.slice(steps, 1, dataset_depth), "/")
-    rest = F.array_join(F.slice(steps, dataset_depth + 1, F.size(steps)), "/")
-    rows = headers.join(types, "uri", "left").select(
-        folder.alias("dataset_id"),
+    rows = per_file.select(
+        F.array_join(F.slice(steps, 1, dataset_depth), "/").alias("dataset_id"),
         F.regexp_replace(F.element_at(steps, -1), r"\.[^.]*$", "").alias("name"),
-        rest.alias("path"),
+        F.array_join(F.slice(steps, dataset_depth + 1, F.size(steps)), "/").alias("path"),
         F.lit("csv").alias("format"),
         F.lit("text/csv").alias("mediatype"),
         "encoding",
         F.lit("tabular-data-resource").alias("profile"),
         F.struct(
             F.transform(
-                "names",
-                lambda n, i: F.struct(
-                    n.alias("name"),
-                    F.coalesce(F.try_element_at("types", i), F.lit("string")).alias("type"),
-                    F.lit("default").alias("format"),
-                ),
+                "_fields",
+                lambda f: F.struct(f["name"].alias("name"), f["type"].alias("type"), f["format"].alias("format")),
             ).alias("fields"),
             F.array(*[F.lit(m) for m in missing]).alias("missingValues"),
         ).alias("schema"),
@@ -285,60 +355,38 @@ def infer_resources(
     )
 
 
-def _types_per_file(
+def resource_failures(
     spark: SparkSession,
     root: str,
-    glob: str,
-    headers: DataFrame,
-    confidence: float,
-    missing: Sequence[str],
-    multi_line: bool,
+    declared: DataFrame,
+    dataset_depth: int = 1,
+    glob: str = "*.csv",
+    missing: Sequence[str] = ("",),
+    multi_line: bool = False,
 ) -> DataFrame:
-    """(uri, types): map of column number to type of every file, from all its lines.
+    """Cells that do not have the form of their declared type, over all resources at once.
 
-    Files are read by column number, under the widest header, and as ISO-8859-1: the
-    type patterns are ASCII, so the charset does not matter here. Cells are counted by
-    (file, column) before the shuffle. The header of a file is one of its lines: its
-    cell is taken out of the counts again.
+    ``declared`` has (dataset_id, path, field, type). Gives these with n, n_missing and
+    n_failed; types without a form of their own (string, any, ...) never fail.
     """
-    width = headers.agg(F.max(F.size("names"))).first()[0] or 1
-    table = spark.read.csv(
-        root,
-        schema=", ".join(f"c{i} string" for i in range(width)),
-        recursiveFileLookup=True,
-        pathGlobFilter=glob,
-        encoding="ISO-8859-1",
-        quote='"',
-        escape='"',
-        multiLine=multi_line,
-    )
-    cells = table.select(
-        F.col("_metadata.file_path").alias("uri"),
-        F.posexplode(F.array(*[F.col(f"c{i}") for i in range(width)])).alias("column", "cell"),
-    )
-    cell = F.col("cell")
-    gone = cell.isNull() | cell.isin(list(missing))
-    kinds = cells.select("uri", "column", F.when(~gone, _kind(cell)).alias("kind"))
-    votes = kinds.groupBy("uri", "column").agg(
-        F.count("kind").alias("n"),
-        F.count_if(F.col("kind") == "integer").alias("n_integer"),
-        F.count_if(F.col("kind").isin("integer", "number")).alias("n_number"),
-        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ORDER[2:]],
-    )
-    head = headers.select("uri", F.posexplode("names").alias("column", "_name")).select(
-        "uri", "column", F.when((F.col("_name") != ""), _kind(F.col("_name"))).alias("_head")
+    steps = F.split("path", "/")
+    votes = column_votes(spark, root, glob, missing, multi_line).withColumns(
+        {
+            "dataset_id": F.array_join(F.slice(steps, 1, dataset_depth), "/"),
+            "path": F.array_join(F.slice(steps, dataset_depth + 1, F.size(steps)), "/"),
+        }
     )
-    joined = votes.join(head, ["uri", "column"])
-    n = F.col("n") - F.col("_head").isNotNull().cast("int")
-    chosen = F.lit("string")
-    for kind in reversed(ORDER):
-        covered = [kind] if kind != "number" else ["integer", "number"]
-        count = F.col(f"n_{kind}") - F.coalesce(F.col("_head").isin(covered), F.lit(False)).cast("int")
-        chosen = F.when((count >= F.lit(confidence) * n) & (count > 0), kind).otherwise(chosen)
-    return (
-        joined.select("uri", "column", chosen.alias("type"))
-        .groupBy("uri")
-        .agg(F.map_from_entries(F.collect_list(F.struct("column", "type"))).alias("types"))
+    fits = F.col("n") - F.col("n_missing")
+    for kind in ORDER:
+        fits = F.when(F.col("type") == kind, F.col(f"n_{kind}")).otherwise(fits)
+    return declared.join(votes, ["dataset_id", "path", "field"]).select(
+        "dataset_id",
+        "path",
+        "field",
+        "type",
+        "n",
+        "n_missing",
+        (F.col("n") - F.col("n_missing") - fits).alias("n_failed"),
     )
 
 

@@ -27,7 +27,7 @@ def ignored_names(descriptor: str = "dataset.json") -> tuple[str, ...]:
 def by_ids(catalog: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
     """Rows whose id is one of ``ids``: a list, or a table with a column ``id``."""
     if isinstance(ids, DataFrame):
-        return catalog.join(ids.select("id"), "id", "left_semi")
+        return catalog.join(ids.select("id").distinct(), "id", "left_semi")
     return catalog.filter(F.col("id").isin(list(ids)))
 
 
@@ -89,7 +89,7 @@ def search_values(catalog: DataFrame, keys: Sequence[str] = SEARCH_KEYS) -> tupl
         top = F.try_variant_get(F.col("raw"), "$", "map<string,variant>")
         chosen = F.map_filter(top, lambda k, v: k.isin(other))
         nested = F.to_variant_object(chosen)
-        catalog = with_entries(catalog, nested, "_texts")
+        catalog = with_entries(catalog, nested, "_texts", max_depth=4)
         parts.append(F.coalesce(F.transform("_texts", lambda e: e.value), F.array().cast("array<string>")))
     if not parts:
         return catalog, F.array().cast("array<string>")
@@ -108,7 +108,9 @@ def search_fields(catalog: DataFrame, keys: Sequence[str] = SEARCH_KEYS, sep: st
         chosen = F.map_filter(top, lambda k, v: k.isin(other))
         mine = F.try_variant_get(value, "$", "map<string,variant>")
         value = F.to_variant_object(F.map_concat(mine, F.coalesce(chosen, F.create_map().cast("map<string,variant>"))))
-    found = with_entries(catalog.select("id", "pos", value.alias("_v")), F.col("_v"), "_e", sep)
+    found = with_entries(
+        catalog.select("id", "pos", value.alias("_v")), F.col("_v"), "_e", sep, max_depth=4
+    )
     rows = found.select("id", "pos", F.posexplode_outer("_e").alias("_n", "_e"))
     return rows.filter(F.col("_n").isNotNull()).select("id", "pos", "_e.key", "_e.value")
 

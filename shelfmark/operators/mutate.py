@@ -31,7 +31,7 @@ def add(catalog: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
 def remove(catalog: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
     """The catalog without these ids; absent ids change nothing, files stay."""
     if isinstance(ids, DataFrame):
-        return catalog.join(ids.select("id"), "id", "left_anti")
+        return catalog.join(ids.select("id").distinct(), "id", "left_anti")
     return catalog.filter(~F.coalesce(F.col("id").isin(list(ids)), F.lit(False)))
 
 

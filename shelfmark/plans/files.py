@@ -233,6 +233,42 @@ def inferred_resources(spark, folder):
     return found.select("dataset_id", "encoding", F.array_join(fields, "|").alias("fields")).distinct()
 
 
+@query(
+    "resource_failures",
+    """
+SELECT 'customer' AS dataset_id, 'c_acctbal' AS field, 'integer' AS type, count(*) AS n, 0 AS n_missing,
+       count(*) AS n_failed FROM customer
+UNION ALL SELECT 'customer', 'c_custkey', 'number', count(*), 0, 0 FROM customer
+UNION ALL SELECT 'customer', 'c_name', 'string', count(*), 0, 0 FROM customer
+UNION ALL SELECT 'supplier', 's_name', 'boolean', count(*), 0, count(*) FROM supplier
+UNION ALL SELECT 'supplier', 's_nationkey', 'integer', count(*), 0, 0 FROM supplier""",
+)
+def failures_of_resources(spark, folder):
+    """All files of two datasets against declared types that partly do not fit."""
+    root = _csv_tree(spark, folder)
+    kinds = {
+        "customer": {"c_acctbal": "integer", "c_custkey": "number", "c_name": "string"},
+        "supplier": {"s_name": "boolean", "s_nationkey": "integer"},
+    }
+    wrong = F.create_map(*[F.lit(x) for k in kinds.values() for kv in k.items() for x in kv])
+    files = list_files(spark, root, glob="*.csv")
+    steps = F.split("path", "/")
+    declared = (
+        infer.csv_fields(files)
+        .select(
+            steps[0].alias("dataset_id"),
+            F.array_join(F.slice(steps, 2, 100), "/").alias("path"),
+            F.explode("fields.name").alias("field"),
+        )
+        .withColumn("type", wrong[F.col("field")])
+        .filter(F.col("type").isNotNull())
+    )
+    found = infer.resource_failures(spark, root, declared)
+    return found.groupBy("dataset_id", "field", "type").agg(
+        *[F.sum(c).alias(c) for c in ("n", "n_missing", "n_failed")]
+    )
+
+
 @query(
     "materialize",
     """SELECT 'customer' AS name, c_custkey AS key, c_acctbal AS balance FROM customer

@@ -17,6 +17,10 @@ SETTINGS = {
 }
 
 
+# the folder of local sessions without a setting, made on first use
+_local: dict[str, str] = {}
+
+
 def session(app: str = "shelfmark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with this package's settings; ``conf`` uses ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -33,14 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     A local session without that setting gets a temporary folder of its own; on a
     cluster a missing setting is an error, as a machine-local folder would be wrong.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _local.get("dir")
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="shelfmark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    _local["dir"] = tempfile.mkdtemp(prefix="shelfmark-")
+    return _local["dir"]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

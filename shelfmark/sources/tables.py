@@ -65,12 +65,17 @@ def _finish(reader, schema: T.StructType, keep_corrupt: bool, location: str, cod
     if keep_corrupt:
         schema = T.StructType([*schema, T.StructField(CORRUPT, T.StringType())])
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-    return _keep_names(recode_strings(reader.schema(schema).csv(location), codec), schema)
-
-
-def _keep_names(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Declared names are text already, not bytes of the file."""
-    return df.toDF(*schema.names)
+    # declared names are text already, not bytes of the file
+    df = recode_strings(reader.schema(schema).csv(location), codec).toDF(*schema.names)
+    # a quoted empty cell is missing, too
+    return df.select(
+        *[
+            F.nullif(F.col(f"`{f.name}`"), F.lit("")).alias(f.name)
+            if isinstance(f.dataType, T.StringType)
+            else F.col(f"`{f.name}`")
+            for f in schema
+        ]
+    )
 
 
 def read_delimited(
