@@ -192,6 +192,11 @@ def _best_open(todo: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
+# Marked so that a filter on the score stays above the projection. Pushed below, the
+# function would run a second time for the filter.
+_best_open_once = _best_open.asNondeterministic()
+
+
 def with_score(
     df: DataFrame,
     sets_a: Column,
@@ -208,7 +213,7 @@ def with_score(
     plan = df.select("*", F.explode_outer(score_plan(sets_a, sets_b, min_score)).alias("_plan"))
     if min_score is not None:
         plan = plan.filter((F.col("_plan.lo") >= min_score) | (F.size("_plan.todo") > 0))
-    scored = plan.withColumn(name, F.greatest(F.col("_plan.lo"), _best_open(F.col("_plan.todo"))))
+    scored = plan.withColumn(name, F.greatest(F.col("_plan.lo"), _best_open_once(F.col("_plan.todo"))))
     if min_score is not None:
         scored = scored.filter(F.col(name) >= min_score)
     return scored.drop("_plan").withColumn(name, F.round(name, 4))

@@ -48,8 +48,11 @@ def to_ascii(col: Column) -> Column:
 
 
 def slug(col: Column) -> Column:
-    """Page name of an id: ascii, lower case, words joined by single dashes."""
-    text = F.lower(to_ascii(col))
+    """Page name of an id: ascii, lower case, words joined by single dashes.
+
+    Never null, so that a join on it needs no null filter that evaluates it again.
+    """
+    text = F.lower(to_ascii(F.coalesce(col, F.lit(""))))
     text = F.regexp_replace(text, r"(?<=\d),(?=\d)", "")
     return F.btrim(F.regexp_replace(text, r"[^a-z0-9]+", "-"), F.lit("-"))
 

@@ -8,14 +8,13 @@ import sys
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, metadata_uri
 from ..schema import RESOURCE, spark_type
-from ..sources.files import list_files
+from ..sources.files import file_system, list_files, relative_path
 from .position import dense_position
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -160,21 +159,13 @@ def cast_failures(
     )
 
 
-def _open_uri(uri: str) -> pa.NativeFile:
-    """A file by the URI Spark lists it under."""
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = "file://" + uri.removeprefix("file:")
-    scheme, sep, rest = uri.partition("://")
-    system, path = fs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + sep + rest)
-    return system.open_input_stream(path)
-
-
 def _first_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The header of each file. Only the head of a file is fetched, however long it is."""
     for batch in batches:
         names = []
         for uri, encoding in zip(batch["uri"].to_pylist(), batch["encoding"].to_pylist()):
-            with _open_uri(uri) as raw, io.TextIOWrapper(
+            system, path = file_system(uri)
+            with system.open_input_stream(path) as raw, io.TextIOWrapper(
                 io.BufferedReader(raw), encoding=encoding, errors="replace", newline=""
             ) as text:
                 names.append(next(csv.reader(text), []))
@@ -230,20 +221,23 @@ def build_leaves(files: DataFrame, fields: DataFrame, user: DataFrame | None = N
 
 
 def infer_encodings(lines: DataFrame) -> DataFrame:
-    """(uri, encoding) from the lines of text files (uri, value).
+    """(path, encoding) from the lines of text files (path, value).
 
     utf-8 if every line is valid; else windows-1252 if a byte 0x80-0x9F occurs; else
     iso-8859-1. Lines are reduced per task first, so a file of any size is split.
     """
     valid = F.is_valid_utf8("value")
     c1 = F.hex(F.col("value").cast("binary")).rlike("^(?:..)*[89].")
-    flags = lines.select("uri", valid.alias("valid"), F.when(~valid, c1).otherwise(False).alias("c1"))
+    flags = lines.select("path", valid.alias("valid"), F.when(~valid, c1).otherwise(False).alias("c1"))
     return (
-        flags.groupBy("uri")
+        flags.groupBy("path")
         .agg(F.bool_and("valid").alias("valid"), F.bool_or("c1").alias("c1"))
         .select(
-            "uri",
-            F.when(F.col("valid"), "utf-8").when(F.col("c1"), "windows-1252").otherwise("iso-8859-1").alias("encoding"),
+            "path",
+            F.when(F.col("valid"), "utf-8")
+            .when(F.col("c1"), "windows-1252")
+            .otherwise("iso-8859-1")
+            .alias("encoding"),
         )
     )
 
@@ -263,14 +257,16 @@ def column_votes(
     is one line of its file: its cell is taken out of the counts again.
     """
     files = list_files(spark, root, glob=glob).select("path", "uri")
+    # hidden folders are not part of a dataset
+    files = files.filter(~F.col("path").rlike(r"(^|/)\."))
     lines = spark.read.text(root, recursiveFileLookup=True, pathGlobFilter=glob).select(
-        F.col("_metadata.file_path").alias("uri"), "value"
+        relative_path(root).alias("path"), "value"
     )
-    encoded = files.join(infer_encodings(lines), "uri", "left").withColumn(
+    encoded = files.join(infer_encodings(lines), "path", "left").withColumn(
         "encoding", F.coalesce("encoding", F.lit("utf-8"))
     )
-    headers = encoded.join(csv_headers(encoded), "path").select(
-        "path", "uri", "encoding", F.posexplode("names").alias("field_pos", "field")
+    headers = encoded.select("path", "encoding").join(csv_headers(encoded), "path").select(
+        "path", "encoding", F.posexplode_outer("names").alias("field_pos", "field")
     )
     # the schema of a read is fixed on the driver: one number
     width = (headers.agg(F.max("field_pos")).first()[0] or 0) + 1
@@ -285,25 +281,26 @@ def column_votes(
         multiLine=multi_line,
     )
     cells = table.select(
-        F.col("_metadata.file_path").alias("uri"),
+        relative_path(root).alias("path"),
         F.posexplode(F.array(*[F.col(f"c{i}") for i in range(width)])).alias("field_pos", "cell"),
     )
     votes = (
-        cells.select("uri", "field_pos", _cell_kind(F.col("cell"), missing).alias("kind"))
-        .groupBy("uri", "field_pos")
+        cells.select("path", "field_pos", _cell_kind(F.col("cell"), missing).alias("kind"))
+        .groupBy("path", "field_pos")
         .agg(*_votes())
     )
     head = _cell_kind(F.col("field"), missing)
 
     def without_header(name: str, is_head: Column) -> Column:
-        return (F.col(name) - F.coalesce(is_head, F.lit(False)).cast("int")).alias(name)
+        count = F.col(name) - F.coalesce(is_head, F.lit(False)).cast("int")
+        return F.greatest(F.coalesce(count, F.lit(0)), F.lit(0)).alias(name)
 
-    return headers.join(votes, ["uri", "field_pos"]).select(
+    return headers.join(votes, ["path", "field_pos"], "left").select(
         "path",
         "encoding",
         F.col("field_pos").cast("long").alias("field_pos"),
         "field",
-        (F.col("n") - 1).alias("n"),
+        without_header("n", F.lit(True)),
         without_header("n_missing", head.isNull()),
         *[without_header(f"n_{k}", head.isin(*FORMS[k])) for k in ORDER],
     )
@@ -332,7 +329,9 @@ def infer_resources(
         F.lit("default").alias("format"),
     )
     # the fields of one file: as many as its header has
-    per_file = votes.groupBy("path", "encoding").agg(F.array_sort(F.collect_list(field)).alias("_fields"))
+    per_file = votes.groupBy("path", "encoding").agg(
+        F.array_sort(F.collect_list(F.when(F.col("field_pos").isNotNull(), field))).alias("_fields")
+    )
     steps = F.split("path", "/")
     rows = per_file.select(
         F.array_join(F.slice(steps, 1, dataset_depth), "/").alias("dataset_id"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, list_block, metadata_uri, parent_uri, slug
+from .joins import has, lookup, row_key
 
 # Hosts whose raw files can be fetched, and from where.
 RAW_HOSTS = {"github.com": "https://raw.githubusercontent.com"}
@@ -75,12 +76,11 @@ def resolve_paths(catalog: DataFrame, folders: DataFrame, base: str) -> DataFram
     to the metadata for git, else the path as declared. The join runs on datasets,
     before their resources are unfolded, so a dataset with many files is one row.
     """
-    local = folders.select(F.col("id"), F.lit(True).alias("_local")).distinct()
-    found = catalog.join(local, "id", "left").select(
+    found = has(catalog, folders, "id", row_key(catalog), "_local").select(
         F.col("id").alias("dataset_id"),
         "source",
         "metadata_uri",
-        F.coalesce("_local", F.lit(False)).alias("_local"),
+        "_local",
         F.posexplode_outer("datapackage.resources").alias("pos", "_r"),
     ).filter(F.col("pos").isNotNull())
     path = F.coalesce("_r.path", F.lit(""))
@@ -122,13 +122,12 @@ def slug_collisions(catalog: DataFrame) -> DataFrame:
 def with_collisions(catalog: DataFrame) -> DataFrame:
     """(id, slug, n): every dataset with the number of datasets that share its slug.
 
-    Only colliding slugs are joined back; all others keep n = 1. A slug shared by a
-    large part of the table makes one hot join key, which AQE splits.
+    Only colliding slugs are joined back; all others keep n = 1.
     """
-    return (
-        slug_index(catalog)
-        .join(slug_collisions(catalog), "slug", "left")
-        .select("id", "slug", F.coalesce("n", F.lit(1)).cast("long").alias("n"))
+    spread = row_key(catalog)
+    slugs = catalog.select(*spread, slug(F.col("id")).alias("slug"))
+    return lookup(slugs, slug_collisions(catalog), "slug", spread).select(
+        "id", "slug", F.coalesce("n", F.lit(1)).cast("long").alias("n")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.flatten import with_entries
+from .joins import has, row_key
 
 # The keys a search looks into by default.
 SEARCH_KEYS = ("name", "id", "repository", "tags", "description")
@@ -27,7 +28,8 @@ def ignored_names(descriptor: str = "dataset.json") -> tuple[str, ...]:
 def by_ids(catalog: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
     """Rows whose id is one of ``ids``: a list, or a table with a column ``id``."""
     if isinstance(ids, DataFrame):
-        return catalog.join(ids.select("id").distinct(), "id", "left_semi")
+        wanted = has(catalog, ids, "id", row_key(catalog), "_wanted")
+        return wanted.filter("_wanted").drop("_wanted")
     return catalog.filter(F.col("id").isin(list(ids)))
 
 

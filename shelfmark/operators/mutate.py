@@ -1,8 +1,8 @@
 """Changes of a catalog. Each returns a new DataFrame; nothing is written in place.
 
-Rows are told apart by (id, pos). Where one id may hold a large share of the new
-rows, the ids are reduced first (partial aggregation) and the rows are then joined
-on (id, pos), which has no hot key.
+Rows are told apart by (id, pos). One id may hold a large share of the rows: new
+rows are reduced to one per id first (partial aggregation) and joined on (id, pos),
+which has no hot key; the catalog's own rows are looked up with ``joins.lookup``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import no_match
+from .joins import has, lookup, row_key
 
 
 def add(catalog: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -21,7 +21,9 @@ def add(catalog: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     A new row is rejected if its id exists already, or earlier in ``new``.
     """
     accepted = (
-        new.groupBy("id").agg(F.min("pos").alias("pos")).join(catalog.select("id"), "id", "left_anti")
+        new.groupBy("id")
+        .agg(F.min("pos").alias("pos"))
+        .join(catalog.select("id").distinct(), "id", "left_anti")
     )
     taken = new.join(accepted, ["id", "pos"], "left_semi")
     rejected = new.join(accepted, ["id", "pos"], "left_anti")
@@ -31,14 +33,15 @@ def add(catalog: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
 def remove(catalog: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
     """The catalog without these ids; absent ids change nothing, files stay."""
     if isinstance(ids, DataFrame):
-        return catalog.join(ids.select("id").distinct(), "id", "left_anti")
+        gone = has(catalog, ids, "id", row_key(catalog), "_gone")
+        return gone.filter(~F.col("_gone")).drop("_gone")
     return catalog.filter(~F.coalesce(F.col("id").isin(list(ids)), F.lit(False)))
 
 
 def upsert(catalog: DataFrame, new: DataFrame) -> DataFrame:
     """New versions replace rows of the same id; of several new versions the last wins."""
     last = new.groupBy("id").agg(F.max("pos").alias("pos"))
-    kept = catalog.join(last.select("id"), "id", "left_anti")
+    kept = remove(catalog, last)
     return kept.unionByName(new.join(last, ["id", "pos"], "left_semi"), allowMissingColumns=True)
 
 
@@ -47,17 +50,14 @@ def backfill(catalog: DataFrame, fetched: DataFrame) -> DataFrame:
 
     ``fetched`` has unique (metadata_uri, datapackage). ``backfill_status`` tells
     present, filled, missing (nothing fetched) or unsupported (source is not git).
-    Only rows that need a package take part in the join; the others get a key of
-    their own, so that they do not meet in one task.
+    Only rows that need a package are looked up.
     """
     needs = F.col("datapackage").isNull() & (F.col("source") == "git")
-    left = catalog.withColumn(
-        "_uri", F.when(needs, F.col("metadata_uri")).otherwise(no_match("id", "pos"))
-    )
+    left = catalog.withColumn("_uri", F.when(needs, F.col("metadata_uri")))
     right = fetched.select(
         F.col("metadata_uri").alias("_uri"), F.col("datapackage").alias("_body")
     )
-    joined = left.join(right, "_uri", "left")
+    joined = lookup(left, right, "_uri", row_key(catalog))
     status = (
         F.when(F.col("datapackage").isNotNull(), "present")
         .when(F.col("_body").isNotNull(), "filled")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, no_match
+from ..functions.text import blank
+from .joins import has
 
 # Status names and message forms of a report row.
 SUCCESS, WARNING, ERROR = "success", "warning", "error"
@@ -90,19 +91,11 @@ def _check_fields() -> Column:
 
 
 def _with_found(leaves: DataFrame, files: DataFrame) -> DataFrame:
-    """Add ``_found``: is the leaf's path in the listing (column ``path``)?
-
-    An empty path cannot be found. Such rows get a key of their own that matches
-    nothing, so that they do not meet in one task.
-    """
-    gone = blank(F.col("path"))
-    there = files.select(F.col("path").alias("_path"), F.lit(True).alias("_hit")).distinct()
-    return (
-        leaves.withColumn("_path", F.when(gone, no_match("dataset_id", "pos")).otherwise(F.col("path")))
-        .join(there, "_path", "left")
-        .withColumn("_found", F.coalesce("_hit", F.lit(False)))
-        .drop("_path", "_hit")
-    )
+    """Add ``_found``: is the leaf's path in the listing (column ``path``)?"""
+    path = F.col("path")
+    asked = leaves.withColumn("_path", F.when(~blank(path), path))
+    there = files.select(path.alias("_path"))
+    return has(asked, there, "_path", ["dataset_id", "pos"], "_found").drop("_path")
 
 
 def validate(

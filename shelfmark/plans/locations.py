@@ -132,7 +132,7 @@ def slug_index(spark, folder):
 
 def _names(spark, folder):
     """Part names: many datasets share a page."""
-    return table(spark, folder, "part").select(F.col("p_name").alias("id"))
+    return table(spark, folder, "part").select(F.col("p_name").alias("id"), F.col("p_partkey").alias("pos"))
 
 
 @query(

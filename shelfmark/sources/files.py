@@ -1,35 +1,121 @@
-"""File listings."""
+"""File listings.
+
+Spark's own file sources leave out hidden and empty files, so folders are listed
+here: level by level, the folders of a level spread over all tasks.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime
+import os
+import sys
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+SCHEMA = "path string, folder boolean, size long, mtime timestamp"
+
+_ARROW = pa.schema(
+    [
+        ("path", pa.string()),
+        ("folder", pa.bool_()),
+        ("size", pa.int64()),
+        ("mtime", pa.timestamp("us", tz="UTC")),
+    ]
+)
+
+
+def as_uri(root: str) -> str:
+    """A root folder as a URI; a plain path is a local (or mounted) folder."""
+    root = root.rstrip("/")
+    if root.startswith("file:") and not root.startswith("file://"):
+        return "file://" + root.removeprefix("file:")
+    return root if "://" in root else "file://" + os.path.abspath(root)
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a root URI, and the root's path in it."""
+    scheme, sep, rest = uri.partition("://")
+    if scheme == "file":
+        return fs.LocalFileSystem(), rest
+    return fs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + sep + rest)
+
+
+def _children(uri: str):
+    """Task function: the files and folders directly below each given folder."""
+
+    def list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(uri)
+        for batch in batches:
+            for folder in batch["path"].to_pylist():
+                infos = system.get_file_info(fs.FileSelector(f"{root}/{folder}".rstrip("/") or "/"))
+                found = [
+                    {
+                        "path": f"{folder}/{info.base_name}".lstrip("/"),
+                        "folder": info.type == fs.FileType.Directory,
+                        "size": info.size,
+                        "mtime": info.mtime or datetime.datetime.fromtimestamp(0, datetime.timezone.utc),
+                    }
+                    for info in infos
+                ]
+                yield pa.RecordBatch.from_pylist(found, schema=_ARROW)
+
+    return list_batches
+
 
 def list_files(
     spark: SparkSession, root: str, ignore: Sequence[str] = (), glob: str | None = None
 ) -> DataFrame:
     """(path, size, mtime, uri) of all files below ``root``; contents are not read.
 
-    ``path`` is relative to ``root``. Paths with a segment in ``ignore`` are left out.
+    ``path`` is relative to ``root``. Folders and files named in ``ignore`` are left
+    out with everything below them; ``glob`` (with * and ?) selects file names. Each
+    level of the tree is one job, written to the shared folder; the driver only learns
+    whether there is a next level.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    uri = as_uri(root)
+    frontier = spark.range(1).select(F.lit("").alias("path"))
+    levels = []
+    while True:
+        found = frontier.mapInArrow(_children(uri), SCHEMA)
+        if ignore:
+            found = found.filter(~F.element_at(F.split("path", "/"), -1).isin(list(ignore)))
+        level = stage(found, "listing")
+        levels.append(level.filter(~F.col("folder")))
+        folders = level.filter("folder").select("path")
+        if folders.isEmpty():
+            break
+        frontier = folders.repartition(spark.sparkContext.defaultParallelism, "path")
+    files = reduce(DataFrame.union, levels)
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    root = root.rstrip("/")
-    marker = root.split("://", 1)[-1].removeprefix("file:") + "/"
-    full = F.col("path")
-    relative = F.substring(full, F.instr(full, F.lit(marker)) + F.lit(len(marker)), F.length(full))
-    files = reader.load(root).select(
-        relative.alias("path"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("mtime"),
-        F.col("_metadata.file_path").alias("uri"),
-    )
-    if ignore:
-        files = files.filter(
-            ~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(i) for i in ignore]))
-        )
-    return files
+        files = files.filter(F.element_at(F.split("path", "/"), -1).like(_like(glob)))
+    return files.select("path", "size", "mtime", F.concat(F.lit(uri + "/"), "path").alias("uri"))
+
+
+def _like(glob: str) -> str:
+    for char in ("\\", "%", "_"):
+        glob = glob.replace(char, "\\" + char)
+    return glob.replace("*", "%").replace("?", "_")
+
+
+def relative_path(root: str) -> Column:
+    """The path below ``root`` of the file a row was read from.
+
+    File names in the metadata column are percent-encoded, as is the root here.
+    """
+    scheme, _, path = as_uri(root).partition("://")
+    marker = (path if scheme == "file" else "/" + path.partition("/")[2]) + "/"
+    file = F.col("_metadata.file_path")
+    start = F.instr(file, F.lit(quote(marker, safe="/!$&'()*+,;=:@~")))
+    encoded = F.substring(file, start + F.lit(len(quote(marker, safe="/!$&'()*+,;=:@~"))), F.length(file))
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
