@@ -24,6 +24,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]+"
 
+# Remainders up to this total length get an edit distance before an LCS.
+SHORT = 256
+
 
 def tokens(text: Column, normalize: bool = True) -> Column:
     """Distinct words of a text; an empty array for null.
@@ -57,105 +60,85 @@ def keyword_sets(keywords: Sequence[str | None], normalize: bool = True) -> Colu
     )
 
 
-def _joined(chars: Column, n: Column) -> Column:
-    """Length of n words joined by single blanks."""
-    return F.when(n > 0, chars + n - 1).otherwise(0)
-
-
-def _measure(p: Column) -> Column:
-    """Lengths of the shared part (s) and of both remainders (lx, ly)."""
-    n, chars = F.size(p.common), F.length(F.array_join(p.common, ""))
-    return F.struct(
-        p.v.words.alias("a"),
-        p.k.words.alias("b"),
-        ((p.v.n == 0) | (p.k.n == 0)).alias("empty"),
-        (n > 0).cast("int").alias("e"),
-        _joined(chars, n).alias("s"),
-        _joined(p.v.chars - chars, p.v.n - n).alias("lx"),
-        _joined(p.k.chars - chars, p.k.n - n).alias("ly"),
-    )
+# The steps below are SQL over arrays. Each is a lambda over the result of the step
+# before, so nothing is evaluated twice; the pairs live inside one row and are never
+# shuffled. ``_a`` and ``_b`` are arrays of word sets.
 
+# all pairs, with their common words; a long text is hashed once against all words of
+# ``_b``, not once per keyword
+_PAIRS = """
+flatten(transform(
+  transform(_a, v -> named_struct('v', v, 'met', array_intersect(v.words, flatten(transform(_b, k -> k.words))))),
+  m -> transform(_b, k -> named_struct('v', m.v, 'k', k, 'common', array_intersect(m.met, k.words)))))
+"""
 
-def _bounds(p: Column) -> Column:
-    """Lower and upper bound of the score; both equal where no LCS is needed."""
-    sa, sb = p.s + p.e + p.lx, p.s + p.e + p.ly
-    with_common = F.greatest(
-        100 - 100 * (p.e + p.lx) / (p.s + sa), 100 - 100 * (p.e + p.ly) / (p.s + sb)
-    )
-    lo = (
-        F.when(p.empty | (p.s == 0), F.lit(0.0))
-        .when((p.lx == 0) | (p.ly == 0), F.lit(100.0))
-        .otherwise(with_common)
-    )
-    hi = (
-        F.when(p.empty, F.lit(0.0))
-        .when((p.s > 0) & ((p.lx == 0) | (p.ly == 0)), F.lit(100.0))
-        .otherwise(100 - 100 * F.abs(p.lx - p.ly) / (sa + sb))
-    )
-    return F.struct(
-        p.a.alias("a"),
-        p.b.alias("b"),
-        lo.alias("lo"),
-        hi.alias("hi"),
-        (p.lx + p.ly).alias("rest"),
-        (sa + sb).alias("total"),
-    )
+# number and total length of common and remaining words
+_COUNTED = """
+named_struct('a', p.v.words, 'b', p.k.words, 'empty', p.v.n = 0 OR p.k.n = 0,
+  'n', size(p.common), 'c', length(array_join(p.common, '')),
+  'na', p.v.n - size(p.common), 'nb', p.k.n - size(p.common), 'ca', p.v.chars, 'cb', p.k.chars)
+"""
 
+# lengths when joined by single blanks: common part s, remainders x and y
+_MEASURED = """
+named_struct('a', p.a, 'b', p.b, 'empty', p.empty, 'e', if(p.n > 0, 1, 0),
+  's', if(p.n > 0, p.c + p.n - 1, 0),
+  'x', if(p.na > 0, p.ca - p.c + p.na - 1, 0),
+  'y', if(p.nb > 0, p.cb - p.c + p.nb - 1, 0))
+"""
 
-def _open_pairs(q: Column, min_score: float | None) -> Column:
-    """The best lower bound, and the pairs that may beat it, most promising first."""
+# lower and upper bound of the score; equal where no LCS is needed
+_BOUNDED = """
+named_struct('a', p.a, 'b', p.b,
+  'lo', CASE WHEN p.empty OR p.s = 0 THEN 0D
+             WHEN p.x = 0 OR p.y = 0 THEN 100D
+             ELSE greatest(100 - 100 * (p.e + p.x) / (2 * p.s + p.e + p.x),
+                           100 - 100 * (p.e + p.y) / (2 * p.s + p.e + p.y)) END,
+  'hi', CASE WHEN p.empty THEN 0D
+             WHEN p.s > 0 AND (p.x = 0 OR p.y = 0) THEN 100D
+             ELSE 100 - 100 * abs(p.x - p.y) / (2 * p.s + 2 * p.e + p.x + p.y) END,
+  'rest', p.x + p.y, 'diff', abs(p.x - p.y), 'total', 2 * p.s + 2 * p.e + p.x + p.y)
+"""
 
-    def is_open(p: Column) -> Column:
-        better = p.hi > q.lo
-        return better if min_score is None else better & (p.hi >= min_score)
+# remaining words of one side, as the text that is compared
+_X = "array_join(array_sort(array_except(p.a, p.b)), ' ')"
+_Y = "array_join(array_sort(array_except(p.b, p.a)), ' ')"
+
+# Closer bounds of a short pair, from the edit distance v. Of the v edits at most
+# v - diff are substitutions, each worth two of the insertions and deletions that the
+# score counts (d): v <= d <= 2v - diff.
+_EDITED = f"named_struct('p', p, 'v', if(p.rest <= {SHORT}, levenshtein({_X}, {_Y}), NULL))"
+_TIGHTENED = """
+named_struct('a', q.p.a, 'b', q.p.b,
+  'lo', coalesce(100 - 100 * (2 * q.v - q.p.diff) / q.p.total, 0D),
+  'hi', least(q.p.hi, 100 - 100 * q.v / q.p.total),
+  'rest', q.p.rest, 'total', q.p.total)
+"""
 
-    return F.struct(
-        q.lo.alias("lo"),
-        F.transform(
-            F.filter(q.pairs, is_open),
-            lambda p: F.struct(
-                p.hi.alias("hi"),
-                p.rest.alias("rest"),
-                p.total.alias("total"),
-                F.array_join(F.array_sort(F.array_except(p.a, p.b)), " ").alias("x"),
-                F.array_join(F.array_sort(F.array_except(p.b, p.a)), " ").alias("y"),
-            ),
-        ).alias("todo"),
-    )
+_OPEN = "named_struct('hi', p.hi, 'rest', p.rest, 'total', p.total, 'x', {x}, 'y', {y})".format(x=_X, y=_Y)
 
 
-def score_plan(sets_a: Column, sets_b: Column, min_score: float | None = None) -> Column:
-    """For all pairs of two arrays of word sets: struct(lo, todo).
+def _score_plan(min_score: float | None) -> Column:
+    """An array of one struct(lo, todo) over all pairs of ``_a`` and ``_b``.
 
-    Every step is a lambda over the result of the step before, so nothing is
-    evaluated twice; the pairs live inside one row and are never shuffled. A long
-    text is hashed once against all words of ``sets_b``, not once per keyword.
+    ``lo`` is a lower bound of the best score, ``todo`` holds the pairs whose LCS may
+    raise it (and reach ``min_score``). Long texts rarely stay in ``todo``, so they are
+    not sent to Python.
     """
-    vocabulary = F.flatten(F.transform(sets_b, lambda k: k.words))
-    met = F.transform(
-        sets_a,
-        lambda v: F.struct(v.alias("v"), F.array_intersect(v.words, vocabulary).alias("met")),
-    )
-    pairs = F.flatten(
-        F.transform(
-            met,
-            lambda m: F.transform(
-                sets_b,
-                lambda k: F.struct(
-                    m.v.alias("v"), k.alias("k"), F.array_intersect(m.met, k.words).alias("common")
-                ),
-            ),
-        )
-    )
-    pairs = F.transform(F.transform(pairs, _measure), _bounds)
-    best = F.transform(
-        F.array(pairs),
-        lambda ps: F.struct(
-            ps.alias("pairs"),
-            F.coalesce(F.array_max(F.transform(ps, lambda p: p.lo)), F.lit(0.0)).alias("lo"),
-        ),
-    )
-    return F.transform(best, lambda q: _open_pairs(q, min_score))
+    may_win = "p -> p.hi > s.lo" + ("" if min_score is None else f" AND p.hi >= {float(min_score)!r}D")
+    bounded = f"""
+      transform(transform(transform({_PAIRS}, p -> {_COUNTED}), p -> {_MEASURED}), p -> {_BOUNDED})"""
+    steps = [
+        "named_struct('lo', greatest(s.lo, array_max(transform(s.pairs, p -> p.lo))), 'pairs', s.pairs)",
+        f"""named_struct('lo', s.lo, 'pairs',
+              transform(transform(filter(s.pairs, {may_win}), p -> {_EDITED}), q -> {_TIGHTENED}))""",
+        "named_struct('lo', greatest(s.lo, array_max(transform(s.pairs, p -> p.lo))), 'pairs', s.pairs)",
+        f"named_struct('lo', s.lo, 'todo', transform(filter(s.pairs, {may_win}), p -> {_OPEN}))",
+    ]
+    state = f"array(named_struct('lo', 0D, 'pairs', {bounded}))"
+    for step in steps:
+        state = f"transform({state}, s -> {step})"
+    return F.expr(state)
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -192,11 +175,6 @@ def _best_open(todo: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
-# Marked so that a filter on the score stays above the projection. Pushed below, the
-# function would run a second time for the filter.
-_best_open_once = _best_open.asNondeterministic()
-
-
 def with_score(
     df: DataFrame,
     sets_a: Column,
@@ -207,16 +185,19 @@ def with_score(
     """Add the best score over all pairs of ``sets_a`` x ``sets_b``, per row.
 
     With ``min_score``, rows whose upper bound is below it leave before Python is
-    reached, and the rest is cut at the exact score. The one-element explode keeps
-    the plan column from being inlined (and evaluated again) in that filter.
+    reached, and the rest is cut at the exact score. The one-element explodes keep
+    the plan and the exact score from being inlined, and evaluated again, in these
+    filters; filters on the input's own columns are still pushed to the scan.
     """
-    plan = df.select("*", F.explode_outer(score_plan(sets_a, sets_b, min_score)).alias("_plan"))
+    sets = df.select("*", sets_a.alias("_a"), sets_b.alias("_b"))
+    plan = sets.select(*df.columns, F.explode_outer(_score_plan(min_score)).alias("_plan"))
     if min_score is not None:
         plan = plan.filter((F.col("_plan.lo") >= min_score) | (F.size("_plan.todo") > 0))
-    scored = plan.withColumn(name, F.greatest(F.col("_plan.lo"), _best_open_once(F.col("_plan.todo"))))
+    exact = plan.select("*", F.explode_outer(F.array(_best_open(F.col("_plan.todo")))).alias("_exact"))
+    scored = exact.withColumn(name, F.greatest(F.col("_plan.lo"), F.col("_exact")))
     if min_score is not None:
         scored = scored.filter(F.col(name) >= min_score)
-    return scored.drop("_plan").withColumn(name, F.round(name, 4))
+    return scored.drop("_plan", "_exact").withColumn(name, F.round(name, 4))
 
 
 def token_set_ratio(

@@ -393,7 +393,7 @@ def build_descriptors(
     basics: DataFrame,
     resources: DataFrame,
     descriptor: str = "dataset.json",
-    max_resources: int = 100_000,
+    max_resources: int = 10_000,
 ) -> DataFrame:
     """Whole descriptors: basics, derived metadata_uri and the data package.
 

@@ -184,7 +184,7 @@ FROM customer LEFT JOIN files f ON f.dataset_id = 'customer-' || c_custkey GROUP
 )
 def build_descriptors(spark, folder):
     paths = F.transform("datapackage.resources", lambda r: r.path)
-    return _described(spark, folder, 100_000).select(
+    return _described(spark, folder, 10_000).select(
         "id",
         "name",
         "metadata_uri",
