@@ -12,6 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.charsets import recode
 from ..functions.text import extension, metadata_uri
 from ..schema import RESOURCE, spark_type
 from ..sources.files import file_system, list_files, relative_path
@@ -220,25 +221,17 @@ def build_leaves(files: DataFrame, fields: DataFrame, user: DataFrame | None = N
     )
 
 
-def infer_encodings(lines: DataFrame) -> DataFrame:
-    """(path, encoding) from the lines of text files (path, value).
+def _encoding(valid: Column, c1: Column) -> Column:
+    """utf-8 if all bytes are valid; else windows-1252 if a byte 0x80-0x9F occurs."""
+    return F.when(valid, "utf-8").when(c1, "windows-1252").otherwise("iso-8859-1")
 
-    utf-8 if every line is valid; else windows-1252 if a byte 0x80-0x9F occurs; else
-    iso-8859-1. Lines are reduced per task first, so a file of any size is split.
-    """
-    valid = F.is_valid_utf8("value")
-    c1 = F.hex(F.col("value").cast("binary")).rlike("^(?:..)*[89].")
-    flags = lines.select("path", valid.alias("valid"), F.when(~valid, c1).otherwise(False).alias("c1"))
+
+def _decoded(name: Column, encoding: Column) -> Column:
+    """A text read as ISO-8859-1 in its encoding."""
     return (
-        flags.groupBy("path")
-        .agg(F.bool_and("valid").alias("valid"), F.bool_or("c1").alias("c1"))
-        .select(
-            "path",
-            F.when(F.col("valid"), "utf-8")
-            .when(F.col("c1"), "windows-1252")
-            .otherwise("iso-8859-1")
-            .alias("encoding"),
-        )
+        F.when(encoding == "utf-8", F.encode(name, "ISO-8859-1").cast("string"))
+        .when(encoding == "windows-1252", recode(name, "windows-1252"))
+        .otherwise(name)
     )
 
 
@@ -251,22 +244,18 @@ def column_votes(
 ) -> DataFrame:
     """(path, encoding, field_pos, field, n, n_missing, votes) of every column of every CSV file.
 
-    One job for files with different headers: they are read by column number, under
-    the widest header, and as ISO-8859-1, since the type patterns are ASCII. Cells are
-    counted by (file, column) before the shuffle, however large a file is. The header
-    is one line of its file: its cell is taken out of the counts again.
+    One pass over all files, also if their headers and charsets differ: they are read
+    by column number, under the widest header, and as ISO-8859-1, which keeps every
+    byte. Type patterns are ASCII; the charset is told from the bytes of the cells
+    (separators are ASCII, so a line is valid if its cells are). Cells are counted by
+    (file, column) before the shuffle, however large a file is. The header is one line
+    of its file: its cell is taken out of the counts again.
     """
     files = list_files(spark, root, glob=glob).select("path", "uri")
     # hidden folders are not part of a dataset
     files = files.filter(~F.col("path").rlike(r"(^|/)\."))
-    lines = spark.read.text(root, recursiveFileLookup=True, pathGlobFilter=glob).select(
-        relative_path(root).alias("path"), "value"
-    )
-    encoded = files.join(infer_encodings(lines), "path", "left").withColumn(
-        "encoding", F.coalesce("encoding", F.lit("utf-8"))
-    )
-    headers = encoded.select("path", "encoding").join(csv_headers(encoded), "path").select(
-        "path", "encoding", F.posexplode_outer("names").alias("field_pos", "field")
+    headers = csv_headers(files.withColumn("encoding", F.lit("iso-8859-1"))).select(
+        "path", F.posexplode_outer("names").alias("field_pos", "field")
     )
     # the schema of a read is fixed on the driver: one number
     width = (headers.agg(F.max("field_pos")).first()[0] or 0) + 1
@@ -284,10 +273,23 @@ def column_votes(
         relative_path(root).alias("path"),
         F.posexplode(F.array(*[F.col(f"c{i}") for i in range(width)])).alias("field_pos", "cell"),
     )
+    cell = F.col("cell")
+    high = F.octet_length(cell) > F.length(cell)
     votes = (
-        cells.select("path", "field_pos", _cell_kind(F.col("cell"), missing).alias("kind"))
+        cells.select(
+            "path",
+            "field_pos",
+            _cell_kind(cell, missing).alias("kind"),
+            F.when(high, F.is_valid_utf8(F.encode(cell, "ISO-8859-1").cast("string")))
+            .otherwise(True)
+            .alias("valid"),
+            F.when(high, cell.rlike(r"[\x80-\x9f]")).otherwise(False).alias("c1"),
+        )
         .groupBy("path", "field_pos")
-        .agg(*_votes())
+        .agg(*_votes(), F.bool_and("valid").alias("valid"), F.bool_or("c1").alias("c1"))
+    )
+    encodings = votes.groupBy("path").agg(
+        _encoding(F.bool_and("valid"), F.bool_or("c1")).alias("encoding")
     )
     head = _cell_kind(F.col("field"), missing)
 
@@ -295,14 +297,19 @@ def column_votes(
         count = F.col(name) - F.coalesce(is_head, F.lit(False)).cast("int")
         return F.greatest(F.coalesce(count, F.lit(0)), F.lit(0)).alias(name)
 
-    return headers.join(votes, ["path", "field_pos"], "left").select(
-        "path",
-        "encoding",
-        F.col("field_pos").cast("long").alias("field_pos"),
-        "field",
-        without_header("n", F.lit(True)),
-        without_header("n_missing", head.isNull()),
-        *[without_header(f"n_{k}", head.isin(*FORMS[k])) for k in ORDER],
+    encoding = F.coalesce("encoding", F.lit("utf-8"))
+    return (
+        headers.join(votes, ["path", "field_pos"], "left")
+        .join(encodings, "path", "left")
+        .select(
+            "path",
+            encoding.alias("encoding"),
+            F.col("field_pos").cast("long").alias("field_pos"),
+            _decoded(F.col("field"), encoding).alias("field"),
+            without_header("n", F.lit(True)),
+            without_header("n_missing", head.isNull()),
+            *[without_header(f"n_{k}", head.isin(*FORMS[k])) for k in ORDER],
+        )
     )
 
 

@@ -9,50 +9,81 @@ from pyspark.sql import functions as F
 
 from ..functions.text import no_match
 
-# The sketch keeps 10,000 candidates, so every key with more than about one
-# thousandth of the rows is among the heaviest it reports.
-HOT_KEYS = 256
-SKETCH = 10_000
+# Keys with fewer rows than this are no trouble for the task that gets them.
+HOT_ROWS = 100_000
+# At most so many keys are treated as hot.
+HOT_KEYS = 128
+# The sketch counts this many candidates: a key with more than about 1/1500 of all
+# rows is among those it reports.
+SKETCH = 2_048
+# The sketches of all tasks are merged into this many.
+GROUPS = 256
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> list[str]:
+    """The keys that hold at least ``rows`` rows, heaviest first, at most HOT_KEYS.
+
+    One pass over the key column. Every task fills a frequent-items sketch of fixed
+    size; only those sketches are exchanged, and the few keys they report are summed.
+    """
+    sketches = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("_group")).agg(
+        F.expr(f"approx_top_k_accumulate(`{key}`, {SKETCH})").alias("_s")
+    )
+    top = sketches.select(F.inline(F.expr(f"approx_top_k_estimate(_s, {HOT_KEYS})")))
+    heavy = (
+        top.filter(F.col("item").isNotNull())
+        .groupBy("item")
+        .agg(F.sum("count").alias("n"))
+        .filter(F.col("n") >= rows)
+    )
+    return [r["item"] for r in heavy.orderBy(F.desc("n")).limit(HOT_KEYS).collect()]
+
+
+def lookup(
+    left: DataFrame, right: DataFrame, key: str, spread: Sequence[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Left join on a text column, with ``right`` unique on it.
 
-    One key may hold a large part of ``left``. The heaviest keys are found by a sketch
-    that every task fills on its own; at most HOT_KEYS of them, with their rows of
-    ``right``, are broadcast, and their left rows need no common task. Those rows, and
-    rows with a null key, get a key of their own for the shuffle join of all others;
-    ``spread`` names columns that tell rows apart.
+    One key may hold a large part of ``left``. Hot keys are counted first (one job on
+    the key column). Their rows of ``right``, at most HOT_KEYS, are broadcast, and
+    their left rows need no common task. In the shuffle join of all other keys these
+    rows, and rows with a null key, stand under a key of their own; ``spread`` names
+    columns that tell rows apart.
 
     Adaptive execution alone does not split such a join: it cannot if ``right`` is
     itself the result of an aggregation.
     """
     payload = [c for c in right.columns if c != key]
     found = right.select(key, F.struct(*payload).alias("_found"))
-    top = (
-        left.agg(F.expr(f"approx_top_k(`{key}`, {HOT_KEYS}, {SKETCH})").alias("_top"))
-        .select(F.explode("_top.item").alias(key))
-        .filter(F.col(key).isNotNull())
-    )
-    hot = (
-        top.join(F.broadcast(found.join(F.broadcast(top), key, "left_semi")), key, "left")
-        .withColumnRenamed("_found", "_hot_found")
-        .withColumn("_hot", F.lit(True))
-    )
-    marked = left.join(F.broadcast(hot), key, "left")
-    alone = F.col("_hot").isNotNull() | F.col(key).isNull()
-    cold = marked.withColumn("_key", F.when(alone, no_match(*spread)).otherwise(F.col(key)))
-    joined = cold.join(found.withColumnRenamed(key, "_key"), "_key", "left")
+    hot = heavy_keys(left, key, hot_rows)
+    alone = F.col(key).isNull()
+    if hot:
+        left_columns = left.columns
+        alone = alone | F.col(key).isin(hot)
+        few = found.filter(F.col(key).isin(hot)).withColumnRenamed("_found", "_hot")
+        left = left.join(F.broadcast(few), key, "left").select(*left_columns, "_hot")
+    keyed = left.withColumn("_key", F.when(alone, no_match(*spread)).otherwise(F.col(key)))
+    joined = keyed.join(found.withColumnRenamed(key, "_key"), "_key", "left")
+    columns = [c for c in left.columns if c != "_hot"]
+    if not hot:
+        return joined.select(*columns, *[F.col(f"_found.{c}") for c in payload])
     return joined.select(
-        *left.columns,
-        *[F.coalesce(f"_hot_found.{c}", f"_found.{c}").alias(c) for c in payload],
+        *columns, *[F.coalesce(f"_hot.{c}", f"_found.{c}").alias(c) for c in payload]
     )
 
 
-def has(left: DataFrame, keys: DataFrame, key: str, spread: Sequence[str], name: str) -> DataFrame:
+def has(
+    left: DataFrame,
+    keys: DataFrame,
+    key: str,
+    spread: Sequence[str],
+    name: str,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """Add ``name``: does the row's key occur in ``keys``? Null keys do not."""
     there = keys.select(key).distinct().withColumn(name, F.lit(True))
-    return lookup(left, there, key, spread).withColumn(name, F.coalesce(name, F.lit(False)))
+    found = lookup(left, there, key, spread, hot_rows)
+    return found.withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def row_key(df: DataFrame) -> list[str]:

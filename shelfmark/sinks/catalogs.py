@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import row_key
+
 
 def write_catalog(catalog: DataFrame, path: str, overwrite: bool = False) -> None:
     """The catalog as a Parquet table sorted by id, so that id lookups skip row groups."""
     mode = "overwrite" if overwrite else "errorifexists"
-    catalog.repartitionByRange("id").sortWithinPartitions("id").write.mode(mode).parquet(path)
+    catalog.repartitionByRange(*row_key(catalog)).sortWithinPartitions("id").write.mode(mode).parquet(path)
 
 
 def write_catalog_json(catalog: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -53,8 +55,9 @@ def write_catalog_dir(
     if ids is not None:
         catalog = catalog.filter(F.col("id").isin(list(ids)))
     (
-        catalog.select("id", F.to_json("raw").alias("value"))
-        .repartition("id")
+        catalog.select(*row_key(catalog), F.to_json("raw").alias("value"))
+        .repartition(*row_key(catalog))
+        .select("id", "value")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("id")
@@ -66,8 +69,9 @@ def create_catalog(catalog: DataFrame, path: str, overwrite: bool = False) -> No
     """Write the documents of a new catalog; an existing target is an error by default."""
     mode = "overwrite" if overwrite else "errorifexists"
     (
-        catalog.select("id", F.to_json("raw").alias("value"))
-        .repartition("id")
+        catalog.select(*row_key(catalog), F.to_json("raw").alias("value"))
+        .repartition(*row_key(catalog))
+        .select("id", "value")
         .write.mode(mode)
         .partitionBy("id")
         .text(path)

@@ -11,6 +11,7 @@ import os
 import sys
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import islice
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -51,6 +52,28 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + sep + rest)
 
 
+def _entries(system: fs.FileSystem, path: str) -> Iterator[dict]:
+    """What lies directly in a folder; a mounted folder is streamed."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(path) as found:
+            for entry in found:
+                stat = entry.stat()
+                yield {
+                    "path": entry.name,
+                    "folder": entry.is_dir(),
+                    "size": stat.st_size,
+                    "mtime": datetime.datetime.fromtimestamp(stat.st_mtime, datetime.timezone.utc),
+                }
+    else:
+        for info in system.get_file_info(fs.FileSelector(path)):
+            yield {
+                "path": info.base_name,
+                "folder": info.type == fs.FileType.Directory,
+                "size": info.size,
+                "mtime": info.mtime or datetime.datetime.fromtimestamp(0, datetime.timezone.utc),
+            }
+
+
 def _children(uri: str):
     """Task function: the files and folders directly below each given folder."""
 
@@ -58,17 +81,11 @@ def _children(uri: str):
         system, root = file_system(uri)
         for batch in batches:
             for folder in batch["path"].to_pylist():
-                infos = system.get_file_info(fs.FileSelector(f"{root}/{folder}".rstrip("/") or "/"))
-                found = [
-                    {
-                        "path": f"{folder}/{info.base_name}".lstrip("/"),
-                        "folder": info.type == fs.FileType.Directory,
-                        "size": info.size,
-                        "mtime": info.mtime or datetime.datetime.fromtimestamp(0, datetime.timezone.utc),
-                    }
-                    for info in infos
-                ]
-                yield pa.RecordBatch.from_pylist(found, schema=_ARROW)
+                entries = _entries(system, f"{root}/{folder}".rstrip("/") or "/")
+                while chunk := list(islice(entries, 10_000)):
+                    for e in chunk:
+                        e["path"] = f"{folder}/{e['path']}".lstrip("/")
+                    yield pa.RecordBatch.from_pylist(chunk, schema=_ARROW)
 
     return list_batches
 

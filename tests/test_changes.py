@@ -21,7 +21,7 @@ from shelfmark import (
     with_collisions,
 )
 
-from shelfmark.operators.joins import lookup
+from shelfmark.operators.joins import has, heavy_keys, lookup
 
 
 def rows(df, *cols):
@@ -165,7 +165,8 @@ def test_hot_keys_of_a_lookup_do_not_meet(spark):
         spark.conf.set(name, "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = lookup(left, right, "key", ["pos"])
+        assert heavy_keys(left, "key", 1000) == ["hot"]
+        got = lookup(left, right, "key", ["pos"], hot_rows=1000)
         assert got.count() == 24_000
         counts = {r["n"]: r["count"] for r in got.groupBy("n").count().collect()}
         assert counts == {1: 8000, 2: 1, None: 15_999}
@@ -181,6 +182,17 @@ def test_lookup_equals_a_join(spark, hot):
     ids = spark.createDataFrame([("hot",), ("hot",), ("id-1",), ("id-2",), (None,), ("none",)], "id string")
     assert rows(by_ids(hot, ids), "id", "pos") == rows(hot.filter("id in ('hot', 'id-1', 'id-2')"), "id", "pos")
     assert rows(remove(hot, ids), "id", "pos") == rows(hot.filter("id not in ('hot', 'id-1', 'id-2')"), "id", "pos")
+    for threshold in (1, 100, 10**9):
+        asked = hot.unionByName(spark.createDataFrame([(None, -1, "x")], "id string, pos long, name string"))
+        flagged = has(asked, ids, "id", ["id", "pos"], "there", threshold)
+        assert flagged.columns == ["id", "pos", "name", "there"]
+        assert flagged.count() == 3001
+        assert flagged.filter("there").count() == 1002
+    # a hot key without a match
+    none = has(hot, ids.filter("id <> 'hot'"), "id", ["id", "pos"], "there", 100)
+    assert none.filter("there").count() == 2
+    assert heavy_keys(hot.limit(0), "id") == []
+    assert has(hot.limit(0), ids, "id", ["id", "pos"], "there").count() == 0
 
 
 def test_sync_plan(spark):

@@ -195,7 +195,8 @@ def test_headers_and_types_of_different_files(spark, tmp_path):
         "d1/.git/hidden.csv": "h\n",
         "d1/data/a +%20.csv": "k\n7\n",
         "d2/only.csv": "name,n\ncafé,1\n".encode("iso-8859-1"),
-        "d2/win.csv": "name\n“q”\n".encode("windows-1252"),
+        "d2/win.csv": "naïve\n“q”\n".encode("windows-1252"),
+        "d2/utf.csv": "größe\n1\n",
         "d2/empty.csv": "p,q\n",
         "d2/nothing.csv": "",
     })
@@ -210,7 +211,8 @@ def test_headers_and_types_of_different_files(spark, tmp_path):
         ("d2", 0): ("empty", "empty.csv", "utf-8", [("p", "string"), ("q", "string")]),
         ("d2", 1): ("nothing", "nothing.csv", "utf-8", []),
         ("d2", 2): ("only", "only.csv", "iso-8859-1", [("name", "string"), ("n", "integer")]),
-        ("d2", 3): ("win", "win.csv", "windows-1252", [("name", "string")]),
+        ("d2", 3): ("utf", "utf.csv", "utf-8", [("größe", "integer")]),
+        ("d2", 4): ("win", "win.csv", "windows-1252", [("naïve", "string")]),
     }
     fields = {r.path: [f.name for f in r.fields] for r in csv_fields(list_files(spark, root, glob="*.csv")).collect()}
     assert fields["d1/data/a.csv"] == ["id", "Date / Time", "flag"]
