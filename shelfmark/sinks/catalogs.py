@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import row_key
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def write_catalog(catalog: DataFrame, path: str, overwrite: bool = False) -> None:
     """The catalog as a Parquet table sorted by id, so that id lookups skip row groups."""
@@ -23,26 +28,34 @@ def write_catalog_json(catalog: DataFrame, path: str, overwrite: bool = False) -
     lines.write.mode(mode).text(path)
 
 
-def write_catalog_array(catalog: DataFrame, path: str, overwrite: bool = False) -> None:
-    """The legacy form: one JSON array in one file, for small catalogs only.
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of one task as the lines of one JSON array, one line held back."""
+    last, opening = None, "["
+    for batch in batches:
+        lines = []
+        for doc in batch["doc"].to_pylist():
+            if last is not None:
+                lines.append(f"{opening}{last},")
+                opening = ""
+            last = doc
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([f"{opening}{last}]"])], names=["value"])
+
 
-    The rows are sorted over all tasks first; the single writer only adds brackets
-    and commas, one line at a time.
+def write_catalog_array(
+    catalog: DataFrame, path: str, overwrite: bool = False, single_file: bool = False
+) -> None:
+    """The aggregated form: JSON arrays, in catalog order over the files of ``path``.
+
+    Every task writes one array. ``single_file`` gives the legacy form, one array with
+    all datasets, streamed by one task: for small catalogs that other tools read.
     """
     mode = "overwrite" if overwrite else "errorifexists"
-    ends = catalog.agg(F.count("*"), F.min("pos"), F.max("pos")).first()
-    if ends[0] > 100_000:
-        raise ValueError("too many datasets for one JSON array; use write_catalog_json")
-    if not ends[0]:
-        lines = catalog.sparkSession.createDataFrame([("[]",)], "value string")
-    else:
-        pos, doc = F.col("pos"), F.to_json("raw")
-        opening = F.when(pos == ends[1], "[").otherwise("")
-        closing = F.when(pos == ends[2], "]").otherwise(",")
-        lines = (
-            catalog.orderBy("pos").coalesce(1).select(F.concat(opening, doc, closing).alias("value"))
-        )
-    lines.write.mode(mode).text(path)
+    docs = catalog.orderBy("pos").select(F.to_json("raw").alias("doc"))
+    if single_file:
+        docs = docs.coalesce(1)
+    docs.mapInArrow(_as_array, "value string").write.mode(mode).text(path)
 
 
 def write_catalog_dir(

@@ -23,14 +23,19 @@ def read_catalog_dir(
 
 
 def read_catalog_json(spark: SparkSession, path: str) -> DataFrame:
-    """Datasets of one JSON array; ``pos`` is the index in it.
+    """Datasets of JSON arrays: one file, or several in path order.
 
-    A JSON array cannot be split, so one task reads it. Import it once and keep the
-    catalog as a table (``write_catalog``) or as JSON Lines (``read_catalog_lines``).
+    ``pos`` is the index over all arrays. One array cannot be split, so one task reads
+    it; ``write_catalog_array`` writes one per task. Import a large single array once
+    and keep the catalog as a table (``write_catalog``).
     """
-    items = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.from_json("value", "array<string>")).alias("pos", "_doc")
+    files = spark.read.text(path, wholetext=True)
+    items = files.select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.posexplode(F.from_json("value", "array<string>")).alias("pos", "_doc"),
     )
+    if len(files.inputFiles()) > 1:
+        items = dense_position(items.withColumnRenamed("pos", "_index"), ["_file", "_index"])
     return normalize(
         items.select(F.col("pos").cast("long").alias("pos"), F.parse_json("_doc").alias("raw"))
     )

@@ -40,10 +40,9 @@ def rows(columns: list[str], values) -> list[tuple]:
     return sorted(tuple(_cell(row[i]) for i in order) for row in values)
 
 
-def compare(spark, con, folder, fn, sql):
+def compare(df, con, sql):
     """(error or None, number of rows, seconds of Spark, seconds of SQL)."""
     start = time.time()
-    df = fn(spark, folder)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     middle = time.time()
     result = con.execute(sql)
@@ -74,7 +73,7 @@ if __name__ == "__main__":
         if sys.argv[2:] and name not in sys.argv[2:]:
             continue
         try:
-            error, n, a, b = compare(spark, con, folder, fn, sql[name])
+            error, n, a, b = compare(fn(spark, folder), con, sql[name])
         except Exception as ex:
             error, n, a, b = f"{type(ex).__name__}: {str(ex)[:600]}", -1, 0, 0
         bad += bool(error)

@@ -77,6 +77,11 @@ def test_round_trips(spark, sample, tmp_path):
     assert documents(read_catalog_lines(spark, lines)) == list(enumerate(SAMPLE))
     write_catalog_array(sample.repartition(5), array)
     assert documents(read_catalog_json(spark, array)) == list(enumerate(SAMPLE))
+    single = tmp_path / "single"
+    write_catalog_array(sample.repartition(5), str(single), single_file=True)
+    (file,) = single.glob("part-*")
+    assert json.loads(file.read_text()) == SAMPLE
+    assert documents(read_catalog_json(spark, str(single))) == list(enumerate(SAMPLE))
     create_catalog(sample, folder)
     assert documents(read_catalog_dir(spark, folder, "part-*")) == list(enumerate(SAMPLE))
     write_catalog(sample, table)
