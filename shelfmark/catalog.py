@@ -61,7 +61,7 @@ class Catalog:
         ``folders`` (column ``id``) tells which datasets have a folder below ``base``.
         """
         dataset = self.get(id)
-        chosen = lookup.select_resource(shape.explode_resources(dataset), idx, path, name)
+        chosen = lookup.select_resource(dataset, idx, path, name)
         where = resolve_paths(dataset, folders, base).select("dataset_id", "pos", "location")
         row = chosen.join(where, ["dataset_id", "pos"]).first()
         if row is None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.flatten import with_entries
 from .joins import has, row_key
+from .shape import explode_resources
 
 # The keys a search looks into by default.
 SEARCH_KEYS = ("name", "id", "repository", "tags", "description")
@@ -44,7 +45,7 @@ def get_dataset(catalog: DataFrame, id: str) -> DataFrame:
 
 
 def select_resource(
-    resources: DataFrame,
+    source: DataFrame,
     idx: int | None = None,
     path: str | None = None,
     name: str | None = None,
@@ -52,21 +53,25 @@ def select_resource(
 ) -> DataFrame:
     """Per dataset, the first resource at a position, else with a path, else with a name.
 
-    With ``report_missing`` a dataset without a match stays, with ``found`` false and
-    null columns.
+    ``source`` is a catalog, where the choice is made inside each row without a
+    shuffle, or an exploded table of resources. With ``report_missing`` a dataset
+    without a match stays, with ``found`` false and null columns.
     """
     if idx is not None:
-        match = F.col("pos") == idx
+        key, value = "pos", idx
     elif path:
-        match = F.col("path") == path
+        key, value = "path", path
     elif name:
-        match = F.col("name") == name
+        key, value = "name", name
     else:
         raise ValueError("give one of idx, path, name")
-    if idx is not None and not report_missing:
-        return resources.filter(match).withColumn("found", F.lit(True))
-    rest = [c for c in resources.columns if c != "dataset_id"]
-    rows = resources if report_missing else resources.filter(match)
+    if "datapackage" in source.columns and "part" not in source.columns:
+        return _select_in_row(source, key, value, report_missing)
+    if "datapackage" in source.columns:
+        source = explode_resources(source)
+    match = F.col(key) == value
+    rest = [c for c in source.columns if c != "dataset_id"]
+    rows = source if report_missing else source.filter(match)
     first = F.min_by(F.when(match, F.struct(*rest)), F.when(match, F.col("pos")))
     return (
         rows.groupBy("dataset_id")
@@ -75,6 +80,23 @@ def select_resource(
     )
 
 
+def _select_in_row(
+    catalog: DataFrame, key: str, value: int | str, report_missing: bool
+) -> DataFrame:
+    def numbered(r: Column, i: Column) -> Column:
+        return F.struct(i.cast("long").alias("pos"), r.alias("r"))
+
+    def matches(c: Column) -> Column:
+        return (c["pos"] if key == "pos" else c["r"][key]) == value
+
+    chosen = F.get(F.filter(F.transform("datapackage.resources", numbered), matches), F.lit(0))
+    # outer: an inner explode would evaluate the choice once more, for a filter
+    rows = catalog.select(
+        F.col("id").alias("dataset_id"), F.explode_outer(F.array(chosen)).alias("_c")
+    ).select("dataset_id", "_c.pos", "_c.r.*", F.col("_c").isNotNull().alias("found"))
+    return rows if report_missing else rows.filter("found")
+
+
 def search_values(catalog: DataFrame, keys: Sequence[str] = SEARCH_KEYS) -> tuple[DataFrame, Column]:
     """The catalog and an array column with all texts under ``keys``.
 

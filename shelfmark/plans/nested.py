@@ -86,10 +86,12 @@ def resource_tree(spark, folder):
     return tree.select("id", F.array_join("paths", "\n").alias("tree"))
 
 
-def _selected(**kwargs):
+def _selected(exploded=False, **kwargs):
     def run(spark, folder):
-        resources = shape.explode_resources(_orders(spark, folder))
-        found = lookup.select_resource(resources, **kwargs)
+        source = _orders(spark, folder)
+        if exploded:
+            source = shape.explode_resources(source)
+        found = lookup.select_resource(source, **kwargs)
         return found.select("dataset_id", "pos", "name", "path", "found")
 
     return run
@@ -102,9 +104,10 @@ query("resource_by_path", _SELECT + "path = 'dataset/notes-5.csv'")(
     _selected(path="dataset/notes-5.csv", name="ignored")
 )
 query("resource_by_name", _SELECT + "name = 'notes'")(_selected(name="notes"))
+query("resource_table_by_name", _SELECT + "name = 'notes'")(_selected(exploded=True, name="notes"))
 query(
     "resource_by_name_reported",
-    f"""WITH {ORDER_RESOURCES}, sets AS (SELECT DISTINCT dataset_id FROM order_resources)
+    f"""WITH {ORDER_RESOURCES}, sets AS (SELECT id AS dataset_id FROM order_sets)
 SELECT s.dataset_id, r.pos, r.name, r.path, r.pos IS NOT NULL AS found
 FROM sets s LEFT JOIN order_resources r ON r.dataset_id = s.dataset_id AND r.name = 'trace'""",
 )(_selected(name="trace", report_missing=True))

@@ -143,6 +143,22 @@ def test_select_resource(spark):
         select_resource(resources)
 
 
+def test_select_resource_in_a_catalog(spark):
+    def doc(id, *pairs):
+        items = ",".join('{"path":"%s","name":"%s"}' % p for p in pairs)
+        return '{"id":"%s","datapackage":{"resources":[%s]}}' % (id, items)
+
+    catalog = docs(spark, doc("a", ("p", "n"), ("q", "n")), doc("b", ("q", "m")), doc("c"), '{"id":"d"}')
+    assert rows(select_resource(catalog, idx=1, path="q"), "dataset_id", "pos", "path") == [("a", 1, "q")]
+    assert rows(select_resource(catalog, path="q"), "dataset_id", "pos") == [("a", 1), ("b", 0)]
+    assert rows(select_resource(catalog, name="n"), "dataset_id", "pos") == [("a", 0)]
+    reported = select_resource(catalog, name="n", report_missing=True)
+    assert rows(reported, "dataset_id", "found") == [("a", True), ("b", False), ("c", False), ("d", False)]
+    assert "Exchange" not in plan_of(select_resource(catalog, name="n"))
+    table = explode_resources(catalog)
+    assert rows(select_resource(catalog, path="q"), *table.columns[:4]) == rows(select_resource(table, path="q"), *table.columns[:4])
+
+
 def test_slug_collisions_of_a_hot_slug(spark, hot):
     catalog = hot.select(F.when(F.col("id") == "hot", F.concat(F.lit("Hót! "), F.lpad("pos", 0, " "))).otherwise(F.col("id")).alias("id"))
     assert rows(slug_collisions(catalog), "slug", "n") == [("hot", 1000)]

@@ -26,6 +26,7 @@ from shelfmark import (
     read_delimited,
     read_json_resource,
     read_resource,
+    search_score,
     to_fields,
     to_struct,
     write_catalog,
@@ -89,6 +90,16 @@ def test_round_trips(spark, sample, tmp_path):
     assert "PushedFilters: [In(id, [d01,d02])]" in plan_of(by_ids(read_catalog(spark, table), ["d01", "d02"]).select("id"))
 
 
+def test_search_reads_only_what_it_needs(spark, sample, tmp_path):
+    path = str(tmp_path / "table")
+    write_catalog(sample, path)
+    found = search_score(read_catalog(spark, path), "na me", min_score=50).filter("source = 'git'")
+    plan = found.select("id", "score")._jdf.queryExecution().toString()
+    scan = plan[plan.index("== Physical Plan =="):]
+    assert "raw" not in scan and "datapackage" not in scan
+    assert "EqualTo(source,git)" in scan
+
+
 def test_lines_over_several_files_and_blocks(spark, tmp_path):
     names = {f"part-{i}.json": "".join(json.dumps({"id": f"{i}-{j}"}) + "\n" for j in range(200)) for i in range(3)}
     root = put(tmp_path, names)
