@@ -101,21 +101,24 @@ named_struct('a', p.a, 'b', p.b,
 """
 
 # remaining words of one side, as the text that is compared
-_X = "array_join(array_sort(array_except(p.a, p.b)), ' ')"
-_Y = "array_join(array_sort(array_except(p.b, p.a)), ' ')"
+_X = "array_join(sort_array(array_except(p.a, p.b)), ' ')"
+_Y = "array_join(sort_array(array_except(p.b, p.a)), ' ')"
 
 # Closer bounds of a short pair, from the edit distance v. Of the v edits at most
 # v - diff are substitutions, each worth two of the insertions and deletions that the
 # score counts (d): v <= d <= 2v - diff.
-_EDITED = f"named_struct('p', p, 'v', if(p.rest <= {SHORT}, levenshtein({_X}, {_Y}), NULL))"
+_TEXTS = f"named_struct('p', p, 'x', if(p.rest <= {SHORT}, {_X}, NULL), 'y', if(p.rest <= {SHORT}, {_Y}, NULL))"
+_EDITED = "named_struct('p', q.p, 'x', q.x, 'y', q.y, 'v', levenshtein(q.x, q.y))"
 _TIGHTENED = """
-named_struct('a', q.p.a, 'b', q.p.b,
+named_struct('a', q.p.a, 'b', q.p.b, 'x', q.x, 'y', q.y,
   'lo', coalesce(100 - 100 * (2 * q.v - q.p.diff) / q.p.total, 0D),
   'hi', least(q.p.hi, 100 - 100 * q.v / q.p.total),
   'rest', q.p.rest, 'total', q.p.total)
 """
 
-_OPEN = "named_struct('hi', p.hi, 'rest', p.rest, 'total', p.total, 'x', {x}, 'y', {y})".format(x=_X, y=_Y)
+_OPEN = f"""
+named_struct('hi', p.hi, 'rest', p.rest, 'total', p.total, 'x', coalesce(p.x, {_X}), 'y', coalesce(p.y, {_Y}))
+"""
 
 
 def _score_plan(min_score: float | None) -> Column:
@@ -131,7 +134,7 @@ def _score_plan(min_score: float | None) -> Column:
     steps = [
         "named_struct('lo', greatest(s.lo, array_max(transform(s.pairs, p -> p.lo))), 'pairs', s.pairs)",
         f"""named_struct('lo', s.lo, 'pairs',
-              transform(transform(filter(s.pairs, {may_win}), p -> {_EDITED}), q -> {_TIGHTENED}))""",
+              transform(transform(transform(filter(s.pairs, {may_win}), p -> {_TEXTS}), q -> {_EDITED}), q -> {_TIGHTENED}))""",
         "named_struct('lo', greatest(s.lo, array_max(transform(s.pairs, p -> p.lo))), 'pairs', s.pairs)",
         f"named_struct('lo', s.lo, 'todo', transform(filter(s.pairs, {may_win}), p -> {_OPEN}))",
     ]
@@ -160,17 +163,21 @@ def lcs_length(a: str, b: str) -> int:
 @F.arrow_udf(T.DoubleType())
 def _best_open(todo: pa.Array) -> pa.Array:
     """Best exact score among the open pairs of each row; 0 if there are none."""
+    pairs = todo.flatten()
+    hi, rest, total, xs, ys = (pairs.field(n).to_pylist() for n in ("hi", "rest", "total", "x", "y"))
     known: dict[tuple[str, str], int] = {}
-    out = []
-    for pairs in todo.to_pylist():
+    out, at = [], 0
+    for n in todo.value_lengths().to_pylist():
         best = 0.0
-        for p in sorted(pairs or (), key=lambda p: -p["hi"]):
-            if p["hi"] <= best:
+        for i in sorted(range(at, at + (n or 0)), key=hi.__getitem__, reverse=True):
+            if hi[i] <= best:
                 break
-            key = (p["x"], p["y"])
-            if key not in known:
-                known[key] = lcs_length(*key)
-            best = max(best, 100 - 100 * (p["rest"] - 2 * known[key]) / p["total"])
+            pair = xs[i], ys[i]
+            common = known.get(pair)
+            if common is None:
+                common = known[pair] = lcs_length(*pair)
+            best = max(best, 100 - 100 * (rest[i] - 2 * common) / total[i])
+        at += n or 0
         out.append(best)
     return pa.array(out, pa.float64())
 
