@@ -52,6 +52,7 @@ from .schema import DATASET, LEAF, RESOURCE, to_fields, to_struct
 from .session import session
 from .sinks.catalogs import (
     create_catalog,
+    export_catalog_dir,
     write_catalog,
     write_catalog_array,
     write_catalog_dir,

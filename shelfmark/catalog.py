@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators import lookup, mutate, shape
 from .operators import search as searching
 from .operators.locate import resolve_paths
-from .sinks.catalogs import write_catalog, write_catalog_dir, write_catalog_json
+from .sinks.catalogs import (
+    export_catalog_dir,
+    write_catalog,
+    write_catalog_array,
+    write_catalog_json,
+)
 from .sources.catalogs import read_catalog, read_catalog_dir, read_catalog_json, read_catalog_lines
 from .sources.tables import read_resource
 
@@ -80,12 +85,17 @@ class Catalog:
         return Catalog(mutate.upsert(self.datasets, new))
 
     def save(self, path: str, layout: str = "table", overwrite: bool = False) -> None:
-        """To a new path; the path this catalog was read from must not be the target."""
+        """To a new path; the path this catalog was read from must not be the target.
+
+        ``layout``: table, lines, json (arrays) or dir (``<id>/dataset.json``).
+        """
         if layout == "dir":
-            write_catalog_dir(self.datasets, path)
+            export_catalog_dir(self.datasets, path)
+        elif layout == "json":
+            write_catalog_array(self.datasets, path, overwrite)
         elif layout == "lines":
             write_catalog_json(self.datasets, path, overwrite)
         elif layout == "table":
             write_catalog(self.datasets, path, overwrite)
         else:
-            raise ValueError("layout must be table, lines or dir")
+            raise ValueError("layout must be table, lines, json or dir")

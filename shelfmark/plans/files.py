@@ -11,6 +11,7 @@ from ..operators import infer, lookup, shape, validate
 from ..session import fresh_path
 from ..sinks.catalogs import (
     create_catalog,
+    export_catalog_dir,
     write_catalog,
     write_catalog_array,
     write_catalog_dir,
@@ -63,6 +64,17 @@ def catalog_dir_replaced(spark, folder):
     return read_catalog_dir(spark, path, WRITTEN).select("id", "description")
 
 
+@query(
+    "catalog_dir_exported",
+    f"WITH {_SUPPLIERS} SELECT pos, id, name, CASE WHEN id = 'supplier-3' THEN 'new' ELSE 'old' END AS description FROM suppliers",
+)
+def catalog_dir_exported(spark, folder):
+    path = fresh_path(spark, "catalog-dir")
+    export_catalog_dir(_suppliers(spark, folder), path)
+    export_catalog_dir(_suppliers(spark, folder, "new"), path, ["supplier-3"])
+    return read_catalog_dir(spark, path).select("pos", "id", "name", "description")
+
+
 @query("catalog_json", "SELECT s_suppkey AS pos, 'supplier-' || s_suppkey AS id, s_name AS name FROM supplier")
 def catalog_json(spark, folder):
     path = fresh_path(spark, "catalog-json")

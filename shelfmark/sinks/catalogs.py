@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import sys
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import row_key
+from ..sources.files import as_uri, file_system
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -78,6 +82,49 @@ def write_catalog_dir(
     )
 
 
+def _write_documents(uri: str, descriptor: str):
+    """Task function: one indented file per document, complete under its name or absent."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(uri)
+        for batch in batches:
+            for id, doc in zip(batch["id"].to_pylist(), batch["doc"].to_pylist()):
+                if id in ("", ".", "..") or "/" in id:
+                    raise ValueError(f"no folder can be named after the id {id!r}")
+                text = json.dumps(json.loads(doc), sort_keys=True, indent=4, separators=(",", ": "))
+                folder = f"{root}/{id}"
+                system.create_dir(folder, recursive=True)
+                # object stores show a file when it is closed; others when it is renamed
+                rename = isinstance(system, (fs.LocalFileSystem, fs.SubTreeFileSystem))
+                target = f"{folder}/{descriptor}"
+                draft = f"{folder}/.{uuid.uuid4().hex}" if rename else target
+                with system.open_output_stream(draft) as out:
+                    out.write(text.encode())
+                if rename:
+                    system.move(draft, target)
+            yield pa.RecordBatch.from_arrays([batch["id"]], names=["id"])
+
+    return write
+
+
+def export_catalog_dir(
+    catalog: DataFrame,
+    path: str,
+    ids: Sequence[str] | None = None,
+    descriptor: str = "dataset.json",
+) -> None:
+    """One file ``<id>/<descriptor>`` per dataset, indented, keys sorted, for other tools.
+
+    Existing files of the same ids are replaced. Tasks write their own documents; a
+    task that runs again writes the same files.
+    """
+    if ids is not None:
+        catalog = catalog.filter(F.col("id").isin(list(ids)))
+    docs = catalog.select("id", F.to_json("raw").alias("doc"))
+    written = docs.mapInArrow(_write_documents(as_uri(path), descriptor), "id string")
+    written.write.format("noop").mode("overwrite").save()
+
+
 def create_catalog(catalog: DataFrame, path: str, overwrite: bool = False) -> None:
     """Write the documents of a new catalog; an existing target is an error by default."""
     mode = "overwrite" if overwrite else "errorifexists"

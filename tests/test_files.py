@@ -15,6 +15,7 @@ from shelfmark import (
     catalog_from_responses,
     create_catalog,
     csv_fields,
+    export_catalog_dir,
     infer_resources,
     infer_types,
     list_files,
@@ -125,6 +126,19 @@ def test_existing_targets(spark, sample, tmp_path):
     assert read_catalog_dir(spark, path, "part-*").count() == 3
 
 
+def test_export(spark, sample, tmp_path):
+    root = str(tmp_path / "c")
+    export_catalog_dir(sample.repartition(3), root)
+    assert documents(read_catalog_dir(spark, root)) == list(enumerate(SAMPLE))
+    text = (tmp_path / "c" / "d04" / "dataset.json").read_text()
+    assert text == json.dumps(SAMPLE[4], sort_keys=True, indent=4, separators=(",", ": "))
+    export_catalog_dir(docs(spark, json.dumps({"id": "d04", "name": "new"})), root, ["d04"])
+    assert [p.name for p in (tmp_path / "c" / "d04").iterdir() if not p.name.startswith(".")] == ["dataset.json"]
+    assert dict(read_catalog_dir(spark, root).select("id", "name").collect())["d04"] == "new"
+    with pytest.raises(Exception, match="no folder can be named"):
+        export_catalog_dir(docs(spark, json.dumps({"id": "../x"})), root)
+
+
 def test_replace_some(spark, sample, tmp_path):
     path = str(tmp_path / "c")
     create_catalog(sample, path)
