@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import nbsvm, toxicity
+from .labelled import fold
 from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +27,21 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(_table(spark, folder, "documents"))
+
+
+@_query
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents; learned from four of five folds of the labels."""
+    return (
+        toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"), fold("doc_id", 5) != 0)
+        .select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+    )
+
+
+@_query
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents; learned from three of four folds of the labels."""
+    return (
+        nbsvm.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"), fold("doc_id", 4) != 2)
+        .select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+    )
