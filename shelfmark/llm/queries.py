@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import nbsvm, toxicity
 from .labelled import fold
+from .minhash import edited_fingerprints
 from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +46,9 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         nbsvm.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"), fold("doc_id", 4) != 2)
         .select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
     )
+
+
+@_query
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """MinHash fingerprints of all documents and of their edited texts."""
+    return edited_fingerprints(_table(spark, folder, "documents")).drop("edited")
