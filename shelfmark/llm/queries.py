@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import nbsvm, toxicity
 from .labelled import fold
 from .minhash import edited_fingerprints
+from .mixing import draws
 from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +40,13 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """How often, and with how many words, a weighted mix takes every document."""
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda total, d: total + d["words"])
+    return draws(_table(spark, folder, "documents")).withColumn("taken", taken).drop("draws")
+
+
 @_query
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of all documents; learned from three of four folds of the labels."""
