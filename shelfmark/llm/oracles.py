@@ -1,3 +1,19 @@
 """SQL twins of the queries that SQL can express."""
 
 SQL: dict[str, str] = {}
+
+SQL["op8_chat_format"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+parts AS (
+  SELECT *, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') AS role_out,
+         replace(replace(text, '\', '\\'), '<|', '<\|') AS text_out FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|turn|>') + length(role_out) + 1 + length(text_out) + length('<|end|>') + 1) AS BIGINT) AS formatted_chars
+FROM parts GROUP BY conv_id
+"""

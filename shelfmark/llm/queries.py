@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import nbsvm, toxicity
+from .chat import format_chats, read_chats
 from .labelled import fold
 from .minhash import edited_fingerprints
 from .mixing import draws
@@ -56,6 +57,17 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one whose texts look like markup, formatted and read back."""
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return read_chats(format_chats(rows.withColumn("seq", F.col("turn")).withColumn("kind", F.lit("message"))))
+
+
 @_query
 def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """MinHash fingerprints of all documents and of their edited texts."""
