@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import nbsvm, toxicity
 from .chat import format_chats, read_chats
 from .labelled import fold
+from .main_text import extract
 from .minhash import edited_fingerprints
 from .mixing import draws
 from .simhash import near_duplicates
@@ -57,6 +58,12 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of all pages."""
+    return extract(_table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 @_query
 def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, and one whose texts look like markup, formatted and read back."""
