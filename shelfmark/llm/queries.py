@@ -13,6 +13,7 @@ from .labelled import fold
 from .main_text import extract
 from .minhash import edited_fingerprints
 from .mixing import draws
+from .pieces import decode, encode
 from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +43,20 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of all documents, decoded again."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    back = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return decode(encode(docs)).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        back.alias("round_trip"),
+    )
+
+
 @_query
 def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """How often, and with how many words, a weighted mix takes every document."""
