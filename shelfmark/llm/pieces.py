@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 SPACE = "▁"
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -305,7 +306,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays([*columns, lists], [*kept, ids_col])
 
     schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema
-    return rows.mapInArrow(run, schema.add(ids_col, "array<int>"))
+    return rows.mapInArrow(run, schema.add(ids_col, ArrayType(IntegerType())))
 
 
 def decode(
