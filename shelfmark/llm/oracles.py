@@ -17,3 +17,53 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length('<|turn|>') + length(role_out) + 1 + length(text_out) + length('<|end|>') + 1) AS BIGINT) AS formatted_chars
 FROM parts GROUP BY conv_id
 """
+
+SQL["op2_quality_rules"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (
+  SELECT *, list_filter(string_split_regex(text, '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\x0c\r]')) AS lines FROM docs),
+word AS (
+  SELECT k, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split),
+hashed AS (
+  SELECT k, i, word, CAST('0x' || substr(md5(word), 1, 15) AS BIGINT) AS h,
+         CAST('0x' || substr(md5(right(word, 3) || ' '), 1, 15) AS BIGINT) AS e FROM word),
+paired AS (
+  SELECT *, lag(h) OVER (PARTITION BY k ORDER BY i) AS before FROM hashed),
+places AS (
+  SELECT k, h % 16384 AS place FROM paired
+  UNION ALL SELECT k, e % 16384 FROM paired
+  UNION ALL SELECT k, ((before % 4294967296) * 31 + h % 4294967296) % 16384 FROM paired WHERE before IS NOT NULL),
+trusted AS (
+  SELECT k FROM docs WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+counts AS (
+  SELECT place, count(*) AS r, count(t.k) AS t FROM places p LEFT JOIN trusted t ON p.k = t.k GROUP BY place),
+total AS (
+  SELECT sum(r) AS r, sum(t) AS t FROM counts),
+ratio AS (
+  SELECT place, CASE WHEN total.t = 0 THEN 0 ELSE CAST(round((ln((counts.t + 1.0::DOUBLE) / (total.t + 16384.0::DOUBLE))
+         - ln((counts.r + 1.0::DOUBLE) / (total.r + 16384.0::DOUBLE))) * 1e6::DOUBLE) AS BIGINT) END AS weight FROM counts, total),
+scored AS (
+  SELECT k, sum(weight) AS total, count(*) AS n FROM places JOIN ratio USING (place) GROUP BY k),
+window5 AS (
+  SELECT k, i, [word, lead(word) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o] AS five,
+         lead(word, 4) OVER o AS fifth FROM word WINDOW o AS (PARTITION BY k ORDER BY i)),
+again AS (
+  SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, five) AS n FROM window5 WHERE fifth IS NOT NULL) WHERE n > 1),
+covered AS (
+  SELECT k, count(DISTINCT i + d) AS n FROM again, (SELECT unnest([0, 1, 2, 3, 4]) AS d) GROUP BY k),
+base AS (
+  SELECT split.k, doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM split LEFT JOIN covered ON split.k = covered.k),
+failed AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       coalesce(CAST(total AS DOUBLE) / (n * 1e6::DOUBLE), 0) AS score,
+       NOT base_failed AND coalesce(total >= n * -150000, TRUE) AS kept
+FROM failed LEFT JOIN scored ON failed.k = scored.k
+"""

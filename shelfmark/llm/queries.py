@@ -14,6 +14,7 @@ from .main_text import extract
 from .minhash import edited_fingerprints
 from .mixing import draws
 from .pieces import decode, encode
+from .quality_rules import quality_rules
 from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,12 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+@_query
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts of all documents, and which are kept."""
+    return quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 @_query
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of all documents; learned from four of five folds of the labels."""
