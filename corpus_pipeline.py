@@ -4,11 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from shelfmark.llm import mixing, nbsvm, pieces, simhash, toxicity
 from shelfmark.session import stage
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier, learned from all labels, does not call toxic."""
+    scored = toxicity.toxicity(docs, _labels(spark, sf_dir), F.lit(True), keep=docs.columns)
+    return scored.where("predicted = 0").select(docs.columns)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from all labels, calls good."""
+    scored = nbsvm.quality(docs, _labels(spark, sf_dir), F.lit(True), keep=docs.columns)
+    return scored.where("predicted = 1").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates: that with the smallest id.
+
+    Ids need not be unique: rows are told apart by id and text hash, and of rows equal
+    in both one stays. Null ids come last.
+    """
+    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
+    found = simhash.near_duplicates(rows, keep=["_text_hash"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_hash")).alias("first")
+    kept = found.groupBy("component").agg(first).select(
+        F.col("first.doc_id").alias("_id"), F.col("first._text_hash").alias("_hash")
+    )
+    same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_text_hash"] == kept["_hash"])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = Window.partitionBy("doc_id", "_text_hash").orderBy(*others, "text")
+    return rows.join(kept, same).withColumn("_n", F.row_number().over(once)).where("_n = 1").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix of sources takes them, in the order of its shards."""
+    return mixing.mix(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix."""
+    encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"))
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("quality classifier", keep_quality),
+    ("near-duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
+#: Trained classifiers and hashes that SQL lacks; tests compare the stages with plain computations.
 ORACLE_SQL = None
 
 

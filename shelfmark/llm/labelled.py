@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -86,16 +86,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def score_texts(
-    docs: DataFrame, scorer: Callable[[], Callable[[list[bytes]], np.ndarray]], id_col: str, text_col: str
+    docs: DataFrame,
+    scorer: Callable[[], Callable[[list[bytes]], np.ndarray]],
+    text_col: str,
+    keep: Sequence[str],
 ) -> DataFrame:
-    """(id, score) of every row; ``scorer`` makes, in every task, what turns texts into scores."""
+    """The columns ``keep`` of every row, and score; ``scorer`` makes, in every task, what turns texts into scores."""
+    kept = [c for c in keep if c not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
         for batch in batches:
             found = pa.array(np.asarray(score(texts(batch, "_text")), np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), found], ["_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], found], [*kept, "score"])
 
-    rows = two_columns(docs, id_col, text_col)
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, score double").withColumnRenamed("_id", id_col)
+    columns = [F.col(f"`{c}`") for c in kept]
+    named = [c.alias(f"_{i}") for i, c in enumerate(columns)]
+    rows = docs.select(*named, F.col(f"`{text_col}`").cast("string").alias("_text"))
+    return rows.mapInArrow(run, docs.select(*columns).schema.add("score", "double"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -160,8 +161,9 @@ def quality(
     per_class: int = PER_CLASS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """(id, score, predicted) of every row: how likely label 1 is, from the text alone.
+    """(id, or the columns ``keep``, score, predicted) of every row: how likely label 1 is, from the text alone.
 
     The model is fitted on the driver from at most ``per_class`` documents of each
     class whose label rows satisfy ``train``; texts are scored whole, on the executors.
@@ -171,5 +173,5 @@ def quality(
     """
     sample = labelled_sample(docs, labels, label, train, per_class, id_col, text_col)
     model = fit(collect_features(sample, ngrams))
-    scored = score_texts(docs, lambda: lambda batch: model.score([ngrams(t) for t in batch]), id_col, text_col)
+    scored = score_texts(docs, lambda: lambda batch: model.score([ngrams(t) for t in batch]), text_col, keep or [id_col])
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

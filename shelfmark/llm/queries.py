@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import nbsvm, toxicity
 from .chat import format_chats, read_chats
 from .labelled import fold
+from .licenses import scan_licenses
 from .main_text import extract
 from .minhash import edited_fingerprints
 from .mixing import draws
@@ -101,3 +102,22 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """MinHash fingerprints of all documents and of their edited texts."""
     return edited_fingerprints(_table(spark, folder, "documents")).drop("edited")
+
+
+@_query
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licenses of all documents, laid out as files of a tree by source and id.
+
+    A directory holds ten ids of each hundred; every third document is a licence file,
+    and every tenth of those one of the directory above.
+    """
+    docs = _table(spark, folder, "documents").select("doc_id", "source", "text")
+    top = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("doc_id div 2000"))
+    low = F.concat_ws("/", top, F.expr("doc_id div 200 % 10"))
+    name = F.concat(F.lit("LICENSE-"), F.col("doc_id"))
+    path = (
+        F.when(F.col("doc_id") % 30 == 0, F.concat_ws("/", top, name))
+        .when(F.col("doc_id") % 3 == 0, F.concat_ws("/", low, name))
+        .otherwise(F.concat_ws("/", low, F.concat(F.col("doc_id"), F.lit(".txt"))))
+    )
+    return scan_licenses(docs.select("doc_id", path.alias("path"), "text"))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
 from .components import connected_components
-from .words import masks, texts, two_columns
+from .words import masks, texts
 
 SEED = 42
 CHUNK = 1 << 14
@@ -38,22 +38,26 @@ def simhash(data: bytes, n: int = 3) -> int:
     return int(np.packbits(2 * counts > shingles, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
-    """(id, fp) of every row: SimHash over word n-grams, lower case for A to Z, XXH64 with seed 42.
+def fingerprints(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(id, the columns ``keep``, fp) of every row: SimHash over word n-grams, lower case for A to Z, XXH64 with seed 42.
 
     Repeated shingles count as often as they occur. A text of fewer than ``n`` words
     is one shingle; a null text or one without words has fingerprint 0. Rows are kept
     as they are, repeated and null ids included; other columns are left.
     """
+    kept = [id_col, *(c for c in keep if c not in (id_col, "fp"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = pa.array([simhash(t, n) for t in texts(batch, "_text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), fp], ["_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], fp], [*kept, "fp"])
 
-    rows = two_columns(df, id_col, text_col)
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, fp bigint").withColumnRenamed("_id", id_col)
+    columns = [F.col(f"`{c}`") for c in kept]
+    named = [c.alias(f"_{i}") for i, c in enumerate(columns)]
+    rows = df.select(*named, F.col(f"`{text_col}`").cast("string").alias("_text"))
+    return rows.mapInArrow(run, df.select(*columns).schema.add("fp", "long"))
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -159,16 +163,18 @@ def near_duplicates(
     distance: int = 3,
     blocks: int = 6,
     bucket: int = BUCKET,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, fingerprint, component_id) of every row.
+    """(id, fingerprint, component_id, component, the columns ``keep``) of every row.
 
     ``component_id`` is the smallest id among all rows reachable over links of at most
     ``distance`` differing bits, the row itself included. Equal fingerprints (exact
     copies, all texts without words) are one node, however many rows have them. Null
-    ids are no candidates for it; a component with null ids only has null. Repeated
+    ids are no candidates for it; a component with null ids only has null. ``component`` is
+    the smallest fingerprint of the component, which no other has. Repeated
     rows stay repeated, an empty table gives no rows, other columns are left.
     """
-    docs = stage(fingerprints(df, id_col, text_col, n), "simhash")
+    docs = stage(fingerprints(df, id_col, text_col, n, keep), "simhash")
     nodes = stage(docs.groupBy("fp").agg(F.min(id_col).alias("_least")), "nodes")
     roots = connected_components(links(nodes.select("fp"), distance, blocks, bucket))
     placed = stage(
@@ -176,7 +182,15 @@ def near_duplicates(
         "placed",
     )
     least = stage(placed.groupBy("root").agg(F.min("_least").alias("component_id")), "least")
-    named = stage(placed.join(least, "root").select("fp", "component_id"), "components")
+    named = stage(placed.join(least, "root").select("fp", "component_id", "root"), "components")
     return docs.join(named, "fp").select(
-        id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        id_col,
+        _hex(F.col("fp")).alias("fingerprint"),
+        "component_id",
+        _hex(F.col("root")).alias("component"),
+        *[c for c in keep if c != id_col],
     )
+
+
+def _hex(fp: Column) -> Column:
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")

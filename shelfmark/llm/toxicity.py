@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -178,8 +178,9 @@ def toxicity(
     per_class: int = PER_CLASS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """(id, score, predicted) of every row: how likely a text is toxic, from the text alone.
+    """(id, or the columns ``keep``, score, predicted) of every row: how likely a text is toxic, from the text alone.
 
     The confirmed examples are at most ``per_class`` documents labelled 1 for which
     ``train`` holds. The unlabelled text is that of at most as many documents with
@@ -194,5 +195,5 @@ def toxicity(
     prior = known.agg(F.avg(label)).first()[0]
     sample = labelled_sample(docs, labels, label, train, per_class, id_col, text_col)
     model = fit(collect_features(sample, features), prior)
-    scored = score_texts(docs, model.scorer, id_col, text_col)
+    scored = score_texts(docs, model.scorer, text_col, keep or [id_col])
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
