@@ -5,6 +5,7 @@ from compare import compare, database
 from conftest import TABLES, plan_of
 
 import __spark_entry__ as entry
+from shelfmark.plans import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,7 +13,7 @@ def con():
     return database(TABLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, TABLES)
     plan = plan_of(df)
