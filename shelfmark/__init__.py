@@ -45,9 +45,17 @@ from .operators.shape import (
     normalize,
     resource_tree,
     summary,
+    with_document,
 )
 from .operators.sync import sync_plan, sync_summary
-from .operators.validate import field_counts, roll_up, validate, validate_descriptors
+from .operators.validate import (
+    explode_leaves,
+    field_counts,
+    roll_up,
+    validate,
+    validate_catalog,
+    validate_descriptors,
+)
 from .schema import DATASET, LEAF, RESOURCE, to_fields, to_struct
 from .session import session
 from .sinks.catalogs import (

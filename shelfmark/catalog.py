@@ -10,7 +10,7 @@ from .operators import lookup, mutate, shape
 from .operators import search as searching
 from .operators.locate import resolve_paths
 from .sinks.catalogs import (
-    export_catalog_dir,
+    create_catalog,
     write_catalog,
     write_catalog_array,
     write_catalog_json,
@@ -90,7 +90,7 @@ class Catalog:
         ``layout``: table, lines, json (arrays) or dir (``<id>/dataset.json``).
         """
         if layout == "dir":
-            export_catalog_dir(self.datasets, path)
+            create_catalog(self.datasets, path, overwrite)
         elif layout == "json":
             write_catalog_array(self.datasets, path, overwrite)
         elif layout == "lines":

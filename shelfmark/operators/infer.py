@@ -17,6 +17,7 @@ from ..functions.text import extension, metadata_uri
 from ..schema import RESOURCE, spark_type
 from ..sources.files import file_system, list_files, relative_path
 from .position import dense_position
+from .shape import with_document
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -252,8 +253,8 @@ def column_votes(
     of its file: its cell is taken out of the counts again.
     """
     files = list_files(spark, root, glob=glob).select("path", "uri")
-    # hidden folders are not part of a dataset
-    files = files.filter(~F.col("path").rlike(r"(^|/)\."))
+    # names that Spark's readers leave out are not part of a dataset
+    files = files.filter(~F.col("path").rlike(r"(^|/)[._]"))
     headers = csv_headers(files.withColumn("encoding", F.lit("iso-8859-1"))).select(
         "path", F.posexplode_outer("names").alias("field_pos", "field")
     )
@@ -269,9 +270,12 @@ def column_votes(
         escape='"',
         multiLine=multi_line,
     )
-    cells = table.select(
-        relative_path(root).alias("path"),
-        F.posexplode(F.array(*[F.col(f"c{i}") for i in range(width)])).alias("field_pos", "cell"),
+    # one row for each cell that a line has, and one (-1) for the line: absent cells cost nothing
+    number = F.transform(F.array(*[F.col(f"c{i}") for i in range(width)]), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+    line = F.array(F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("c")))
+    found = F.concat(line, F.filter(number, lambda x: x["c"].isNotNull()))
+    cells = table.select(relative_path(root).alias("path"), F.explode(found).alias("_x")).select(
+        "path", F.col("_x.i").alias("field_pos"), F.col("_x.c").alias("cell")
     )
     cell = F.col("cell")
     high = F.octet_length(cell) > F.length(cell)
@@ -289,8 +293,10 @@ def column_votes(
         .agg(*_votes(), F.bool_and("valid").alias("valid"), F.bool_or("c1").alias("c1"))
     )
     encodings = votes.groupBy("path").agg(
-        _encoding(F.bool_and("valid"), F.bool_or("c1")).alias("encoding")
+        _encoding(F.bool_and("valid"), F.bool_or("c1")).alias("encoding"),
+        F.max(F.when(F.col("field_pos") == -1, F.col("n"))).alias("_lines"),
     )
+    votes = votes.filter("field_pos >= 0").drop("valid", "c1")
     head = _cell_kind(F.col("field"), missing)
 
     def without_header(name: str, is_head: Column) -> Column:
@@ -306,8 +312,14 @@ def column_votes(
             encoding.alias("encoding"),
             F.col("field_pos").cast("long").alias("field_pos"),
             _decoded(F.col("field"), encoding).alias("field"),
-            without_header("n", F.lit(True)),
-            without_header("n_missing", head.isNull()),
+            F.greatest(F.coalesce("_lines", F.lit(0)) - 1, F.lit(0)).alias("n"),
+            # a missing cell is blank, or not there at all
+            F.greatest(
+                F.coalesce("_lines", F.lit(0)) - 1
+                - (F.coalesce("n", F.lit(0)) - F.coalesce("n_missing", F.lit(0)))
+                + F.coalesce(head.isNotNull(), F.lit(False)).cast("int"),
+                F.lit(0),
+            ).alias("n_missing"),
             *[without_header(f"n_{k}", head.isin(*FORMS[k])) for k in ORDER],
         )
     )
@@ -397,39 +409,31 @@ def resource_failures(
 
 
 def build_descriptors(
-    basics: DataFrame,
-    resources: DataFrame,
-    descriptor: str = "dataset.json",
-    max_resources: int = 10_000,
+    basics: DataFrame, resources: DataFrame, descriptor: str = "dataset.json"
 ) -> DataFrame:
-    """Whole descriptors: basics, derived metadata_uri and the data package.
+    """Whole descriptors, one row each: basics, derived metadata_uri, the data package, pos and raw.
 
-    ``basics`` has unique (id, name, description, source, uri); ``resources`` has
-    (dataset_id, pos, RESOURCE columns) with dense positions. A descriptor is one
-    document in one row, so a dataset with more than ``max_resources`` resources gets
-    further rows: ``part`` 0, 1, ... with ``first_pos``, nothing is left out.
+    ``basics`` has unique (id, name, description, source, uri), and may have pos; else
+    the positions follow the ids. ``resources`` has (dataset_id, pos, RESOURCE columns).
+    A descriptor is one document, so the resources of a dataset meet in its row; where
+    they are too many for that, keep them as a table and give it to ``resolve_paths``.
     """
-    part = F.floor(F.col("pos") / F.lit(max_resources)).cast("int")
+    if "pos" not in basics.columns:
+        basics = dense_position(basics, ["id"])
     packages = (
-        resources.groupBy(F.col("dataset_id").alias("id"), part.alias("part"))
+        resources.groupBy(F.col("dataset_id").alias("id"))
         .agg(
             F.array_sort(F.collect_list(F.struct("pos", F.struct(*RESOURCE.names).alias("r")))).alias("_rs")
         )
         .select(
             "id",
-            "part",
             F.struct(
                 F.lit("tabular-data-package").alias("profile"),
                 F.transform("_rs", lambda s: s.r).alias("resources"),
             ).alias("datapackage"),
         )
     )
-    return (
-        basics.withColumn(
-            "metadata_uri",
-            metadata_uri(F.col("source"), F.coalesce("uri", F.lit("")), descriptor=descriptor),
-        )
-        .join(packages, "id", "left")
-        .withColumn("part", F.coalesce("part", F.lit(0)))
-        .withColumn("first_pos", F.col("part").cast("long") * max_resources)
+    described = basics.withColumn(
+        "metadata_uri", metadata_uri(F.col("source"), F.coalesce("uri", F.lit("")), descriptor=descriptor)
     )
+    return with_document(described.join(packages, "id", "left"))

@@ -1,4 +1,9 @@
-"""Lookups of a table in another one, safe against hot keys."""
+"""Joins of a large table with keys, safe against hot keys.
+
+Existence tests are plain semi and anti joins on plain tables: adaptive execution splits
+a hot key of the left side. It cannot where the right side is an aggregate; there the
+keys are salted.
+"""
 
 from __future__ import annotations
 
@@ -7,85 +12,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import no_match
-
-# Keys with fewer rows than this are no trouble for the task that gets them.
-HOT_ROWS = 100_000
-# At most so many keys are treated as hot.
-HOT_KEYS = 128
-# The sketch counts this many candidates: a key with more than about 1/1500 of all
-# rows is among those it reports.
-SKETCH = 2_048
-# The sketches of all tasks are merged into this many.
-GROUPS = 256
-
+SALT = 16
 
-def heavy_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> list[str]:
-    """The keys that hold at least ``rows`` rows, heaviest first, at most HOT_KEYS.
-
-    One pass over the key column. Every task fills a frequent-items sketch of fixed
-    size; only those sketches are exchanged, and the few keys they report are summed.
-    """
-    sketches = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("_group")).agg(
-        F.expr(f"approx_top_k_accumulate(`{key}`, {SKETCH})").alias("_s")
-    )
-    top = sketches.select(F.inline(F.expr(f"approx_top_k_estimate(_s, {HOT_KEYS})")))
-    heavy = (
-        top.filter(F.col("item").isNotNull())
-        .groupBy("item")
-        .agg(F.sum("count").alias("n"))
-        .filter(F.col("n") >= rows)
-    )
-    return [r["item"] for r in heavy.orderBy(F.desc("n")).limit(HOT_KEYS).collect()]
 
+def flagged(left: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """Add ``name``: does the row's key occur in ``keys``? Null keys do not."""
+    there = left.join(keys.select(key), key, "left_semi").select(*left.columns, F.lit(True).alias(name))
+    gone = left.join(keys.select(key), key, "left_anti").select(*left.columns, F.lit(False).alias(name))
+    return there.unionByName(gone)
 
-def lookup(
-    left: DataFrame, right: DataFrame, key: str, spread: Sequence[str], hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Left join on a text column, with ``right`` unique on it.
 
-    One key may hold a large part of ``left``. Hot keys are counted first (one job on
-    the key column). Their rows of ``right``, at most HOT_KEYS, are broadcast, and
-    their left rows need no common task. In the shuffle join of all other keys these
-    rows, and rows with a null key, stand under a key of their own; ``spread`` names
-    columns that tell rows apart.
+def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread: Sequence[str], salt: int = SALT) -> DataFrame:
+    """Left join with an aggregate that is unique on ``key``.
 
-    Adaptive execution alone does not split such a join: it cannot if ``right`` is
-    itself the result of an aggregation.
+    The rows of a key are dealt to ``salt`` tasks by the columns ``spread``, and the
+    aggregate, which is small against the left side, is repeated as often.
     """
     payload = [c for c in right.columns if c != key]
-    found = right.select(key, F.struct(*payload).alias("_found"))
-    hot = heavy_keys(left, key, hot_rows)
-    alone = F.col(key).isNull()
-    if hot:
-        left_columns = left.columns
-        alone = alone | F.col(key).isin(hot)
-        few = found.filter(F.col(key).isin(hot)).withColumnRenamed("_found", "_hot")
-        left = left.join(F.broadcast(few), key, "left").select(*left_columns, "_hot")
-    keyed = left.withColumn("_key", F.when(alone, no_match(*spread)).otherwise(F.col(key)))
-    joined = keyed.join(found.withColumnRenamed(key, "_key"), "_key", "left")
-    columns = [c for c in left.columns if c != "_hot"]
-    if not hot:
-        return joined.select(*columns, *[F.col(f"_found.{c}") for c in payload])
-    return joined.select(
-        *columns, *[F.coalesce(f"_hot.{c}", f"_found.{c}").alias(c) for c in payload]
-    )
-
-
-def has(
-    left: DataFrame,
-    keys: DataFrame,
-    key: str,
-    spread: Sequence[str],
-    name: str,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Add ``name``: does the row's key occur in ``keys``? Null keys do not."""
-    there = keys.select(key).distinct().withColumn(name, F.lit(True))
-    found = lookup(left, there, key, spread, hot_rows)
-    return found.withColumn(name, F.coalesce(name, F.lit(False)))
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salt)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return dealt.join(copies, [key, "_salt"], "left").select(*left.columns, *payload)
 
 
 def row_key(df: DataFrame) -> list[str]:
     """The columns that tell the rows of a catalog apart."""
-    return [c for c in ("id", "pos", "catalog", "part") if c in df.columns]
+    return [c for c in ("id", "pos", "catalog") if c in df.columns]

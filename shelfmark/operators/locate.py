@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, list_block, metadata_uri, parent_uri, slug
-from .joins import has, lookup, row_key
+from .joins import flagged, row_key, salted_lookup
 
 # Hosts whose raw files can be fetched, and from where.
 RAW_HOSTS = {"github.com": "https://raw.githubusercontent.com"}
@@ -69,20 +69,25 @@ def repo_hosts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("host", "owner", "supported").agg(F.count("*").alias("n"))
 
 
-def resolve_paths(catalog: DataFrame, folders: DataFrame, base: str) -> DataFrame:
+def resolve_paths(
+    catalog: DataFrame, folders: DataFrame, base: str, resources: DataFrame | None = None
+) -> DataFrame:
     """(dataset_id, pos, name, path, kind, location, supported) of every resource.
 
     Local if the dataset's folder is in ``folders`` (column ``id``), else a URL next
     to the metadata for git, else the path as declared. The join runs on datasets,
     before their resources are unfolded, so a dataset with many files is one row.
+    Resources may be a table of their own (dataset_id, pos, name, path) instead.
     """
-    found = has(catalog, folders, "id", row_key(catalog), "_local").select(
-        F.col("id").alias("dataset_id"),
-        "source",
-        "metadata_uri",
-        "_local",
-        F.posexplode_outer("datapackage.resources").alias("pos", "_r"),
-    ).filter(F.col("pos").isNotNull())
+    columns = ["id", "source", "metadata_uri", *([] if resources is not None else ["datapackage"])]
+    found = flagged(catalog.select(columns), folders, "id", "_local").withColumnRenamed("id", "dataset_id")
+    if resources is not None:
+        own = resources.select("dataset_id", "pos", F.struct("name", "path").alias("_r"))
+        found = own.join(found, "dataset_id")
+    else:
+        found = found.select(
+            "dataset_id", "source", "metadata_uri", "_local", F.posexplode_outer("datapackage.resources").alias("pos", "_r")
+        ).filter(F.col("pos").isNotNull())
     path = F.coalesce("_r.path", F.lit(""))
     kind = F.when(F.col("_local"), "local").when(F.col("source") == "git", "git").otherwise("direct")
     return found.select(
@@ -126,7 +131,7 @@ def with_collisions(catalog: DataFrame) -> DataFrame:
     """
     spread = row_key(catalog)
     slugs = catalog.select(*spread, slug(F.col("id")).alias("slug"))
-    return lookup(slugs, slug_collisions(catalog), "slug", spread).select(
+    return salted_lookup(slugs, slug_collisions(catalog), "slug", spread).select(
         "id", "slug", F.coalesce("n", F.lit(1)).cast("long").alias("n")
     )
 

@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.flatten import with_entries
-from .joins import has, row_key
-from .shape import explode_resources
+from ..functions.flatten import entries, with_entries
 
 # The keys a search looks into by default.
 SEARCH_KEYS = ("name", "id", "repository", "tags", "description")
@@ -29,8 +27,7 @@ def ignored_names(descriptor: str = "dataset.json") -> tuple[str, ...]:
 def by_ids(catalog: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
     """Rows whose id is one of ``ids``: a list, or a table with a column ``id``."""
     if isinstance(ids, DataFrame):
-        wanted = has(catalog, ids, "id", row_key(catalog), "_wanted")
-        return wanted.filter("_wanted").drop("_wanted")
+        return catalog.join(ids.select("id"), "id", "left_semi").select(catalog.columns)
     return catalog.filter(F.col("id").isin(list(ids)))
 
 
@@ -65,10 +62,8 @@ def select_resource(
         key, value = "name", name
     else:
         raise ValueError("give one of idx, path, name")
-    if "datapackage" in source.columns and "part" not in source.columns:
-        return _select_in_row(source, key, value, report_missing)
     if "datapackage" in source.columns:
-        source = explode_resources(source)
+        return _select_in_row(source, key, value, report_missing)
     match = F.col(key) == value
     rest = [c for c in source.columns if c != "dataset_id"]
     rows = source if report_missing else source.filter(match)
@@ -101,13 +96,16 @@ def search_values(catalog: DataFrame, keys: Sequence[str] = SEARCH_KEYS) -> tupl
     """The catalog and an array column with all texts under ``keys``.
 
     Typed columns are used where they exist, so that a default search never reads
-    ``raw``; other keys are flattened from ``raw``.
+    ``raw``; other keys are flattened from ``raw``. A typed text that is the JSON of an
+    object or a list, which a nested value becomes, counts with its leaves.
     """
     have = set(catalog.columns)
     typed = [F.col(k) for k in keys if k in _TYPED and k in have]
     parts = [F.array(*typed)] if typed else []
     if "tags" in keys and "tags" in have:
         parts.append(F.coalesce("tags", F.array().cast("array<string>")))
+    if parts:
+        parts = [_leaves(F.concat(*parts))]
     other = [k for k in keys if k not in have or (k not in _TYPED and k != "tags")]
     if other and "raw" in have:
         top = F.try_variant_get(F.col("raw"), "$", "map<string,variant>")
@@ -120,12 +118,37 @@ def search_values(catalog: DataFrame, keys: Sequence[str] = SEARCH_KEYS) -> tupl
     return catalog, F.array_compact(F.concat(*parts))
 
 
+def _nested(text: Column) -> Column:
+    """The value of a text that is the JSON of an object or a list, else null."""
+    return F.when(text.rlike(r"^\s*[{\[]"), F.try_parse_json(text))
+
+
+def _leaves(texts: Column) -> Column:
+    """Texts, with the leaves of nested values in their place. Rows without any are left as they are."""
+    flat = F.filter(texts, lambda t: _nested(t).isNull())
+    inner = F.transform(F.filter(texts, lambda t: _nested(t).isNotNull()), _nested)
+    some = F.exists(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.coalesce(t.rlike(r"^\s*[{\[]"), F.lit(False)))
+    # below eight levels a value counts as one text
+    values = F.transform(
+        entries(F.to_variant_object(inner), "__", 8),
+        lambda e: F.coalesce(F.try_variant_get(e.value, "$", "string"), F.to_json(e.value)),
+    )
+    return F.when(some, F.concat(flat, values)).otherwise(texts)
+
+
 def search_fields(catalog: DataFrame, keys: Sequence[str] = SEARCH_KEYS, sep: str = "__") -> DataFrame:
     """(id, pos, key, value) of the texts a search looks into."""
     have = set(catalog.columns)
     typed = [k for k in keys if k in have and (k in _TYPED or k == "tags")]
-    record = F.struct(*[F.col(k) for k in typed])
-    value = F.parse_json(F.to_json(record)) if typed else F.parse_json(F.lit("{}"))
+
+    def variant(k: str) -> Column:
+        if k != "tags":
+            return F.coalesce(_nested(F.col(k)), F.col(k).cast("string").cast("variant"))
+        each = F.transform("tags", lambda t: F.coalesce(_nested(t), t.cast("variant")))
+        return F.when(F.col("tags").isNotNull(), F.to_variant_object(each))
+
+    record = [F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("key"), variant(k).alias("value"))) for k in typed]
+    value = F.to_variant_object(F.map_from_entries(F.array_compact(F.array(*record)))) if typed else F.parse_json(F.lit("{}"))
     other = [k for k in keys if k not in typed]
     if other and "raw" in have:
         top = F.try_variant_get(F.col("raw"), "$", "map<string,variant>")

@@ -1,8 +1,8 @@
 """Changes of a catalog. Each returns a new DataFrame; nothing is written in place.
 
-Rows are told apart by (id, pos). One id may hold a large share of the rows: new
-rows are reduced to one per id first (partial aggregation) and joined on (id, pos),
-which has no hot key; the catalog's own rows are looked up with ``joins.lookup``.
+New rows are written once with a number of their own, so that rows equal in every
+column can be told apart; one row for each id is chosen by partial aggregation, and
+ids are tested by semi and anti joins, of which adaptive execution splits hot keys.
 """
 
 from __future__ import annotations
@@ -12,37 +12,60 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import has, lookup, row_key
+from ..session import stage
+from .position import dense_position
+
+
+def _one_each(new: DataFrame, pick) -> tuple[DataFrame, DataFrame]:
+    """(the new rows with a number ``_number``, for each id the order of the row that ``pick`` chooses)."""
+    numbered = stage(new.withColumn("_number", F.monotonically_increasing_id()), "new")
+    order = F.struct(F.col("pos"), F.col("_number"))
+    return numbered, numbered.groupBy("id").agg(pick(order).alias("_o"))
+
+
+def _appended(catalog: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``_number``), in order of pos, with the positions after the last of the catalog."""
+    last = catalog.agg(F.max("pos")).first()[0]
+    placed = dense_position(rows.select("_number", F.col("pos").alias("_old")), ["_old", "_number"], name="_at")
+    first = 0 if last is None else last + 1
+    return rows.join(placed.select("_number", "_at"), "_number").withColumn("pos", F.col("_at") + F.lit(first).cast("long")).drop("_at")
 
 
 def add(catalog: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(catalog with the accepted rows, rejected rows).
 
-    A new row is rejected if its id exists already, or earlier in ``new``.
+    A new row is rejected if its id exists already, or earlier in ``new``; of rows with
+    one id and position one is accepted. Accepted rows stand after the last of the
+    catalog, in their order; rejected ones are as they came.
     """
-    accepted = (
-        new.groupBy("id")
-        .agg(F.min("pos").alias("pos"))
-        .join(catalog.select("id").distinct(), "id", "left_anti")
-    )
-    taken = new.join(accepted, ["id", "pos"], "left_semi")
-    rejected = new.join(accepted, ["id", "pos"], "left_anti")
+    numbered, first = _one_each(new, F.min)
+    accepted = stage(first.join(catalog.select("id"), "id", "left_anti").select(F.col("_o._number").alias("_number")), "accepted")
+    taken = _appended(catalog, numbered.join(accepted, "_number", "left_semi")).drop("_number")
+    rejected = numbered.join(accepted, "_number", "left_anti").select(new.columns)
     return catalog.unionByName(taken, allowMissingColumns=True), rejected
 
 
 def remove(catalog: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
     """The catalog without these ids; absent ids change nothing, files stay."""
     if isinstance(ids, DataFrame):
-        gone = has(catalog, ids, "id", row_key(catalog), "_gone")
-        return gone.filter(~F.col("_gone")).drop("_gone")
+        return catalog.join(ids.select("id"), "id", "left_anti").select(catalog.columns)
     return catalog.filter(~F.coalesce(F.col("id").isin(list(ids)), F.lit(False)))
 
 
 def upsert(catalog: DataFrame, new: DataFrame) -> DataFrame:
-    """New versions replace rows of the same id; of several new versions the last wins."""
-    last = new.groupBy("id").agg(F.max("pos").alias("pos"))
-    kept = remove(catalog, last)
-    return kept.unionByName(new.join(last, ["id", "pos"], "left_semi"), allowMissingColumns=True)
+    """New versions replace rows of the same id; of several new versions the last wins.
+
+    A new version takes the first position of what it replaces; new ids stand after
+    the last row of the catalog.
+    """
+    numbered, last = _one_each(new, F.max)
+    chosen = stage(last.select("id", F.col("_o._number").alias("_number")), "chosen")
+    rows = numbered.join(chosen.select("_number"), "_number", "left_semi")
+    old = stage(catalog.join(chosen.select("id"), "id", "left_semi").groupBy("id").agg(F.min("pos").alias("_pos")), "old")
+    there = rows.join(old, "id").withColumn("pos", F.col("_pos")).select(new.columns)
+    fresh = _appended(catalog, rows.join(old.select("id"), "id", "left_anti")).select(new.columns)
+    kept = remove(catalog, chosen)
+    return kept.unionByName(there, allowMissingColumns=True).unionByName(fresh, allowMissingColumns=True)
 
 
 def backfill(catalog: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -50,14 +73,15 @@ def backfill(catalog: DataFrame, fetched: DataFrame) -> DataFrame:
 
     ``fetched`` has unique (metadata_uri, datapackage). ``backfill_status`` tells
     present, filled, missing (nothing fetched) or unsupported (source is not git).
-    Only rows that need a package are looked up.
+    Only rows that need a package are looked up. Filled packages are part of the
+    document when the catalog is saved.
     """
     needs = F.col("datapackage").isNull() & (F.col("source") == "git")
     left = catalog.withColumn("_uri", F.when(needs, F.col("metadata_uri")))
     right = fetched.select(
         F.col("metadata_uri").alias("_uri"), F.col("datapackage").alias("_body")
     )
-    joined = lookup(left, right, "_uri", row_key(catalog))
+    joined = left.join(right, "_uri", "left").select(*left.columns, "_body")
     status = (
         F.when(F.col("datapackage").isNotNull(), "present")
         .when(F.col("_body").isNotNull(), "filled")

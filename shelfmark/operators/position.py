@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,8 +43,12 @@ def dense_position(
     )
     if not by:
         offsets = F.broadcast(offsets)  # one row per partition of the range sort
+    # null keys are groups, too
+    keys = {key: f"_by_{i}" for i, key in enumerate([*by, "_part"])}
+    offsets = offsets.withColumnsRenamed(keys)
+    same = reduce(and_, [F.col(f"`{key}`").eqNullSafe(F.col(new)) for key, new in keys.items()])
     return (
-        placed.join(offsets, [*by, "_part"])
+        placed.join(offsets, same)
         .withColumn(name, (F.col("_before") + F.col("_row") - F.col("_first")).cast("long"))
-        .drop("_part", "_row", "_first", "_before")
+        .drop("_part", "_row", "_first", "_before", *keys.values())
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,27 +34,69 @@ def _get(raw: Column, key: str, kind: str) -> Column:
     return F.try_variant_get(raw, f"$.{key}", kind)
 
 
+def _typed(doc: Column) -> dict[str, Column]:
+    """The typed columns of a descriptor."""
+    text = {n: _get(doc, n, "string") for n in DATASET_TEXT}
+    for name in ("id", "metadata_uri"):
+        text[name] = F.coalesce(text[name], F.lit(""))
+    single = _get(doc, "tags", "string")
+    return {
+        **text,
+        "tags": F.coalesce(_get(doc, "tags", "array<string>"), F.when(single.isNotNull(), F.array(single))),
+        "contributors": _get(doc, "contributors", CONTRIBUTORS.simpleString()),
+        "datapackage": _get(doc, "datapackage", DATAPACKAGE.simpleString()),
+    }
+
+
 def normalize(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Typed columns of a descriptor held in a VARIANT column; other columns stay.
 
     ``id`` and ``metadata_uri`` default to the empty text. ``tags`` may be a list or
     a single text; a text becomes a list of one.
     """
-    doc = F.col(raw)
-    text = {n: _get(doc, n, "string") for n in DATASET_TEXT}
-    for name in ("id", "metadata_uri"):
-        text[name] = F.coalesce(text[name], F.lit(""))
-    single = _get(doc, "tags", "string")
-    return df.withColumns(
-        {
-            **text,
-            "tags": F.coalesce(
-                _get(doc, "tags", "array<string>"), F.when(single.isNotNull(), F.array(single))
-            ),
-            "contributors": _get(doc, "contributors", CONTRIBUTORS.simpleString()),
-            "datapackage": _get(doc, "datapackage", DATAPACKAGE.simpleString()),
-        }
-    )
+    return df.withColumns(_typed(F.col(raw)))
+
+
+def with_document(catalog: DataFrame) -> DataFrame:
+    """The catalog with a whole document in ``raw``: typed columns flow back into it.
+
+    A key whose typed column says the same as the document stays as it is written,
+    with all that the typed column does not hold. A changed one is replaced, or
+    left out if it is null. Rows without a document get one from their typed columns;
+    a row that has neither is an error when it is written.
+    """
+    have = F.col("raw") if "raw" in catalog.columns else F.lit(None).cast("variant")
+    doc = F.coalesce(have, F.parse_json(F.lit("{}")))
+    changed = []
+    for name, old in _typed(doc).items():
+        if name not in catalog.columns:
+            continue
+        new = F.col(name)
+        if name in DATASET_TEXT:
+            same, value = new.eqNullSafe(old), new.cast("string").cast("variant")
+        else:
+            same, value = F.to_json(new).eqNullSafe(F.to_json(old)), F.parse_json(F.to_json(new))
+        # a default is no change of a document that lacks the key
+        same = same | (new.isNull() & old.isNull())
+        changed.append(F.struct(F.lit(name).alias("key"), value.alias("value"), (~same).alias("is")))
+    top = F.coalesce(F.try_variant_get(doc, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    if changed:
+        edits = F.filter(F.array(*changed), lambda e: e["is"])
+        keys = F.transform(edits, lambda e: e["key"])
+        set_ = F.map_from_entries(
+            F.transform(
+                F.filter(edits, lambda e: e["value"].isNotNull()),
+                lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")),
+            )
+        )
+        merged = F.map_concat(F.map_filter(top, lambda k, v: ~F.array_contains(keys, k)), set_)
+        document = F.when(F.size(edits) == 0, doc).otherwise(F.to_variant_object(merged))
+    else:
+        document = doc
+    none = F.raise_error(F.lit("a row without a document cannot be written")).cast("variant")
+    said = [F.col(n).isNotNull() for n in _typed(doc) if n in catalog.columns]
+    empty = have.isNull() & ~F.coalesce(reduce(Column.__or__, said, F.lit(False)), F.lit(False))
+    return catalog.withColumn("raw", F.when(empty, none).otherwise(document))
 
 
 def _inner(exploded: DataFrame, pos: str) -> DataFrame:
@@ -68,15 +112,11 @@ def explode_resources(catalog: DataFrame, outer: bool = False) -> DataFrame:
     """One row per resource, with its position; ``outer`` keeps datasets without any."""
     out = catalog.select(
         F.col("id").alias("dataset_id"),
-        *([F.col("first_pos")] if "first_pos" in catalog.columns else []),
         F.posexplode_outer("datapackage.resources").alias("pos", "resource"),
     )
     if not outer:
         out = _inner(out, "pos")
-    pos = F.col("pos").cast("long")
-    if "first_pos" in catalog.columns:
-        pos = pos + F.col("first_pos")
-    return out.select("dataset_id", pos.alias("pos"), "resource.*")
+    return out.select("dataset_id", F.col("pos").cast("long").alias("pos"), "resource.*")
 
 
 def explode_fields(catalog: DataFrame, outer: bool = False) -> DataFrame:

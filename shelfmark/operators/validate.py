@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import blank
-from .joins import has
+from ..schema import LEAF
+from .joins import flagged
 
 # Status names and message forms of a report row.
 SUCCESS, WARNING, ERROR = "success", "warning", "error"
@@ -46,6 +48,44 @@ def _check_filled(check: str, gone: Column, bad: str) -> Column:
     )
 
 
+def explode_leaves(catalog: DataFrame) -> DataFrame:
+    """The leaves (LEAF columns) that descriptors list under ``data``, one row each, in order.
+
+    Sizes may be numbers or texts of numbers; datasets without leaves have no rows.
+    """
+    kind = T.ArrayType(T.StructType([f for f in LEAF if f.name not in ("dataset_id", "pos")])).simpleString()
+    return (
+        catalog.select(
+            F.col("id").alias("dataset_id"),
+            F.posexplode_outer(F.try_variant_get("raw", "$.data", kind)).alias("pos", "_leaf"),
+        )
+        .filter(F.col("pos").isNotNull())
+        .select("dataset_id", F.col("pos").cast("long").alias("pos"), "_leaf.*")
+    )
+
+
+def validate_catalog(
+    catalog: DataFrame, files: DataFrame | None = None, checks: tuple[str, ...] = CHECKS
+) -> DataFrame:
+    """The report on all leaves of a loaded catalog.
+
+    ``files`` lists the files below the catalog: the path of a leaf is looked up below
+    the folder of its dataset.
+    """
+    leaves = explode_leaves(catalog)
+    if files is not None:
+        below = F.when(~blank(F.col("path")), F.concat("dataset_id", F.lit("/"), "path"))
+        report = validate(leaves.withColumn("path", below), files, checks)
+        own = F.expr("substring(path, length(dataset_id) + 2)")
+        # messages and values name the path as it is declared
+        cut = lambda c: F.replace(c, F.concat("dataset_id", F.lit("/")), F.lit(""))
+        is_path = F.col("check") == "path"
+        return report.withColumns(
+            {"value": F.when(is_path, own).otherwise(F.col("value")), "message": F.when(is_path, cut(F.col("message"))).otherwise(F.col("message")), "path": own}
+        )
+    return validate(leaves, files, checks)
+
+
 def field_counts(leaves: DataFrame) -> DataFrame:
     """(dataset_id, pos, n_fields, names_missing, descriptions_missing) per leaf."""
     n, names, texts = _field_counts()
@@ -95,7 +135,7 @@ def _with_found(leaves: DataFrame, files: DataFrame) -> DataFrame:
     path = F.col("path")
     asked = leaves.withColumn("_path", F.when(~blank(path), path))
     there = files.select(path.alias("_path"))
-    return has(asked, there, "_path", ["dataset_id", "pos"], "_found").drop("_path")
+    return flagged(asked, there, "_path", "_found").drop("_path")
 
 
 def validate(

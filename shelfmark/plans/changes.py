@@ -17,7 +17,9 @@ fresh AS (
          o_orderpriority AS name FROM orders),
 firsts AS (SELECT id, min(pos) AS pos FROM fresh GROUP BY id),
 taken AS (
-  SELECT f.* FROM fresh f JOIN firsts USING (id, pos) WHERE f.id NOT IN (SELECT id FROM have))
+  SELECT f.* FROM fresh f JOIN firsts USING (id, pos) WHERE f.id NOT IN (SELECT id FROM have)),
+placed AS (
+  SELECT (SELECT max(pos) FROM have) + row_number() OVER (ORDER BY pos) AS pos, id, name FROM taken)
 """
 
 
@@ -36,11 +38,43 @@ def _fresh(spark, folder):
     )
 
 
-@query("add_unique", f"WITH {ITEMS} SELECT * FROM have UNION ALL SELECT * FROM taken")
+@query("add_unique", f"WITH {ITEMS} SELECT * FROM have UNION ALL SELECT * FROM placed")
 def add_unique(spark, folder):
     return mutate.add(_have(spark, folder), _fresh(spark, folder))[0]
 
 
+# ten orders share a position, so that ties of id and position occur
+_TIED = """
+tied AS (SELECT o_orderkey // 10 AS pos, 'item-' || CAST(floor(o_totalprice / 10000) AS BIGINT) AS id FROM orders),
+have AS (SELECT c_custkey AS pos, 'item-' || c_custkey AS id FROM customer WHERE c_custkey % 7 = 0),
+firsts AS (SELECT id, min(pos) AS pos FROM tied WHERE id NOT IN (SELECT id FROM have) GROUP BY id)
+"""
+
+
+@query(
+    "add_ties",
+    f"""WITH {_TIED} SELECT 'kept' AS kind, id, count(*) AS n, min(pos) AS pos FROM have GROUP BY id
+UNION ALL SELECT 'added', id, 1, NULL FROM firsts
+UNION ALL SELECT 'rejected', id, count(*) - CASE WHEN id IN (SELECT id FROM firsts) THEN 1 ELSE 0 END, NULL FROM tied
+GROUP BY id HAVING count(*) - CASE WHEN id IN (SELECT id FROM firsts) THEN 1 ELSE 0 END > 0""",
+)
+def add_ties(spark, folder):
+    """One row for each id, also where rows agree in id and position; all others are rejected."""
+    tied = table(spark, folder, "orders").select(
+        F.expr("o_orderkey div 10").alias("pos"), F.concat(F.lit("item-"), F.floor(F.col("o_totalprice") / 10000).cast("long").cast("string")).alias("id")
+    )
+    have = _have(spark, folder).filter("pos % 7 = 0").select("pos", "id")
+    merged, rejected = mutate.add(have, tied)
+    last = have.agg(F.max("pos")).first()[0]
+    old = F.col("pos") <= last
+    kinds = merged.groupBy(F.when(old, "kept").otherwise("added").alias("kind"), "id").agg(
+        F.count("*").alias("n"), F.min(F.when(old, F.col("pos"))).alias("pos")
+    )
+    return kinds.unionByName(
+        rejected.groupBy(F.lit("rejected").alias("kind"), "id").agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("pos"))
+    )
+
+
 @query(
     "add_rejects",
     f"WITH {ITEMS} SELECT f.* FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.id = f.id AND t.pos = f.pos)",
@@ -65,9 +99,12 @@ def remove_listed(spark, folder):
 
 @query(
     "upsert",
-    f"""WITH {ITEMS}, lasts AS (SELECT id, max(pos) AS pos FROM fresh GROUP BY id)
+    f"""WITH {ITEMS}, lasts AS (SELECT id, max(pos) AS pos FROM fresh GROUP BY id),
+newest AS (SELECT f.* FROM fresh f JOIN lasts USING (id, pos))
 SELECT * FROM have WHERE id NOT IN (SELECT id FROM lasts)
-UNION ALL SELECT f.* FROM fresh f JOIN lasts USING (id, pos)""",
+UNION ALL SELECT h.pos, n.id, n.name FROM newest n JOIN have h USING (id)
+UNION ALL SELECT (SELECT max(pos) FROM have) + row_number() OVER (ORDER BY pos), id, name FROM newest
+WHERE id NOT IN (SELECT id FROM have)""",
 )
 def upsert(spark, folder):
     return mutate.upsert(_have(spark, folder), _fresh(spark, folder))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import infer, shape
+from ..operators import infer, locate, mutate, shape
 from ..operators.position import dense_position
+from ..session import fresh_path
+from ..sinks.catalogs import write_catalog_json
+from ..sources.catalogs import read_catalog_lines
 from .registry import query
 from .views import spread, table, tag, text, whole
 
@@ -163,7 +166,7 @@ def positions(spark, folder):
     return _order_files(spark, folder).select("dataset_id", "path", "pos")
 
 
-def _described(spark, folder, max_resources):
+def _described(spark, folder):
     basics = table(spark, folder, "customer").select(
         tag("customer-", "c_custkey").alias("id"),
         F.col("c_name").alias("name"),
@@ -171,7 +174,7 @@ def _described(spark, folder, max_resources):
         F.lit("git").alias("source"),
         F.concat(F.lit("https://github.com/owner/"), text("c_custkey"), F.lit(".git")).alias("uri"),
     )
-    return infer.build_descriptors(basics, _order_files(spark, folder), max_resources=max_resources)
+    return infer.build_descriptors(basics, _order_files(spark, folder))
 
 
 @query(
@@ -184,7 +187,7 @@ FROM customer LEFT JOIN files f ON f.dataset_id = 'customer-' || c_custkey GROUP
 )
 def build_descriptors(spark, folder):
     paths = F.transform("datapackage.resources", lambda r: r.path)
-    return _described(spark, folder, 10_000).select(
+    return _described(spark, folder).select(
         "id",
         "name",
         "metadata_uri",
@@ -195,6 +198,63 @@ def build_descriptors(spark, folder):
 
 @query("build_descriptor_parts", f"WITH {_FILES} SELECT dataset_id, pos, path, name FROM files")
 def build_descriptor_parts(spark, folder):
-    """Descriptors in parts of 4 resources, unfolded again: nothing is lost."""
-    parts = _described(spark, folder, 4)
-    return shape.explode_resources(parts).select("dataset_id", "pos", "path", "name")
+    """Descriptors unfolded again: nothing is lost."""
+    return shape.explode_resources(_described(spark, folder)).select("dataset_id", "pos", "path", "name")
+
+
+_SAVED = f"""WITH {_FILES},
+ids AS (SELECT 'customer-' || c_custkey AS id, c_name AS name, c_custkey, row_number() OVER (ORDER BY 'customer-' || c_custkey) - 1 AS k FROM customer),
+have AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos FROM ids WHERE c_custkey % 3 = 0),
+fresh AS (SELECT *, (SELECT count(*) FROM have) + row_number() OVER (ORDER BY id) - 1 AS pos FROM ids WHERE c_custkey % 3 <> 0)
+"""
+
+
+@query(
+    "create_register_save",
+    _SAVED
+    + """SELECT a.pos, a.id, a.name, 'git' AS source, 'https://raw.githubusercontent.com/owner/' || c_custkey || '/main/dataset.json' AS metadata_uri,
+       coalesce(string_agg(f.path || ':' || f.name, ' ' ORDER BY f.pos), '') AS resources
+FROM (SELECT * FROM have UNION ALL SELECT * FROM fresh) a LEFT JOIN files f ON f.dataset_id = a.id GROUP BY ALL""",
+)
+def create_register_save(spark, folder):
+    """Descriptors are built, added to a catalog, saved as lines and read again."""
+    built = _described(spark, folder)
+    old = F.expr("cast(substring(id, 10) AS long) % 3 = 0")
+    have = dense_position(built.filter(old).drop("pos"), ["id"])
+    merged, _ = mutate.add(have, built.filter(~old).drop("raw"))
+    path = fresh_path(spark, "registered")
+    write_catalog_json(merged, path)
+    files = F.transform("datapackage.resources", lambda r: F.concat(r["path"], F.lit(":"), r["name"]))
+    return read_catalog_lines(spark, path).select(
+        "pos", "id", "name", "source", "metadata_uri", F.coalesce(F.array_join(files, " "), F.lit("")).alias("resources")
+    )
+
+
+@query(
+    "resolve_large",
+    """WITH files AS (SELECT o_orderkey AS pos, 'dataset/' || o_orderkey || '.csv' AS path FROM orders)
+SELECT pos, 'https://raw.githubusercontent.com/owner/all/main/' || path AS location FROM files""",
+)
+def resolve_large(spark, folder):
+    """All orders as files of one dataset, kept as a table."""
+    none = F.lit(None).cast("string")
+    files = table(spark, folder, "orders").select(
+        F.lit("all").alias("dataset_id"), F.col("o_orderkey").alias("pos"), none.alias("name"),
+        F.concat(F.lit("dataset/"), text("o_orderkey"), F.lit(".csv")).alias("path"),
+    )
+    catalog = spark.createDataFrame(
+        [("all", "git", "https://raw.githubusercontent.com/owner/all/main/dataset.json")], "id string, source string, metadata_uri string"
+    )
+    folders = table(spark, folder, "region").select(F.col("r_name").alias("id"))
+    return locate.resolve_paths(catalog, folders, "/data", files).select("pos", "location")
+
+
+@query(
+    "dense_position_nulls",
+    """SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS grp,
+row_number() OVER (PARTITION BY nullif(o_orderpriority, '5-LOW') ORDER BY o_orderkey) - 1 AS pos FROM orders""",
+)
+def positions_of_nulls(spark, folder):
+    """Rows with a null key are a group of their own."""
+    rows = table(spark, folder, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("grp"))
+    return dense_position(rows, ["o_orderkey"], by=["grp"])

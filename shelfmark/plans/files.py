@@ -25,7 +25,6 @@ from ..sources.tables import read_delimited, read_json_resource, read_resource
 from .registry import query
 from .views import PARTS, parts, table, tag, text, with_raw
 
-WRITTEN = "part-*"
 
 
 def _suppliers(spark, folder, note="old"):
@@ -49,7 +48,7 @@ suppliers AS (
 def catalog_dir(spark, folder):
     path = fresh_path(spark, "catalog-dir")
     create_catalog(_suppliers(spark, folder), path)
-    return read_catalog_dir(spark, path, WRITTEN).select("pos", "id", "name", "description")
+    return read_catalog_dir(spark, path).select("pos", "id", "name", "description")
 
 
 @query(
@@ -61,7 +60,7 @@ def catalog_dir_replaced(spark, folder):
     path = fresh_path(spark, "catalog-dir")
     create_catalog(_suppliers(spark, folder), path)
     write_catalog_dir(_suppliers(spark, folder, "new"), path, ["supplier-3", "supplier-7"])
-    return read_catalog_dir(spark, path, WRITTEN).select("id", "description")
+    return read_catalog_dir(spark, path).select("id", "description")
 
 
 @query(
@@ -98,14 +97,15 @@ def catalog_table(spark, folder):
 
 @query(
     "list_files",
-    f"""WITH {_SUPPLIERS} SELECT 'id=' || id AS folder,
-length('{{"description":"old","id":"' || id || '","name":"' || name || '"}}') + 1 AS size FROM suppliers""",
+    f"""WITH {_SUPPLIERS} SELECT id AS folder, id || '/dataset.json' AS path,
+length('{{' || chr(10) || '    "description": "old",' || chr(10) || '    "id": "' || id || '",' || chr(10)
+       || '    "name": "' || name || '"' || chr(10) || '}}') AS size FROM suppliers""",
 )
 def listed_files(spark, folder):
     path = fresh_path(spark, "catalog-dir")
     create_catalog(_suppliers(spark, folder), path)
-    files = list_files(spark, path, glob="*.txt")
-    return files.select(F.split("path", "/")[0].alias("folder"), "size")
+    files = list_files(spark, path, glob="*.json")
+    return files.select(F.split("path", "/")[0].alias("folder"), "path", "size")
 
 
 @query(

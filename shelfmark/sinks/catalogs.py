@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import row_key
+from ..operators.shape import with_document
 from ..sources.files import as_uri, file_system
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -22,13 +23,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def write_catalog(catalog: DataFrame, path: str, overwrite: bool = False) -> None:
     """The catalog as a Parquet table sorted by id, so that id lookups skip row groups."""
     mode = "overwrite" if overwrite else "errorifexists"
+    catalog = with_document(catalog)
     catalog.repartitionByRange(*row_key(catalog)).sortWithinPartitions("id").write.mode(mode).parquet(path)
 
 
 def write_catalog_json(catalog: DataFrame, path: str, overwrite: bool = False) -> None:
     """One descriptor per line in catalog order, keys sorted at every level."""
     mode = "overwrite" if overwrite else "errorifexists"
-    lines = catalog.orderBy("pos").select(F.to_json("raw").alias("value"))
+    lines = with_document(catalog).orderBy("pos").select(F.to_json("raw").alias("value"))
     lines.write.mode(mode).text(path)
 
 
@@ -43,8 +45,8 @@ def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 opening = ""
             last = doc
         yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
-    if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([f"{opening}{last}]"])], names=["value"])
+    end = f"{opening}{last}]" if last is not None else "[]"
+    yield pa.RecordBatch.from_arrays([pa.array([end])], names=["value"])
 
 
 def write_catalog_array(
@@ -56,32 +58,14 @@ def write_catalog_array(
     all datasets, streamed by one task: for small catalogs that other tools read.
     """
     mode = "overwrite" if overwrite else "errorifexists"
-    docs = catalog.orderBy("pos").select(F.to_json("raw").alias("doc"))
+    docs = with_document(catalog).orderBy("pos").select(F.to_json("raw").alias("doc"))
     if single_file:
         docs = docs.coalesce(1)
+    elif catalog.isEmpty():
+        docs = docs.repartition(1)  # one task, which writes the empty array
     docs.mapInArrow(_as_array, "value string").write.mode(mode).text(path)
 
 
-def write_catalog_dir(
-    catalog: DataFrame, path: str, ids: Sequence[str] | None = None
-) -> None:
-    """One folder ``id=<id>`` with one document per dataset.
-
-    With ``ids`` only these are written; folders of other ids stay as they are.
-    """
-    if ids is not None:
-        catalog = catalog.filter(F.col("id").isin(list(ids)))
-    (
-        catalog.select(*row_key(catalog), F.to_json("raw").alias("value"))
-        .repartition(*row_key(catalog))
-        .select("id", "value")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("id")
-        .text(path)
-    )
-
-
 def _write_documents(uri: str, descriptor: str):
     """Task function: one indented file per document, complete under its name or absent."""
 
@@ -91,7 +75,7 @@ def _write_documents(uri: str, descriptor: str):
             for id, doc in zip(batch["id"].to_pylist(), batch["doc"].to_pylist()):
                 if id in ("", ".", "..") or "/" in id:
                     raise ValueError(f"no folder can be named after the id {id!r}")
-                text = json.dumps(json.loads(doc), sort_keys=True, indent=4, separators=(",", ": "))
+                text = json.dumps(json.loads(doc), sort_keys=True, indent=4)
                 folder = f"{root}/{id}"
                 system.create_dir(folder, recursive=True)
                 # object stores show a file when it is closed; others when it is renamed
@@ -113,26 +97,38 @@ def export_catalog_dir(
     ids: Sequence[str] | None = None,
     descriptor: str = "dataset.json",
 ) -> None:
-    """One file ``<id>/<descriptor>`` per dataset, indented, keys sorted, for other tools.
+    """One file ``<id>/<descriptor>`` per dataset, indented, keys sorted.
 
-    Existing files of the same ids are replaced. Tasks write their own documents; a
-    task that runs again writes the same files.
+    This is the layout ``read_catalog_dir`` opens. Existing files of the same ids are
+    replaced, folders of other ids stay as they are. Tasks write their own documents; a
+    task that runs again writes the same files. An id with several rows is an error
+    before anything is written.
     """
     if ids is not None:
         catalog = catalog.filter(F.col("id").isin(list(ids)))
-    docs = catalog.select("id", F.to_json("raw").alias("doc"))
+    twice = catalog.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").first()
+    if twice:
+        raise ValueError(f"{twice['n']} rows have the id {twice['id']!r}")
+    docs = with_document(catalog).select("id", F.to_json("raw").alias("doc"))
     written = docs.mapInArrow(_write_documents(as_uri(path), descriptor), "id string")
     written.write.format("noop").mode("overwrite").save()
 
 
-def create_catalog(catalog: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Write the documents of a new catalog; an existing target is an error by default."""
-    mode = "overwrite" if overwrite else "errorifexists"
-    (
-        catalog.select(*row_key(catalog), F.to_json("raw").alias("value"))
-        .repartition(*row_key(catalog))
-        .select("id", "value")
-        .write.mode(mode)
-        .partitionBy("id")
-        .text(path)
-    )
+#: Writing some or all documents of a catalog that is there already.
+write_catalog_dir = export_catalog_dir
+
+
+def create_catalog(
+    catalog: DataFrame, path: str, overwrite: bool = False, descriptor: str = "dataset.json"
+) -> None:
+    """Write the documents of a new catalog.
+
+    A target that holds anything is an error, or with ``overwrite`` emptied first.
+    """
+    system, root = file_system(as_uri(path))
+    kind = system.get_file_info(root).type
+    if not overwrite and kind != fs.FileType.NotFound and system.get_file_info(fs.FileSelector(root)):
+        raise FileExistsError(f"{path} exists already")
+    if overwrite and kind == fs.FileType.Directory:
+        system.delete_dir_contents(root)
+    export_catalog_dir(catalog, path, descriptor=descriptor)

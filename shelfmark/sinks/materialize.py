@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..operators.locate import resolve_paths
@@ -20,24 +21,46 @@ def materialize(
     folders: DataFrame,
     base: str,
     refresh: bool = False,
+    parallel: int = 8,
 ) -> list[str]:
     """Read every resource of the chosen datasets and save it as ``dest/<id>/<name>``.
 
-    An existing table is an error unless ``refresh``. Every resource has a schema of
-    its own, so each is one Spark read and write; the driver only holds the
-    descriptors, one at a time. Resources that cannot be located (neither local nor
-    git) raise before anything is written. Returns the paths written.
+    Where resources of a dataset share a name, or have none, the position is added to it.
+    Resources that cannot be located (neither local nor git) and, unless ``refresh``,
+    existing tables raise before anything is written. Every resource has a schema of its
+    own, so each is one Spark read and write; ``parallel`` of them run at a time, and the
+    driver holds their descriptors and paths only. Returns the paths written.
     """
     spark = catalog.sparkSession
     chosen = by_ids(catalog, ids)
     where = resolve_paths(chosen, folders, base).select("dataset_id", "pos", "location", "supported")
-    rows = explode_resources(chosen).join(where, ["dataset_id", "pos"]).orderBy("dataset_id", "pos")
+    same = Window.partitionBy("dataset_id", F.coalesce("name", F.lit("")))
+    alone = (F.count("*").over(same) == 1) & (F.coalesce("name", F.lit("")) != "")
+    label = F.when(alone, F.col("name")).otherwise(F.concat_ws("-", "name", F.col("pos").cast("string")))
+    rows = (
+        explode_resources(chosen)
+        .join(where, ["dataset_id", "pos"])
+        .withColumn("_table", F.concat_ws("/", F.lit(dest.rstrip("/")), "dataset_id", label))
+        .orderBy("dataset_id", "pos")
+    )
     lost = rows.filter(~F.col("supported")).select("dataset_id", "path").first()
     if lost:
         raise ValueError(f"{lost['dataset_id']}: {lost['path']} is neither local nor in git")
-    written = []
-    for row in rows.toLocalIterator():
-        target = f"{dest.rstrip('/')}/{row['dataset_id']}/{row['name']}"
-        read_resource(spark, row).write.mode("overwrite" if refresh else "errorifexists").parquet(target)
-        written.append(target)
-    return written
+    targets = rows.groupBy("_table").agg(F.count("*").alias("n"))
+    twice = targets.filter("n > 1").first()
+    if twice:
+        raise ValueError(f"two resources would be saved as {twice['_table']}")
+    hadoop = spark._jsc.hadoopConfiguration()
+    if not refresh:
+        for row in targets.toLocalIterator():
+            target = spark._jvm.org.apache.hadoop.fs.Path(row["_table"])
+            if target.getFileSystem(hadoop).exists(target):
+                raise FileExistsError(f"{row['_table']} exists already")
+
+    def save(row: Row) -> str:
+        mode = "overwrite" if refresh else "errorifexists"
+        read_resource(spark, row).write.mode(mode).parquet(row["_table"])
+        return row["_table"]
+
+    with ThreadPoolExecutor(parallel) as pool:
+        return list(pool.map(save, rows.toLocalIterator()))

@@ -9,56 +9,85 @@ from ..operators.position import dense_position
 from ..operators.shape import normalize
 
 
+def _sorted_out(
+    docs: DataFrame, order: list[str], with_rejects: bool
+) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """The catalog of documents (file, the columns ``order``, body), and what is none.
+
+    A document is a JSON object. With ``with_rejects`` all others are returned as (file,
+    index, body, reason); without, the first one met is an error.
+    """
+    parsed = docs.withColumn("raw", F.try_parse_json("body"))
+    if "whole" in docs.columns:  # an object where an array is asked for is no catalog
+        parsed = parsed.withColumn("raw", F.when(F.col("whole"), F.col("raw")))
+    is_object = F.try_variant_get("raw", "$", "map<string,variant>").isNotNull()
+    good = F.coalesce(is_object, F.lit(False))
+    if not with_rejects:
+        fault = F.raise_error(F.concat(F.lit("no descriptor in "), F.coalesce("file", F.lit("")))).cast("variant")
+        whole = parsed.withColumn("raw", F.when(good, F.col("raw")).otherwise(fault))
+        return normalize(dense_position(whole.drop("body"), order).select("pos", "raw"))
+    catalog = normalize(dense_position(parsed.where(good).drop("body"), order).select("pos", "raw"))
+    reason = F.when(F.col("raw").isNull(), "not valid JSON").otherwise("not a JSON object")
+    return catalog, parsed.where(~good).select("file", "index", "body", reason.alias("reason"))
+
+
 def read_catalog_dir(
-    spark: SparkSession, path: str, descriptor: str = "dataset.json"
-) -> DataFrame:
+    spark: SparkSession, path: str, descriptor: str = "dataset.json", with_rejects: bool = False
+) -> DataFrame | tuple[DataFrame, DataFrame]:
     """One dataset per sub-folder with a file ``descriptor`` (a name or a glob).
 
-    ``pos`` is the rank of the file's path.
+    ``pos`` is the rank of the file's path. A file that holds no JSON object is an
+    error, or with ``with_rejects`` a row of the second table (file, index, body, reason).
     """
     docs = spark.read.text(f"{path.rstrip('/')}/*/{descriptor}", wholetext=True).select(
-        F.col("_metadata.file_path").alias("_path"), F.parse_json("value").alias("raw")
+        F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("index"), F.col("value").alias("body")
     )
-    return normalize(dense_position(docs, ["_path"]).drop("_path"))
+    return _sorted_out(docs, ["file"], with_rejects)
 
 
-def read_catalog_json(spark: SparkSession, path: str) -> DataFrame:
+def read_catalog_json(
+    spark: SparkSession, path: str, with_rejects: bool = False
+) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Datasets of JSON arrays: one file, or several in path order.
 
     ``pos`` is the index over all arrays. One array cannot be split, so one task reads
     it; ``write_catalog_array`` writes one per task. Import a large single array once
-    and keep the catalog as a table (``write_catalog``).
+    and keep the catalog as a table (``write_catalog``). A file that is no array, or an
+    item that is no object, is an error, or with ``with_rejects`` a row of the second
+    table; blank files hold nothing.
     """
-    files = spark.read.text(path, wholetext=True)
-    items = files.select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.posexplode(F.from_json("value", "array<string>")).alias("pos", "_doc"),
-    )
-    if len(files.inputFiles()) > 1:
-        items = dense_position(items.withColumnRenamed("pos", "_index"), ["_file", "_index"])
-    return normalize(
-        items.select(F.col("pos").cast("long").alias("pos"), F.parse_json("_doc").alias("raw"))
-    )
-
-
-def read_catalog_lines(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
+    # an array as a whole, or nothing: a broken one is one rejected document
+    items = F.from_json("value", "array<string>")
+    whole = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>").isNotNull()
+    docs = files.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.posexplode(F.when(whole, items).otherwise(F.array("value"))).alias("_n", "body"),
+        whole.alias("whole"),
+    ).select("file", F.col("_n").cast("long").alias("index"), F.col("body"), "whole")
+    return _sorted_out(docs, ["file", "index"], with_rejects)
+
+
+def read_catalog_lines(
+    spark: SparkSession, path: str, with_rejects: bool = False
+) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Datasets of JSON Lines files; ``pos`` is the line number over all files in path order.
 
     Inside one block of a file the ids grow with the lines, so (file, block, id) is
-    the order of the lines, whatever way blocks were given to tasks.
+    the order of the lines, whatever way blocks were given to tasks. Blank lines are
+    skipped; a line that holds no object is an error, or a row of the second table.
     """
     lines = (
         spark.read.text(path)
         .select(
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_line"),
-            "value",
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("index"),
+            F.col("value").alias("body"),
         )
-        .filter(F.trim("value") != "")
+        .filter(F.trim("body") != "")
     )
-    ordered = dense_position(lines, ["_file", "_block", "_line"])
-    return normalize(ordered.select("pos", F.parse_json("value").alias("raw")))
+    return _sorted_out(lines, ["file", "block", "index"], with_rejects)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -69,9 +98,10 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 def catalog_from_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(catalog, rejects) from fetched bodies: (pos, uri, status, body).
 
-    A body is one descriptor or an array of descriptors. Responses other than 200
-    and bodies that do not parse are rejected, with a ``reason``. The position is
-    request number * 2^32 + index in the body: unique and in order without a sort.
+    A body is one descriptor or an array of descriptors. Responses other than 200,
+    bodies that do not parse, and those that hold anything but objects are rejected, with
+    a ``reason``. The position is request number * 2^32 + index in the body: unique and
+    in order without a sort; request numbers from 2^31 on are an error.
     """
     parsed = responses.withColumn(
         "_doc", F.when(F.col("status") == 200, F.try_parse_json("body"))
@@ -79,19 +109,24 @@ def catalog_from_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = F.coalesce(
         F.try_variant_get("_doc", "$", "array<variant>"), F.array("_doc")
     )
+    objects = F.forall(items, lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull())
+    parsed = parsed.withColumn("_good", F.col("_doc").isNotNull() & F.coalesce(objects, F.lit(False)))
+    request = F.col("_request").cast("long")
+    small = F.when(request < (1 << 31), request).otherwise(F.raise_error(F.lit("request number over 2^31")).cast("long"))
     datasets = (
-        parsed.filter(F.col("_doc").isNotNull())
+        parsed.filter("_good")
         .select(F.col("pos").alias("_request"), "uri", F.posexplode(items).alias("_item", "raw"))
         .select(
-            (F.shiftleft(F.col("_request").cast("long"), 32) + F.col("_item")).alias("pos"),
+            (F.shiftleft(small, 32) + F.col("_item")).alias("pos"),
             F.col("uri").alias("fetched_from"),
             "raw",
         )
     )
-    rejects = parsed.filter(F.col("_doc").isNull()).select(
+    rejects = parsed.filter(~F.col("_good")).select(
         *responses.columns,
         F.when(F.coalesce(F.col("status") != 200, F.lit(True)), "status is not 200")
-        .otherwise("body is not valid JSON")
+        .when(F.col("_doc").isNull(), "body is not valid JSON")
+        .otherwise("body holds no descriptor")
         .alias("reason"),
     )
     return normalize(datasets), rejects

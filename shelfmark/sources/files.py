@@ -37,11 +37,20 @@ _ARROW = pa.schema(
 
 
 def as_uri(root: str) -> str:
-    """A root folder as a URI; a plain path is a local (or mounted) folder."""
+    """A root folder as a URI, as Spark's readers resolve it.
+
+    A path without a scheme, or with one but no host, lies on the file system that the
+    cluster has for it; called on the driver.
+    """
     root = root.rstrip("/")
-    if root.startswith("file:") and not root.startswith("file://"):
-        return "file://" + root.removeprefix("file:")
-    return root if "://" in root else "file://" + os.path.abspath(root)
+    if "://" in root:
+        return root
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return "file://" + os.path.abspath(root.removeprefix("file:"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -57,12 +66,18 @@ def _entries(system: fs.FileSystem, path: str) -> Iterator[dict]:
     if isinstance(system, fs.LocalFileSystem):
         with os.scandir(path) as found:
             for entry in found:
-                stat = entry.stat()
+                # links to folders are not followed, links to files are; a dangling one has no size
+                try:
+                    stat = entry.stat()
+                except OSError:
+                    stat = None
+                if entry.is_symlink() and entry.is_dir():
+                    continue
                 yield {
                     "path": entry.name,
-                    "folder": entry.is_dir(),
-                    "size": stat.st_size,
-                    "mtime": datetime.datetime.fromtimestamp(stat.st_mtime, datetime.timezone.utc),
+                    "folder": entry.is_dir(follow_symlinks=False),
+                    "size": stat and stat.st_size,
+                    "mtime": stat and datetime.datetime.fromtimestamp(stat.st_mtime, datetime.timezone.utc),
                 }
     else:
         for info in system.get_file_info(fs.FileSelector(path)):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.charsets import reader_charset, recode, recode_strings
-from ..operators.infer import cast_declared, infer_types
+from ..operators.infer import cast_cell, cast_declared, infer_types
 from ..schema import to_struct
 
 CORRUPT = "_corrupt_record"
@@ -30,9 +30,11 @@ def read_resource(
 ) -> DataFrame:
     """A delimited resource under its declared schema.
 
-    Uses name, type and order of the declared fields, encoding and missing values.
-    Cells that do not fit their type become null; with ``keep_corrupt`` the whole
-    line of such a row is kept in a column. ``multi_line`` is for quoted line breaks.
+    Declared fields are found by their names in the header, in whatever order they
+    stand there; a declared field that the file lacks is an error. The columns are the
+    declared ones, in declared order. Cells that do not fit their type become null; with
+    ``keep_corrupt`` the line of such a row is kept in a column (with several missing
+    values: its cells, written again). ``multi_line`` is for quoted line breaks.
     """
     r = _as_dict(resource)
     declared = r.get("schema") or {}
@@ -53,12 +55,49 @@ def read_resource(
         .option("escape", '"')
         .option("multiLine", multi_line)
     )
+    names = _header(reader, location, codec)
+    absent = [f.name for f in schema if f.name not in names]
+    if absent and len(schema):
+        raise ValueError(f"{location} has no columns {absent}; its header is {names}")
+    if names == schema.names or len(set(names)) < len(names):
+        in_file = schema
+    else:
+        kinds = {f.name: f for f in schema}
+        in_file = T.StructType([kinds.get(n, T.StructField(n, T.StringType())) for n in names])
     if not missing or missing == [""]:
-        return _finish(reader.option("nullValue", ""), schema, keep_corrupt, location, codec)
+        df = _finish(reader.option("nullValue", ""), in_file, keep_corrupt, location, codec)
+        return df.select(*[F.col(f"`{n}`") for n in [*schema.names, *([CORRUPT] if keep_corrupt else [])]])
     # several missing values: read as text, blank them, then cast
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    df = recode_strings(reader.schema(text).csv(location), codec)
-    return cast_declared(df, declared["fields"], missing)
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in in_file])
+    df = recode_strings(reader.schema(text).csv(location), codec).toDF(*in_file.names)
+    cast = cast_declared(df, declared["fields"], missing)
+    if not keep_corrupt:
+        return cast
+    both = df.select(
+        F.struct(*[F.col(f"`{n}`") for n in in_file.names]).alias("_text"),
+        *[
+            F.struct(
+                cast_cell(F.when(~F.col(f"`{f['name']}`").isin(list(missing)), F.col(f"`{f['name']}`")), f["type"]).alias("v"),
+                (F.col(f"`{f['name']}`").isNull() | F.col(f"`{f['name']}`").isin(list(missing))).alias("gone"),
+            ).alias(f"_{i}")
+            for i, f in enumerate(declared["fields"])
+        ],
+    )
+    bad = F.lit(False)
+    for i in range(len(declared["fields"])):
+        bad = bad | (F.col(f"_{i}.v").isNull() & ~F.col(f"_{i}.gone"))
+    return both.select(
+        *[F.col(f"_{i}.v").alias(f["name"]) for i, f in enumerate(declared["fields"])],
+        F.when(bad, F.to_csv("_text")).alias(CORRUPT),
+    )
+
+
+def _header(reader, location: str, codec: str | None) -> list[str]:
+    """The names in the first line of a file."""
+    first = reader.option("header", False).option("enforceSchema", True).csv(location).limit(1)
+    row = recode_strings(first, codec).first()
+    reader.option("header", True)
+    return [n or "" for n in row] if row else []
 
 
 def _finish(reader, schema: T.StructType, keep_corrupt: bool, location: str, codec: str | None):
@@ -112,7 +151,8 @@ def _read_commented(
     spark: SparkSession, location: str, sep: str, comment: str, charset: str, codec: str | None
 ) -> DataFrame:
     mark = "\\" + comment
-    before = rf'^((?:[^"{mark}]|"[^"]*")*){mark}.*$'
+    # possessive: no recursion, however long a line is
+    before = rf'^((?:[^"{mark}]++|"[^"]*+")*+){mark}.*$'
     if charset in ("UTF-8", "ISO-8859-1", "US-ASCII"):
         raw = spark.read.text(location).select(
             F.decode(F.col("value").cast("binary"), charset).alias("value")
@@ -123,13 +163,14 @@ def _read_commented(
             location, schema="value string", sep="\u0001", quote="", encoding=charset
         )
     value = recode(F.col("value"), codec) if codec else F.col("value")
-    lines = raw.select(F.regexp_replace(value, before, "$1").alias("value")).filter(
-        F.trim("value") != ""
-    )
-    header = lines.first()["value"]
-    names = next(csv.reader(io.StringIO(header), delimiter=sep))
+    # the header goes by its place: a line of data may be equal to it
+    lines = raw.select(
+        F.monotonically_increasing_id().alias("_line"), F.regexp_replace(value, before, "$1").alias("value")
+    ).filter(F.trim("value") != "")
+    header = lines.first()
+    names = next(csv.reader(io.StringIO(header["value"]), delimiter=sep))
     return (
-        lines.filter(F.col("value") != header)
+        lines.filter(F.col("_line") != header["_line"])
         .select(
             F.from_csv(
                 "value",
