@@ -232,19 +232,20 @@ def create_register_save(spark, folder):
 
 @query(
     "resolve_large",
-    """WITH files AS (SELECT o_orderkey AS pos, 'dataset/' || o_orderkey || '.csv' AS path FROM orders)
-SELECT pos, 'https://raw.githubusercontent.com/owner/all/main/' || path AS location FROM files""",
+    """SELECT o_orderkey AS pos, 'https://raw.githubusercontent.com/owner/' || o_orderpriority || '/main/dataset/' || o_orderkey || '.csv' AS location
+FROM orders""",
 )
 def resolve_large(spark, folder):
-    """All orders as files of one dataset, kept as a table."""
-    none = F.lit(None).cast("string")
-    files = table(spark, folder, "orders").select(
-        F.lit("all").alias("dataset_id"), F.col("o_orderkey").alias("pos"), none.alias("name"),
+    """Orders as files of five datasets, kept as a table; a third of them may be in one."""
+    orders = table(spark, folder, "orders")
+    files = orders.select(
+        F.col("o_orderpriority").alias("dataset_id"),
+        F.col("o_orderkey").alias("pos"),
+        F.lit(None).cast("string").alias("name"),
         F.concat(F.lit("dataset/"), text("o_orderkey"), F.lit(".csv")).alias("path"),
     )
-    catalog = spark.createDataFrame(
-        [("all", "git", "https://raw.githubusercontent.com/owner/all/main/dataset.json")], "id string, source string, metadata_uri string"
-    )
+    uri = F.concat(F.lit("https://raw.githubusercontent.com/owner/"), "id", F.lit("/main/dataset.json"))
+    catalog = orders.select(F.col("o_orderpriority").alias("id"), F.lit("git").alias("source")).distinct().withColumn("metadata_uri", uri)
     folders = table(spark, folder, "region").select(F.col("r_name").alias("id"))
     return locate.resolve_paths(catalog, folders, "/data", files).select("pos", "location")
 
