@@ -31,8 +31,9 @@ def with_metadata_uri(
 
 
 def parse_repo_urls(df: DataFrame, col: str, strip_blob: bool = False) -> DataFrame:
-    """Add protocol, host, owner, name, path and raw metadata_uri of repository URLs.
+    """Add protocol, user, host, port, owner, name, path, resource and raw metadata_uri of repository URLs.
 
+    ``resource`` is the path without its leading slash; a missing user or port is null.
     ``metadata_uri`` is null and ``supported`` false for other hosts.
     """
     url = F.col(col)
@@ -43,6 +44,10 @@ def parse_repo_urls(df: DataFrame, col: str, strip_blob: bool = False) -> DataFr
             "host": F.when(short, F.regexp_extract(url, _SHORT, 2)).otherwise(
                 F.lower(F.regexp_extract(url, _LONG, 3))
             ),
+            "user": F.nullif(
+                F.when(short, F.regexp_extract(url, _SHORT, 1)).otherwise(F.regexp_extract(url, _LONG, 2)), F.lit("")
+            ),
+            "port": F.when(~short, F.nullif(F.regexp_extract(url, _LONG, 4), F.lit(""))).try_cast("int"),
             "path": F.when(short, F.concat(F.lit("/"), F.regexp_extract(url, _SHORT, 3))).otherwise(
                 F.regexp_extract(url, _LONG, 5)
             ),
@@ -57,6 +62,7 @@ def parse_repo_urls(df: DataFrame, col: str, strip_blob: bool = False) -> DataFr
     return part.withColumns(
         {
             "owner": F.regexp_extract("path", r"^/([^/]+)", 1),
+            "resource": F.regexp_replace("path", "^/", ""),
             "name": F.regexp_replace(F.regexp_extract("path", r"^/[^/]+/([^/]+)", 1), r"\.git$", ""),
             "metadata_uri": F.concat(base, raw_path),
             "supported": base.isNotNull(),

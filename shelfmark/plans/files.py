@@ -323,8 +323,11 @@ def written_pages(spark, folder):
     path = fresh_path(spark, "pages")
     shared = parts(spark, folder).withColumn("id", F.col("name"))
     write_pages(render_pages(shared, "short"), path)
-    lines = spark.read.text(path).filter(F.col("value").startswith("title: "))
-    return lines.groupBy("slug").agg(F.count("*").alias("n"))
+    files = spark.read.text(path, wholetext=True).select(
+        F.regexp_extract("_metadata.file_name", "^(.*?)(--[0-9]+)?[.]md$", 1).alias("slug"),
+        F.regexp_count("value", F.lit('(?s)^---\ntitle: ".*\n---\n  $')).alias("whole"),
+    )
+    return files.groupBy("slug").agg(F.sum("whole").alias("n"))
 
 
 @query(

@@ -65,7 +65,28 @@ def _repos(spark, folder):
     f"WITH {_REPOS} SELECT page_id, protocol, host, owner, name, path, metadata_uri, supported FROM repo_parts",
 )
 def repo_urls(spark, folder):
-    return _repos(spark, folder).drop("url")
+    return _repos(spark, folder).select("page_id", "protocol", "host", "owner", "name", "path", "metadata_uri", "supported")
+
+
+@query(
+    "repo_url_parts",
+    r"""SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'ssh' ELSE regexp_extract(url, '^(https?)', 1) END AS protocol,
+       CASE page_id % 3 WHEN 0 THEN 'me' WHEN 1 THEN 'git' END AS "user",
+       CASE WHEN page_id % 3 = 0 THEN 8443 END AS port,
+       regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS resource FROM pages""",
+)
+def repo_url_parts(spark, folder):
+    """Page addresses with a user and a port, in the short form, and as they are."""
+    rest = F.regexp_extract("url", "^https?://([^/]+)(/.*)$", 2)
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    kind = F.col("page_id") % 3
+    url = (
+        F.when(kind == 0, F.concat(F.regexp_extract("url", "^(https?://)", 1), F.lit("me@"), host, F.lit(":8443"), rest))
+        .when(kind == 1, F.concat(F.lit("git@"), host, F.lit(":"), F.substring(rest, F.lit(2), F.length(rest))))
+        .otherwise(F.col("url"))
+    )
+    pages = table(spark, folder, "pages").select("page_id", url.alias("url"))
+    return locate.parse_repo_urls(pages, "url").select("page_id", "protocol", "user", "port", "resource")
 
 
 @query(
