@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lookup, mutate, search, shape, validate
+from ..operators import infer, lookup, mutate, search, shape, validate
 from ..session import fresh_path
 from ..sinks.catalogs import write_catalog_json
+from ..sinks.pages import write_pages
 from ..sources.catalogs import read_catalog_lines
 from ..sources.tables import read_delimited, read_resource
 from .registry import query
@@ -154,3 +155,32 @@ def validate_catalog(spark, folder):
         F.concat(tag("part-", "p_partkey"), F.lit("/dataset/"), text("p_partkey"), F.lit(".csv")).alias("path")
     )
     return validate.roll_up(validate.validate_catalog(catalog, there))
+
+
+@query(
+    "infer_resources_wide",
+    """
+WITH files AS (
+  SELECT 'supplier-' || s_suppkey AS name, s_suppkey % 40 AS extra FROM supplier WHERE s_suppkey % 10 <> 7)
+SELECT 'data' AS dataset_id, row_number() OVER (ORDER BY name || '.csv') - 1 AS pos, name, name || '.csv' AS path, 'csv' AS format,
+       'text/csv' AS mediatype, 'utf-8' AS encoding, 'tabular-data-resource' AS profile, '' AS missing,
+       'key:integer bal:number' || coalesce(array_to_string(list_transform(range(0, extra), lambda i: ' x' || i || ':string'), ''), '') AS fields
+FROM files""",
+)
+def infer_resources_wide(spark, folder):
+    """One file per supplier, of 2 to 41 columns; names that readers leave out are left out."""
+    s = table(spark, folder, "supplier")
+    extra = F.col("s_suppkey") % 40
+    more = F.when(extra > 0, F.sequence(F.lit(0), extra.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    page = F.concat(
+        F.lit("key,bal"), F.array_join(F.transform(more, lambda i: F.concat(F.lit(",x"), i)), ""), F.lit("\n"),
+        text("s_suppkey"), F.lit(","), text("s_acctbal"), F.array_join(F.transform(more, lambda i: F.lit(",é")), ""), F.lit("\n"),
+    )
+    slug = F.concat(F.when(F.col("s_suppkey") % 10 == 7, "_").otherwise(""), tag("supplier-", "s_suppkey"))
+    root = fresh_path(spark, "wide")
+    write_pages(s.select(slug.alias("slug"), text("s_suppkey").alias("id"), page.alias("page")), f"{root}/data", extension=".csv")
+    found = infer.infer_resources(spark, root)
+    fields = F.array_join(F.transform("schema.fields", lambda f: F.concat(f["name"], F.lit(":"), f["type"])), " ")
+    return found.select(
+        *[c for c in found.columns if c != "schema"], F.array_join("schema.missingValues", "|").alias("missing"), fields.alias("fields")
+    )
