@@ -28,7 +28,7 @@ word AS (
   SELECT k, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split),
 hashed AS (
   SELECT k, i, word, CAST('0x' || substr(md5(word), 1, 15) AS BIGINT) AS h,
-         CAST('0x' || substr(md5(right(word, 3) || ' '), 1, 15) AS BIGINT) AS e FROM word),
+         unicode(right(word, 3)) * 7919::BIGINT + unicode(right(word, 2)) * 6425::BIGINT + unicode(right(word, 1)) * 5373::BIGINT AS e FROM word),
 paired AS (
   SELECT *, lag(h) OVER (PARTITION BY k ORDER BY i) AS before FROM hashed),
 places AS (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ THRESHOLD = -150_000
 SMOOTHING = 1.0
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
+#: Bits of the filter that keeps other texts out of the join with trusted ids; its size is fixed.
+FILTER = 1 << 21
+_FACTORS = (7919, 6425, 5373)
 _HASH = 15  # hexadecimal digits of MD5
 
 
@@ -23,13 +27,19 @@ def _number(word: Column) -> Column:
     return F.conv(F.substring(F.md5(word), 1, _HASH), 16, 10).cast("long")
 
 
+def _end(word: Column) -> Column:
+    """Place of the last three characters of a word, from their code points."""
+    number = sum(F.ascii(F.right(word, F.lit(k))).cast("long") * m for k, m in zip((3, 2, 1), _FACTORS))
+    return F.pmod(number, F.lit(PLACES)).cast("int")
+
+
 def _places(w: Column, m: Column) -> Column:
     """Places of the n-grams of a text: its words, pairs of words, and the last three characters of words.
 
     ``m`` has the hashes of the words ``w``.
     """
     one = F.transform(m, lambda x: F.pmod(x, F.lit(PLACES)).cast("int"))
-    ends = F.transform(w, lambda x: F.pmod(_number(F.concat(F.right(x, F.lit(3)), F.lit(" "))), F.lit(PLACES)).cast("int"))
+    ends = F.transform(w, _end)
     two = F.transform(
         F.slice(m, F.lit(2), F.greatest(F.size(m) - 1, F.lit(0))),
         lambda x, i: F.pmod(F.pmod(F.get(m, i), F.lit(1 << 32)) * 31 + F.pmod(x, F.lit(1 << 32)), F.lit(PLACES)).cast("int"),
@@ -105,21 +115,31 @@ def place_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.select(F.explode(_places(F.col("_w"), F.col("_m"))).alias("place")).groupBy("place").agg(F.count("*").alias("n"))
 
 
+def _maybe_in(ids: DataFrame, id_: Column) -> Column:
+    """False only for ids that are not in ``ids`` (column _id): a bitmap of FILTER bits, one hash."""
+    place = F.xxhash64(F.col("_id").cast("string")).bitwiseAND(F.lit(FILTER - 1).cast("long"))
+    words_ = ids.select(place.alias("x")).selectExpr("x div 64 AS at", "shiftleft(1L, cast(x % 64 AS int)) AS bit")
+    bits = [0] * (FILTER // 64)
+    for at, bit in words_.groupBy("at").agg(F.bit_or("bit")).collect():
+        bits[at] = bit
+    x = F.xxhash64(id_.cast("string")).bitwiseAND(F.lit(FILTER - 1).cast("long"))
+    known = F.from_json(F.lit(json.dumps(bits)), "array<bigint>")
+    return F.getbit(F.get(known, F.shiftright(x, 6).cast("int")), F.pmod(x, F.lit(64)).cast("int")) == 1
+
+
 def log_ratios(trusted: DataFrame, corpus: DataFrame) -> list[int]:
     """For every place log(share in trusted / share in corpus), smoothed, in millionths.
 
-    Both arguments are counts by place; at most one row for each place is brought to the driver.
+    Both arguments are counts by place; at most one row for each place is brought to the
+    driver. Without trusted n-grams all are 0.
     """
-    counts = corpus.withColumnRenamed("n", "r").join(trusted.withColumnRenamed("n", "t"), "place", "left").na.fill(0, ["t"])
-    total = counts.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("r"), F.lit(0)).alias("r")).first()
-
-    def share(n: str, of: int) -> Column:
-        return F.ln((F.col(n) + SMOOTHING) / (of + SMOOTHING * PLACES))
-
-    weight = F.round((share("t", total["t"]) - share("r", total["r"])) * 1e6).cast("long")
+    counts = corpus.withColumnRenamed("n", "r").join(trusted.withColumnRenamed("n", "t"), "place", "left")
+    found = [(row["place"], row["r"], row["t"] or 0) for row in counts.collect()]  # one pass over the corpus
+    all_r, all_t = (sum(x) + SMOOTHING * PLACES for x in ([r for _, r, _ in found], [t for *_, t in found]))
     out = [0] * PLACES
-    for place, w in counts.select("place", weight).collect():
-        out[place] = w
+    if all_t > SMOOTHING * PLACES:
+        for place, r, t in found:
+            out[place] = round((math.log((t + SMOOTHING) / all_t) - math.log((r + SMOOTHING) / all_r)) * 1e6)
     return out
 
 
@@ -148,9 +168,10 @@ def quality_rules(
     others; an empty table gives no rows; other columns are left.
     """
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("_id")).distinct()
-    target = two_columns(docs, id_col, text_col).join(trusted, "_id", "left_semi")
-    t, r = place_counts(target, "_text"), place_counts(docs, text_col)
-    ratios = log_ratios(t, r) if not t.isEmpty() else [0] * PLACES
+    rows = two_columns(docs, id_col, text_col)
+    # only texts that may be trusted are shuffled; the join decides
+    target = rows.where(_maybe_in(trusted, F.col("_id"))).join(trusted, "_id", "left_semi")
+    ratios = log_ratios(place_counts(target, "_text"), place_counts(docs, text_col))
     weights = F.from_json(F.lit(json.dumps(ratios)), "array<bigint>")
     total = F.aggregate("_places", F.lit(0).cast("long"), lambda a, p: a + F.get(weights, p))
     n = F.size("_places")

@@ -18,10 +18,14 @@ def number(word):
     return int(hashlib.md5(word.encode()).hexdigest()[:15], 16)
 
 
+def end(x):
+    return (ord(x[-3:][0]) * 7919 + ord(x[-2:][0]) * 6425 + ord(x[-1]) * 5373) % PLACES
+
+
 def places(w):
     h = [number(x) for x in w]
     pairs = [((a % 2**32) * 31 + b % 2**32) % PLACES for a, b in zip(h, h[1:])]
-    return [x % PLACES for x in h] + pairs + [number(x[-3:] + " ") % PLACES for x in w]
+    return [x % PLACES for x in h] + pairs + [end(x) for x in w]
 
 
 def base(text):
