@@ -65,7 +65,8 @@ def collect_features(sample: DataFrame, features: Callable[[bytes], np.ndarray])
     kind = sample.schema["_id"].dataType.simpleString()
     rows = sample.select("_id", "_label", "_text").mapInArrow(run, f"_id {kind}, _label int, f binary").toArrow()
     order = np.argsort(np.array(rows.column("_id").to_pylist()), kind="stable")
-    label, found = rows.column("_label").to_pylist(), rows.column("f").to_pylist()
+    label = rows.column("_label").to_pylist()
+    found = [x.as_buffer() for chunk in rows.column("f").chunks for x in chunk]
     return [(label[i], np.frombuffer(found[i], np.int32)) for i in order]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -12,13 +13,14 @@ from pyspark.sql import functions as F
 
 from .labelled import collect_features, labelled_sample, rows_of, score_texts, sigmoid, sums
 
-PER_CLASS = 8000
-#: Words are hashed into this many places while the vocabulary is chosen.
-PLACES = 1 << 22
+PER_CLASS = 5000
+#: Words and beginnings are hashed into this many places, of which each has LEVELS numbers.
+PLACES = 1 << 28
 _LETTERS = bytes(
     b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or 48 <= b < 58 or b > 127 or b == 39 else 32 for b in range(256)
 )
 MARKS = 8
+LEVELS = 4
 
 
 def _words(data: bytes) -> list[bytes]:
@@ -35,15 +37,24 @@ def word_places(word: bytes) -> list[int]:
     return [crc(word + b"$") % PLACES] + [crc(word[:k]) % PLACES for k in range(3, min(10, len(word)) + 1)]
 
 
+def _levels(place: int, n: int) -> list[int]:
+    """Numbers that tell of at least 1, 2, 4 and 8 words with a place, as far as there are ``n``."""
+    return [place + k * PLACES for k in range(min(LEVELS, n.bit_length()))]
+
+
 def features(data: bytes) -> np.ndarray:
-    """Places of all words, each once; before them, as negative numbers, marks of the text.
+    """Places of all words and of their number, each once; before them, as negative numbers, marks.
 
-    The marks are the smallest hashes of its runs of five words: copies share them.
+    The marks of a text are the smallest hashes of its runs of five words: copies share them.
     """
     words = _words(data)
     joined = {zlib.crc32(b" ".join(words[i : i + 5])) >> 2 for i in range(max(1, len(words) - 4))}
     marks = [-1 - m for m in sorted(joined)[:MARKS]] if words else []
-    places = {p for w in set(words) for p in word_places(w)}
+    counts: Counter[int] = Counter()
+    for w, n in Counter(words).items():
+        for p in word_places(w):
+            counts[p] += n
+    places = {q for p, n in counts.items() for q in _levels(p, n)}
     return np.array(marks[::-1] + sorted(places), np.int32)
 
 
@@ -58,18 +69,20 @@ class Model:
         """A function from texts to scores; it keeps the chosen places of words met before."""
         known: dict[bytes, tuple[int, ...]] = {}
         weight = self.weight
+        chosen = {q % PLACES for q in weight}
 
         def margin(text: bytes) -> float:
-            found: set[int] = set()
-            for w in set(_words(text)):
+            found: dict[int, int] = {}
+            for w in _words(text):
                 places = known.get(w)
                 if places is None:
                     if len(known) >= cached:
                         known.clear()
-                    places = known[w] = tuple(p for p in word_places(w) if p in weight)
-                if places:
-                    found.update(places)
-            return sum(weight[p] for p in sorted(found))
+                    places = known[w] = tuple(p for p in word_places(w) if p in chosen)
+                for p in places:
+                    found[p] = found.get(p, 0) + 1
+            levels = {q for p, n in found.items() for q in _levels(p, n)}
+            return sum(weight[q] for q in sorted(levels) if q in weight)
 
         return lambda batch: sigmoid(np.array([margin(t) for t in batch], float) + self.bias)
 
@@ -90,15 +103,24 @@ def without_copies(docs: list[np.ndarray]) -> list[int]:
 
 
 def vocabulary(positive: list[np.ndarray], unlabelled: list[np.ndarray], z: float = 3.0, size: int = 1 << 14) -> np.ndarray:
-    """Places that more positive than unlabelled documents have, by ``z`` standard errors; at most ``size``."""
+    """Numbers that more positive than unlabelled documents have, by ``z`` standard errors; at most ``size``.
+
+    Those of under three positive documents are left.
+    """
     n1, n0 = len(positive), len(unlabelled)
-    a = np.bincount(rows_of(positive)[0], minlength=PLACES)
-    b = np.bincount(rows_of(unlabelled)[0], minlength=PLACES)
+    found, a = np.unique(rows_of(positive)[0], return_counts=True)
+    found, a = found[a >= 3], a[a >= 3]
+    if not len(found):
+        return found
+    b = np.zeros(len(found), np.int64)
+    for d in unlabelled:
+        at = np.searchsorted(found, d)
+        at[at == len(found)] = 0
+        b[at[found[at] == d]] += 1
     p = (a + b + 1) / (n1 + n0 + 2)
     lead = (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    lead[a < 3] = -np.inf
     best = np.argsort(-lead, kind="stable")[:size]
-    return np.sort(best[lead[best] >= z])
+    return np.sort(found[best[lead[best] >= z]])
 
 
 def nnpu(
@@ -163,8 +185,13 @@ def fit(sample: list[tuple[int, np.ndarray]], prior: float | None) -> Model:
     unlabelled = negative + hidden
     places = vocabulary(positive, unlabelled)
     if not len(places):
-        return Model({}, float(np.log(prior / (1 - prior))) if prior < 1 else 40.0)
-    keep = lambda d: np.searchsorted(places, d[np.isin(d, places, assume_unique=True)])
+        return Model({}, float(np.log(min(prior, 0.49) / (1 - min(prior, 0.49)))))
+
+    def keep(d: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(places, d)
+        at[at == len(places)] = 0
+        return at[places[at] == d]
+
     weight, bias = nnpu([keep(d) for d in positive], [keep(d) for d in unlabelled], len(places), prior)
     return Model(dict(zip(places.tolist(), weight.tolist())), bias)
 
@@ -188,7 +215,8 @@ def toxicity(
     that in all label rows of ``train``; its labels are not used. The classifier is
     fitted on the driver; texts are scored whole, on the executors. Null and empty texts
     get the score of a text without any known word. Without a confirmed example every
-    score is near 0. Repeated rows and null ids are scored like others; an empty table
+    score is near 0; without any word that tells the classes apart it is the share of the
+    class, but below 0.5. Repeated rows and null ids are scored like others; an empty table
     gives no rows; other columns are left.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.coalesce(train, F.lit(False)))
