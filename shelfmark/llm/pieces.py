@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 SPACE = "▁"
 _BASE = 0x9E3779B97F4A7C15 | 1
-#: Texts encoded at a time, in characters, and words remembered by a task.
-CHUNK = 1 << 20
-CACHED = 400_000
+#: Texts encoded at a time, in bytes, and words remembered by a task.
+CHUNK = 1 << 19
+CACHED = 250_000
 SEEN = 21
 _NEVER = 1 << 40
 #: Stands for a character that is no piece.
@@ -159,8 +161,8 @@ def compatible(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def viterbi(v: Vocabulary, words: list[str]) -> list[np.ndarray]:
-    """The ids of words of one length, all advanced together.
+def viterbi(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words of one length end to end, and how many each word has; all words advance together.
 
     For every end the substrings that end there are looked up by hash; the value of a
     path through one is that up to its start plus its own. In a unigram model that is the
@@ -188,27 +190,54 @@ def viterbi(v: Vocabulary, words: list[str]) -> list[np.ndarray]:
         ids, start = found[row, at], s[row]
         if v.kind == "bpe":
             ok = compatible(v, piece[start, at], ids)
-            row, at, ids, start = row[ok], at[ok], ids[ok], start[ok]
-            new = value[start, at]
-        else:
-            new = value[start, at] + np.where(ids >= 0, v.score[ids], rare)
+            row, at, ids = row[ok], at[ok], ids[ok]
+            value[e, at], piece[e, at], size[e, at] = 0.0, ids, row + 1
+            continue
+        new = value[start, at] + np.where(ids >= 0, v.score[ids], rare)
         np.maximum.at(value[e], at, new)
         best = new == value[e, at]
         row, at, ids = row[best][::-1], at[best][::-1], ids[best][::-1]
         piece[e, at], size[e, at] = ids, row + 1  # of equals the shortest
-    out: list[list[int]] = [[] for _ in range(m)]
-    for w in range(m):
-        e = n
-        while e:
-            i = int(piece[e, w])
+    # all words go back together, one piece a step
+    end, steps, every = np.full(m, n), [], np.arange(m)
+    while True:
+        go = every[end[every] > 0]
+        if not len(go):
+            break
+        step = np.full(m, -1, np.int64)
+        step[go] = piece[end[go], go]
+        if (step == UNKNOWN).any():
+            # characters that are no piece are told apart by their place
+            odd = go[step[go] == UNKNOWN]
+            step[odd] = UNKNOWN - end[odd]
+        end[go] -= size[end[go], go]
+        steps.append(step)
+        every = go
+    table = np.stack(steps[::-1], 1)
+    used = table != -1
+    ids, counts = table[used], used.sum(1)
+    if (ids < 0).any():
+        ids, counts = _spelled(v, words, ids, counts)
+    return ids.astype(np.int32), counts
+
+
+def _spelled(v: Vocabulary, words: list[str], ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in which characters that are no piece are their bytes, or one unknown id for a run of them."""
+    out: list[int] = []
+    found = []
+    at = 0
+    for word, n in zip(words, counts.tolist()):
+        first = len(out)
+        for i in ids[at : at + n].tolist():
             if i >= 0:
-                out[w].append(i)
+                out.append(i)
             elif v.byte:
-                out[w] += [v.byte[b] for b in reversed(words[w][e - 1].encode())]
-            elif not out[w] or out[w][-1] != v.unknown:
-                out[w].append(v.unknown)
-            e -= int(size[e, w])
-    return [np.array(o[::-1], np.int32) for o in out]
+                out += [v.byte[b] for b in word[UNKNOWN - i - 1].encode()]
+            elif len(out) == first or out[-1] != v.unknown:
+                out.append(v.unknown)
+        found.append(len(out) - first)
+        at += n
+    return np.array(out, np.int64), np.array(found)
 
 
 class Encoder:
@@ -229,18 +258,21 @@ class Encoder:
     def _learn(self, words: Iterable[str]) -> None:
         new = sorted(words, key=len)
         found: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         at = 0
         while at < len(new):
             n = len(new[at])
             end = at
             while end < len(new) and len(new[end]) == n and end - at < max(1, 100_000 // n):
                 end += 1
-            found += viterbi(self.v, new[at:end])
+            ids, counts = viterbi(self.v, new[at:end])
+            found.append(ids)
+            sizes.append(counts)
             at = end
         first = len(self.known)
         self.known.update((w, first + i) for i, w in enumerate(new))
         self.flat = np.concatenate([self.flat, *found])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(f) for f in found])])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text begins (one more at the end)."""
@@ -265,13 +297,14 @@ def decode_ids(v: Vocabulary, ids: Iterable[int]) -> str:
     return (data[1:] if data[:1] == b" " else data).decode(errors="replace")
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CHUNK bytes, one text at least."""
     first = size = 0
-    for i, t in enumerate(texts):
-        if i > first and size + len(t) > CHUNK:
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > first and size + n > CHUNK:
             yield first, i
             first, size = i, 0
-        size += len(t)
+        size += n
     if len(texts) > first:
         yield first, len(texts)
 
@@ -283,30 +316,44 @@ def default_model() -> str:
 
 
 def encode(
-    df: DataFrame, text_col: str = "text", ids_col: str = "ids", model_file: str | None = None, kind: str = "bpe"
+    df: DataFrame,
+    text_col: str = "text",
+    ids_col: str = "ids",
+    model_file: str | None = None,
+    kind: str = "bpe",
+    keep: Sequence[str] | None = None,
+    check: bool = False,
 ) -> DataFrame:
-    """``df`` with the token ids of a text column, as the model's own library gives them.
+    """The columns ``keep`` of ``df`` (all if not given) and the token ids of a text column.
 
-    The model file is read on the driver and its tables go to the tasks. Every row gives
-    one row; null and empty texts have no ids; a column that has the name of the new one is
-    replaced; an empty table gives no rows. Whole texts are encoded, word by word.
+    The ids are those that the model's own library gives. The model file is read on the
+    driver and its tables go to the tasks. Every row gives one row; null and empty texts
+    have no ids; a column that has the name of a new one is replaced; an empty table gives
+    no rows. Whole texts are encoded, word by word. With ``check`` the ids are decoded in
+    the same task, and decoded_sha256 and round_trip (is the text the same again?) added.
     """
     v = vocabulary(model_file or default_model(), kind)
-    kept = [c for c in df.columns if c != ids_col]
+    new = [ids_col, *(["decoded_sha256", "round_trip"] if check else [])]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in new]
     rows = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept)], F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(v)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in _chunks(texts):
-                ids, start = encoder.encode(texts[a:b])
+            column = batch.column("text")
+            for a, b in _chunks(column):
+                texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
+                ids, start = encoder.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(ids, pa.int32()))
-                columns = [batch.column(i).slice(a, b - a) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*columns, lists], [*kept, ids_col])
-
-    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema
-    return rows.mapInArrow(run, schema.add(ids_col, ArrayType(IntegerType())))
+                columns = [*(batch.column(i).slice(a, b - a) for i in range(len(kept))), lists]
+                if check:
+                    back = [decode_ids(v, ids[x:y].tolist()) for x, y in zip(start, start[1:])]
+                    columns.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()))
+                    columns.append(pa.array([t == u for t, u in zip(back, texts)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, [*kept, *new])
+
+    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids_col, ArrayType(IntegerType()))
+    return rows.mapInArrow(run, schema.add("decoded_sha256", "string").add("round_trip", "boolean") if check else schema)
 
 
 def decode(

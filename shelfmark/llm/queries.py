@@ -14,7 +14,7 @@ from .licenses import scan_licenses
 from .main_text import extract
 from .minhash import edited_fingerprints
 from .mixing import draws
-from .pieces import decode, encode
+from .pieces import encode
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
 
@@ -54,15 +54,8 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of all documents, decoded again."""
-    docs = _table(spark, folder, "documents").select("doc_id", "text")
-    back = F.coalesce("text", F.lit("")) == F.col("decoded")
-    return decode(encode(docs)).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids",
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        back.alias("round_trip"),
-    )
+    encoded = encode(_table(spark, folder, "documents"), keep=["doc_id"], check=True)
+    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 @_query
