@@ -23,28 +23,29 @@ _FACTORS = (7919, 6425, 5373)
 _HASH = 15  # hexadecimal digits of MD5
 
 
-def _number(word: Column) -> Column:
-    return F.conv(F.substring(F.md5(word), 1, _HASH), 16, 10).cast("long")
+def _place(word: Column) -> Column:
+    """Place of a word: its MD5's first 15 digits, as a number, modulo PLACES. Four digits tell that."""
+    low = F.conv(F.substring(F.md5(word), _HASH - 3, 4), 16, 10).cast("int")
+    return low.bitwiseAND(F.lit(PLACES - 1))
 
 
 def _end(word: Column) -> Column:
     """Place of the last three characters of a word, from their code points."""
-    number = sum(F.ascii(F.right(word, F.lit(k))).cast("long") * m for k, m in zip((3, 2, 1), _FACTORS))
-    return F.pmod(number, F.lit(PLACES)).cast("int")
+    number = sum(F.ascii(F.substring(word, -k, k)).cast("long") * m for k, m in zip((3, 2, 1), _FACTORS))
+    return number.bitwiseAND(F.lit(PLACES - 1).cast("long")).cast("int")
 
 
-def _places(w: Column, m: Column) -> Column:
-    """Places of the n-grams of a text: its words, pairs of words, and the last three characters of words.
+def _places(w: Column) -> Column:
+    """Places of the n-grams of a text: its words ``w``, pairs of words, and the last three characters of words."""
 
-    ``m`` has the hashes of the words ``w``.
-    """
-    one = F.transform(m, lambda x: F.pmod(x, F.lit(PLACES)).cast("int"))
-    ends = F.transform(w, _end)
-    two = F.transform(
-        F.slice(m, F.lit(2), F.greatest(F.size(m) - 1, F.lit(0))),
-        lambda x, i: F.pmod(F.pmod(F.get(m, i), F.lit(1 << 32)) * 31 + F.pmod(x, F.lit(1 << 32)), F.lit(PLACES)).cast("int"),
-    )
-    return F.concat(one, two, ends)
+    def of(one: Column) -> Column:
+        two = F.transform(
+            F.slice(one, F.lit(2), F.greatest(F.size(one) - 1, F.lit(0))),
+            lambda x, i: (F.get(one, i) * 31 + x).bitwiseAND(F.lit(PLACES - 1)),
+        )
+        return F.concat(one, two, F.transform(w, _end))
+
+    return let(F.transform(w, _place), of)
 
 
 def _covered(starts: Column) -> Column:
@@ -65,12 +66,11 @@ def _repeat_words(m: Column) -> Column:
 
     Only a text with a repeated window sorts its windows.
     """
-    windows = F.when(F.size(m) < WINDOW, F.array().cast("array<bigint>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(m) - WINDOW, F.lit(0))),
-            lambda i: F.xxhash64(*[F.get(m, i + k) for k in range(WINDOW)]),
-        )
-    )
+
+    def windows(h: Column) -> Column:
+        last = F.greatest(F.size(h) - WINDOW, F.lit(0))
+        all_ = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+        return F.when(F.size(h) < WINDOW, F.array().cast("array<bigint>")).otherwise(all_)
 
     def repeated(h: Column) -> Column:
         def starts(s: Column) -> Column:
@@ -82,11 +82,7 @@ def _repeat_words(m: Column) -> Column:
         ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(ordered, starts))
 
-    return let(windows, repeated)
-
-
-def _without(text: Column, signs: str) -> Column:
-    return F.length(F.translate(text, signs, ""))
+    return let(let(m, windows), repeated)
 
 
 def base_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,24 +91,39 @@ def base_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     See :func:`quality_rules` for the columns.
     """
     rows = two_columns(df, id_col, text_col).withColumn("_text", F.coalesce("_text", F.lit("")))
-    rows = rows.withColumn("_w", words(F.col("_text"))).withColumn("_m", F.transform("_w", _number))
+    rows = rows.withColumn("_w", words(F.col("_text")))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return rows.select(
         "_id",
-        F.size("_m").cast("long").alias("n_words"),
-        _without(F.col("_text"), " \t\n\x0b\x0c\r").cast("long").alias("word_chars"),
-        (F.length("_text") - _without(F.col("_text"), SYMBOLS)).cast("long").alias("n_symbols"),
+        F.size("_w").cast("long").alias("n_words"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        # signs are counted where there are any
+        F.when(F.col("_text").rlike("[#*$%&|<>]"), F.length("_text") - F.length(F.translate("_text", SYMBOLS, "")))
+        .otherwise(0).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("_m")).cast("long").alias("n_repeat_words"),
-        _places(F.col("_w"), F.col("_m")).alias("_places"),
+        _repeat_words(F.transform("_w", lambda x: F.xxhash64(x))).cast("long").alias("n_repeat_words"),
+        _places(F.col("_w")).alias("_places"),
     ).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def place_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(place, n): how often the n-grams of all texts fall on a place."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(words(text).alias("_w")).withColumn("_m", F.transform("_w", _number))
-    return rows.select(F.explode(_places(F.col("_w"), F.col("_m"))).alias("place")).groupBy("place").agg(F.count("*").alias("n"))
+def place_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(place, r, t): how often the n-grams of all texts, and of those with an id in ``trusted``, fall on a place.
+
+    Only texts whose ids may be trusted are shuffled to the join that decides; all others
+    are counted where they are read. Every text is cut into n-grams once.
+    """
+    rows = two_columns(docs, id_col, text_col).withColumn("_maybe", F.coalesce(_maybe_in(trusted, F.col("_id")), F.lit(False)))
+    marked = trusted.select("_id", F.lit(True).alias("_trusted"))
+    some = rows.where("_maybe").join(marked, "_id", "left").select("_text", F.coalesce("_trusted", F.lit(False)).alias("_trusted"))
+    others = rows.where("NOT _maybe").select("_text", F.lit(False).alias("_trusted"))
+
+    def counted(part: DataFrame) -> DataFrame:
+        w = part.select(words(F.col("_text")).alias("_w"), "_trusted")
+        places = w.select(F.explode(_places(F.col("_w"))).alias("place"), "_trusted")
+        return places.groupBy("place").agg(F.count("*").alias("r"), F.count_if("_trusted").alias("t"))
+
+    both = counted(some).unionByName(counted(others))
+    return both.groupBy("place").agg(F.sum("r").alias("r"), F.sum("t").alias("t"))
 
 
 def _maybe_in(ids: DataFrame, id_: Column) -> Column:
@@ -127,14 +138,13 @@ def _maybe_in(ids: DataFrame, id_: Column) -> Column:
     return F.getbit(F.get(known, F.shiftright(x, 6).cast("int")), F.pmod(x, F.lit(64)).cast("int")) == 1
 
 
-def log_ratios(trusted: DataFrame, corpus: DataFrame) -> list[int]:
+def log_ratios(counts: DataFrame) -> list[int]:
     """For every place log(share in trusted / share in corpus), smoothed, in millionths.
 
-    Both arguments are counts by place; at most one row for each place is brought to the
-    driver. Without trusted n-grams all are 0.
+    ``counts`` is that of :func:`place_counts`; at most one row for each place is brought to
+    the driver. Without trusted n-grams all are 0.
     """
-    counts = corpus.withColumnRenamed("n", "r").join(trusted.withColumnRenamed("n", "t"), "place", "left")
-    found = [(row["place"], row["r"], row["t"] or 0) for row in counts.collect()]  # one pass over the corpus
+    found = [(row["place"], row["r"], row["t"]) for row in counts.collect()]  # one pass over the corpus
     all_r, all_t = (sum(x) + SMOOTHING * PLACES for x in ([r for _, r, _ in found], [t for *_, t in found]))
     out = [0] * PLACES
     if all_t > SMOOTHING * PLACES:
@@ -168,10 +178,7 @@ def quality_rules(
     others; an empty table gives no rows; other columns are left.
     """
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("_id")).distinct()
-    rows = two_columns(docs, id_col, text_col)
-    # only texts that may be trusted are shuffled; the join decides
-    target = rows.where(_maybe_in(trusted, F.col("_id"))).join(trusted, "_id", "left_semi")
-    ratios = log_ratios(place_counts(target, "_text"), place_counts(docs, text_col))
+    ratios = log_ratios(place_counts(docs, trusted, id_col, text_col))
     weights = F.from_json(F.lit(json.dumps(ratios)), "array<bigint>")
     total = F.aggregate("_places", F.lit(0).cast("long"), lambda a, p: a + F.get(weights, p))
     n = F.size("_places")

@@ -24,8 +24,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text, none for null."""
-    parts = F.split(F.coalesce(text, F.lit("")), _SPACE)
-    return F.filter(parts, lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, _SPACE))
 
 
 def ascii_lower(text: Column) -> Column:
