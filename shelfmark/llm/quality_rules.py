@@ -113,7 +113,8 @@ def place_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     are counted where they are read. Every text is cut into n-grams once.
     """
     rows = two_columns(docs, id_col, text_col).withColumn("_maybe", F.coalesce(_maybe_in(trusted, F.col("_id")), F.lit(False)))
-    marked = trusted.select("_id", F.lit(True).alias("_trusted"))
+    # one plan at every size: small ids would be broadcast, large ones not
+    marked = trusted.select("_id", F.lit(True).alias("_trusted")).hint("merge")
     some = rows.where("_maybe").join(marked, "_id", "left").select("_text", F.coalesce("_trusted", F.lit(False)).alias("_trusted"))
     others = rows.where("NOT _maybe").select("_text", F.lit(False).alias("_trusted"))
 
