@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm import mixing, nbsvm, pieces, simhash, toxicity
+from shelfmark.llm import alike, mixing, nbsvm, pieces, toxicity
 from shelfmark.session import stage
 
 
@@ -30,13 +30,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates: that with the smallest id.
 
+    Texts are linked from a Jaccard similarity of 0.8 of their sets of five-word shingles.
     Ids need not be unique: rows are told apart by id and text hash, and of rows equal
     in both one stays. Null ids come last.
     """
     rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    found = simhash.near_duplicates(rows, keep=["_text_hash"])
+    roots = alike.alike_components(rows.select(F.col("_text_hash").alias("node"), "text"))
+    found = rows.select("doc_id", "_text_hash").join(roots, F.col("_text_hash") == F.col("node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_hash")).alias("first")
-    kept = found.groupBy("component").agg(first).select(
+    kept = found.groupBy("root").agg(first).select(
         F.col("first.doc_id").alias("_id"), F.col("first._text_hash").alias("_hash")
     )
     same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_text_hash"] == kept["_hash"])
