@@ -30,6 +30,14 @@ _MARKS = frozenset(
     "topbar footer comment comments commentlist disqus replies respond share sharing social related recommended "
     "recommendations pagination pager toolbar".split()
 )
+#: Marks of places that also hold the title of a page.
+_TITLES = frozenset("header banner masthead topbar".split())
+#: Words that may stand beside marks in one name; with any other, as in has-sidebar or ad-free, it marks nothing.
+_BESIDE = frozenset(
+    "area article articles bar block body bottom box button buttons center column container entry "
+    "form global group inline item items left link links list main page panel post posts primary right row "
+    "secondary section site slot stories story text thread title top tree unit wrap wrapper".split()
+)
 _CLOSE_P = BLOCKS - {"html", "body", "option", "optgroup", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: A start tag ends open elements of the first kind, as long as none of the second stands between.
 _ENDS = {
@@ -51,10 +59,21 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_NAME = re.compile(r"[a-z0-9]+")
+_NAME = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _marks(value: str) -> set[str]:
+    """The marks among the names of a class or id, of those names that consist of marks and words beside them."""
+    found: set[str] = set()
+    for name in value.split():
+        parts = set(_NAME.findall(name))
+        marks = parts & _MARKS | parts & {"header"}
+        if parts - marks <= _BESIDE:
+            found |= marks
+    return found
+
+
 class _Page:
     """Block elements of a page in document order, with their texts."""
 
@@ -62,7 +81,8 @@ class _Page:
         self.name: list[str] = ["#root"]
         self.parent: list[int] = [0]
         self.left: list[bool] = [False]  # never part of an article
-        self.marked: list[bool] = [False]  # left unless an article is inside
+        self.marked: list[bool] = [False]  # left unless the page's article or first heading is inside
+        self.title: list[bool] = [False]  # marked, but as a place for titles only
         self.inside: list[bool] = [False]  # an article
         self.links: list[int] = [0]
         self.runs: list[tuple[int, str, int]] = []  # node, text, characters in links
@@ -74,19 +94,21 @@ class _Page:
         self.links.append(0)
         inside = self.inside[parent]
         self.inside.append(inside or name in ("article", "main"))
-        left, marked = name in LEFT or (name == "header" and not inside), False
-        if attributes and name not in ("html", "body", "article", "main"):
+        left, marks = name in LEFT or (name == "header" and not inside), set()
+        if attributes and name not in ("html", "body", "main"):
             for m in _ATTRIBUTE.finditer(attributes):
                 key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
                 if key in ("class", "id"):
-                    names = set(_NAME.findall(value))
-                    marked |= not names.isdisjoint(_MARKS) or ("header" in names and not inside)
+                    marks |= _marks(value) - ({"header"} if inside or name == "article" else set())
+                elif name == "article":
+                    continue
                 elif key == "role":
                     left |= value in _ROLES
                 else:
                     left |= key == "hidden" or value == "true" or (key == "style" and bool(_HIDDEN.search(value)))
         self.left.append(left)
-        self.marked.append(marked)
+        self.marked.append(bool(marks))
+        self.title.append(bool(marks) and marks <= _TITLES)
         return len(self.name) - 1
 
     def _read(self, source: str) -> None:
@@ -205,11 +227,53 @@ def _densities(page: _Page, keep: list[bool]) -> tuple[list[float], list[float],
     return density, total, chars
 
 
+def _anchor(page: _Page) -> int:
+    """The page's first heading, or its article, for whose sake marked elements are kept; 0 for none.
+
+    It is the first h1 that is in no marked element, or else the first in a place for titles
+    only. If there is none, and no article or main outside of marked elements has text, it
+    is the longest article in one, or else the first h1, if that holds more text than is
+    outside of all marked elements.
+    """
+    n, name, parent = len(page.name), page.name, page.parent
+    left, top, strong = list(page.left), [0] * n, [0] * n  # the outermost marked element around, and that not for titles
+    free = [0] * n  # the article or main around
+    for node in range(1, n):
+        up = parent[node]
+        left[node] = left[node] or left[up]
+        top[node] = top[up] or (node if page.marked[node] else 0)
+        strong[node] = strong[up] or (node if page.marked[node] and not page.title[node] else 0)
+        free[node] = free[up] or (node if name[node] in ("article", "main") else 0)
+    headings = [i for i in range(1, n) if name[i] == "h1" and not left[i]]
+    for marked in (top, strong):
+        found = [i for i in headings if not marked[i]]
+        if found:
+            return found[0]
+    chars, outside, article = [0] * n, 0, False
+    for node, text, _ in page.runs:
+        if not left[node]:
+            chars[node] += len(text)
+            if not strong[node]:
+                outside += len(text)
+                article |= free[node] > 0
+    if article:
+        return 0
+    for node in range(n - 1, 0, -1):
+        chars[parent[node]] += chars[node]
+    articles = [i for i in range(1, n) if name[i] in ("article", "main") and strong[i] and not left[i]]
+    if articles:
+        best = max(articles, key=lambda i: (chars[i], -i))
+        return best if chars[best] > outside else 0
+    return headings[0] if headings and chars[strong[headings[0]]] > outside else 0
+
+
 def main_text(source: str | None) -> str:
     """The article of a page: its blocks in order, joined by two line feeds.
 
     Elements that are no article by name, role, class or id are left out, unless one that
-    only its class or id tells of holds the page's article or first heading. Of the rest,
+    only its class or id tells of holds the page's first heading or article (see
+    :func:`_anchor`). A class or id tells by whole names, like ``comments`` or ``cookie-notice``;
+    ``has-sidebar`` and ``ad-free`` are other names. Of the rest,
     the element with the largest sum of its children's densities is the main text; the
     smallest density between it and the body is the threshold, and every element that
     reaches it adds the element of the largest sum inside it. An ``article`` or ``main`` element
@@ -221,9 +285,10 @@ def main_text(source: str | None) -> str:
     page = _Page(source)
     n, name, parent = len(page.name), page.name, page.parent
     holds = [False] * n
-    for node in range(n - 1, 0, -1):
-        holds[node] = holds[node] or name[node] in ("article", "main", "h1")
-        holds[parent[node]] |= holds[node]
+    node = _anchor(page) if any(page.marked) else 0
+    while node:
+        holds[node] = True
+        node = parent[node]
     keep = [True] * n
     for node in range(1, n):
         keep[node] = keep[parent[node]] and not page.left[node] and not (page.marked[node] and not holds[node])

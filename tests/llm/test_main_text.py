@@ -54,6 +54,44 @@ def test_left_out(wrap, other):
     assert main_text(f"<body>{body}{other}") == want
 
 
+NOT_RESCUED = [
+    "<section class=comments><article class=comment><p>" + LONG * 3 + "</p></article></section>",
+    "<section class=comments><article><h1>Me</h1><p>" + LONG * 3 + "</p></article></section>",
+    "<div class=related><article><h2>More</h2><p>" + LONG + "</p></article><article><p>" + LONG + "</p></article></div>",
+    "<div class='related-posts'><main><p>" + LONG + "</p></main></div>",
+    "<div class='cookie-notice'><h1>We use cookies</h1><p>" + LONG + "</p></div>",
+    "<article class='teaser promo'><p>" + LONG * 3 + "</p></article>",
+]
+
+
+@pytest.mark.parametrize("wrap", ["<article><h1>T</h1>{}</article>", "<article><h2>T</h2>{}</article>", "<div id=content><h1>T</h1>{}</div>", "<div id=content><h2>T</h2>{}</div>"])
+@pytest.mark.parametrize("other", NOT_RESCUED)
+def test_marked_elements_with_articles_or_headings_of_their_own(wrap, other):
+    body = wrap.format(f"<p>{LONG * 4}</p><p>{LONG * 3}</p>")
+    want = "\n\n".join(["T", (LONG * 4).strip(), (LONG * 3).strip()])
+    assert main_text(f"<body>{other}{body}</body>") == want
+    assert main_text(f"<body>{body}{other}</body>") == want
+    assert main_text(f"<body>{wrap.format(f'<p>{LONG * 4}</p><p>{LONG * 3}</p>{other}')}</body>") == want
+
+
+@pytest.mark.parametrize("name", ["post has-sidebar", "ad-free", "no-comments", "with_sidebar", "post without-ads"])
+@pytest.mark.parametrize("title", ["h1", "h2"])
+def test_names_that_only_hold_a_mark(name, title):
+    inside = f"<{title}>T</{title}><p>{LONG * 4}</p><p>{LONG * 3}</p>"
+    want = "\n\n".join(["T", (LONG * 4).strip(), (LONG * 3).strip()])
+    assert main_text(f"<body><div class='{name}'>{inside}</div><div class=sidebar><p>{LONG}</p></div></body>") == want
+    assert main_text(f"<body><article class='{name}'>{inside}</article></body>") == want
+
+
+def test_rescued():
+    inside = f"<p>{LONG * 4}</p><p>{LONG * 3}</p>"
+    want = "\n\n".join(["T", (LONG * 4).strip(), (LONG * 3).strip()])
+    assert main_text(f"<body><div class='post widget'><article><h1>T</h1>{inside}</article></div><p>x</p></body>") == want
+    assert main_text(f"<body><main><div class=widget><h1>T</h1>{inside}</div></main></body>") == want
+    assert main_text(f"<body><div class='site-header'><h1>T</h1>{inside}</div><p>x</p></body>") == want
+    assert main_text(f"<body><article class=widget><h2>T</h2>{inside}</article></body>") == want
+
+
 def test_text_of_blocks():
     page = "<article><header class=header><h1>A&nbsp;&amp B</h1></header><p>a <b>b</b>c<br>d &lt;p&gt; 1 < 2 &#x1D11E;<p>\n x \t y</p>z<table><tr><td>1<td>2</table></article>"
     assert main_text(page) == "A & B\n\na bc d <p> 1 < 2 𝄞\n\nx y\n\nz\n\n1\n\n2"
