@@ -4,7 +4,7 @@ import math
 import re
 from collections import Counter
 
-from shelfmark.llm.licenses import LICENSE_FILE, TEMPLATES, THRESHOLD, TRIGGER, scan_licenses, terms
+from shelfmark.llm.licenses import LICENSE_FILE, TEMPLATES, TEXTS, THRESHOLD, TRIGGER, scan_licenses, terms
 from shelfmark.llm.queries import QUERIES
 
 
@@ -88,3 +88,50 @@ def test_documents(spark):
     rows = [(r.path, text[r.doc_id]) for r in out.collect()]
     check(out, rows)
     assert {r.license for r in out.collect()} == {None, "MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0"}
+
+
+def gnu(program, name, version):
+    return f"""    This {program} is free software; you can redistribute it and/or modify
+    it under the terms of the GNU {name} as published by
+    the Free Software Foundation; either version {version} of the License, or
+    (at your option) any later version.
+
+    This {program} is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU {name} for more details."""
+
+
+HEADERS = {
+    "GPL-2.0": gnu("program", "General Public License", "2"), "GPL-3.0": gnu("program", "General Public License", "3"),
+    "LGPL-2.1": gnu("library", "Lesser General Public License", "2.1"), "LGPL-3.0": gnu("library", "Lesser General Public License", "3"),
+    "AGPL-3.0": gnu("program", "Affero General Public License", "3"),
+}
+
+
+def test_real_headers_and_files(spark):
+    """Headers as they stand in files, whole texts, both also on one line; without and with other files around."""
+    want, rows = {}, []
+
+    def add(path, name, text):
+        want[path] = name
+        rows.append((path, text))
+
+    line = lambda t: " ".join(t.split())
+    for name, text in HEADERS.items():
+        add(f"h/{name}.c", name, f"/*\n{text}\n*/\nint main;\n")
+        add(f"h/{name}.py", name, "\n".join(f"# {x}" for x in text.split("\n")) + "\ncode\n")
+        add(f"h/{name}.js", name, f"// {line(text)}\ncode\n")
+    for name, (text,) in TEXTS.items():
+        add(f"{name}/LICENSE", name, "Copyright (c) 2020 Some Body\n\n" + text)
+        add(f"{name}-line/COPYING", name, line(text))
+        add(f"{name}-line/below/x.py", name, "code")
+    permission = next(p for p in TEXTS["MIT"][0].split("\n\n") if p.startswith("Permission"))
+    add("m/x.py", "MIT", "# " + line(permission) + "\ncode\n")
+    add("m/y.py", "MIT", "".join(f"# {x}\n" for x in TEXTS["MIT"][0].split("\n")) + "code\n")
+    add("m/b2.py", "BSD-2-Clause", "".join(f"# {x}\n" for x in TEXTS["BSD-2-Clause"][0].split("\n")) + "code\n")
+    add("m/b3.py", "BSD-3-Clause", "".join(f"# {x}\n" for x in TEXTS["BSD-3-Clause"][0].split("\n")) + "code\n")
+    prose = [(f"n/{i}/LICENSE", "The people of the town go to the sea, and the sea is of use to the people and the town. " * 40) for i in range(60)]
+    for more in ([], prose):
+        out = {r.path: r.license for r in scan_licenses(spark.createDataFrame(rows + more, "path string, text string")).collect()}
+        assert {p: n for p, n in out.items() if n != want.get(p)} == {}
