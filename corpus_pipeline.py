@@ -53,8 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix."""
-    encoded = pieces.encode(docs, keep=["doc_id", "lang", "source"])
+    """Token ids of every document of the mix, decoded again: decoded_sha256 and round_trip."""
+    encoded = pieces.encode(docs, keep=["doc_id", "lang", "source"], check=True)
     return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
