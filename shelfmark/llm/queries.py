@@ -1,4 +1,4 @@
-"""The ten operators as registered queries on the synthetic tables."""
+"""The operators as registered queries on the synthetic tables."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import nbsvm, toxicity
 from .chat import format_chats, read_chats
+from .fim import fill_in_middle, restored
 from .labelled import fold
 from .licenses import scan_licenses
 from .main_text import extract
@@ -114,3 +115,15 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.concat_ws("/", low, F.concat(F.col("doc_id"), F.lit(".txt"))))
     )
     return scan_licenses(docs.select("doc_id", path.alias("path"), "text"))
+
+
+@_query
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in fill-in-middle order, and rebuilt from that."""
+    made = fill_in_middle(_table(spark, folder, "documents"))
+    digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        digest(F.col("output")).alias("output_sha256"),
+        digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
