@@ -89,3 +89,35 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
        sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
 FROM parts
 """
+
+SQL["op12_decontaminate"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+parts AS (
+  SELECT item, least(len(w), 10) AS size, unnest(w) AS word, generate_subscripts(w, 1) AS i, r FROM (SELECT *, row_number() OVER () AS r FROM items)),
+tens AS (
+  SELECT item, size, list(word) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ten FROM parts),
+windows AS (
+  SELECT DISTINCT item, size, array_to_string(list_slice(ten, 1, size), ' ') AS words FROM tens WHERE len(ten) >= size),
+sizes AS (
+  SELECT DISTINCT size FROM windows),
+word AS (
+  SELECT k, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+places AS (
+  SELECT k, i, list(word) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ten FROM word),
+found AS (
+  SELECT k, i, p.size, item FROM (
+    SELECT k, i, size, array_to_string(list_slice(ten, 1, size), ' ') AS words FROM places, sizes WHERE size <= len(ten)) p
+  JOIN windows ON windows.size = p.size AND windows.words = p.words),
+hit AS (
+  SELECT k, count(DISTINCT i + d) AS n FROM (SELECT k, i, unnest(generate_series(0, size - 1)) AS d FROM (SELECT DISTINCT k, i, size FROM found)) GROUP BY k),
+named AS (
+  SELECT k, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM found) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit ON hit.k = docs.k LEFT JOIN named ON named.k = docs.k
+"""

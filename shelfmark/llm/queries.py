@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import nbsvm, toxicity
 from .chat import format_chats, read_chats
+from .decontaminate import find_leaks, n_hit
 from .fim import fill_in_middle, restored
 from .labelled import fold
 from .licenses import scan_licenses
@@ -127,3 +128,15 @@ def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
         digest(F.col("output")).alias("output_sha256"),
         digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
     )
+
+
+@_query
+def op12_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents inside windows of the benchmark, and the items that have them."""
+    found = find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    hit = n_hit(F.col("spans"))
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.concat_ws(",", "items"), "UTF-8"), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
