@@ -19,6 +19,7 @@ from .mixing import draws
 from .pieces import encode
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -140,3 +141,9 @@ def op12_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.encode(F.concat_ws(",", "items"), "UTF-8"), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
+
+
+@_query
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of all documents, their near words, forms and roots."""
+    return spelling_variants(_table(spark, folder, "documents"))
