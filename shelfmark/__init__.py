@@ -33,7 +33,7 @@ from .operators.lookup import (
     search_fields,
     select_resource,
 )
-from .operators.mutate import add, backfill, duplicate_ids, remove, union_catalogs, upsert
+from .operators.mutate import add, backfill, duplicate_ids, remove, repeated_fetches, union_catalogs, upsert
 from .operators.position import dense_position
 from .operators.search import result_count, search, search_score
 from .operators.shape import (
@@ -66,7 +66,7 @@ from .sinks.catalogs import (
     write_catalog_dir,
     write_catalog_json,
 )
-from .sinks.materialize import materialize
+from .sinks.materialize import materialize, materialize_many
 from .sinks.pages import render_pages, write_pages
 from .sources.catalogs import (
     catalog_from_responses,

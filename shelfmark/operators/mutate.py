@@ -71,15 +71,18 @@ def upsert(catalog: DataFrame, new: DataFrame) -> DataFrame:
 def backfill(catalog: DataFrame, fetched: DataFrame) -> DataFrame:
     """Fill missing data packages of git datasets from fetched descriptors.
 
-    ``fetched`` has unique (metadata_uri, datapackage). ``backfill_status`` tells
+    ``fetched`` has (metadata_uri, datapackage). ``backfill_status`` tells
     present, filled, missing (nothing fetched) or unsupported (source is not git).
     Only rows that need a package are looked up. Filled packages are part of the
-    document when the catalog is saved.
+    document when the catalog is saved. A dataset stays one row: of several packages
+    fetched for one URI the smallest is taken; ``repeated_fetches`` tells which those are.
     """
     needs = F.col("datapackage").isNull() & (F.col("source") == "git")
     left = catalog.withColumn("_uri", F.when(needs, F.col("metadata_uri")))
-    right = fetched.select(
-        F.col("metadata_uri").alias("_uri"), F.col("datapackage").alias("_body")
+    # written, so that the join has no aggregate on its right side and a hot URI can be split
+    right = stage(
+        fetched.where("metadata_uri IS NOT NULL").groupBy(F.col("metadata_uri").alias("_uri")).agg(F.min("datapackage").alias("_body")),
+        "fetched",
     )
     joined = left.join(right, "_uri", "left").select(*left.columns, "_body")
     status = (
@@ -93,6 +96,13 @@ def backfill(catalog: DataFrame, fetched: DataFrame) -> DataFrame:
     ).drop("_uri", "_body")
 
 
+def repeated_fetches(fetched: DataFrame) -> DataFrame:
+    """(metadata_uri, n, n_different) of URIs fetched several times: rows, and packages that differ."""
+    different = F.count_distinct(F.xxhash64("datapackage"))
+    counted = fetched.groupBy("metadata_uri").agg(F.count("*").alias("n"), different.alias("n_different"))
+    return counted.filter(F.col("n") > 1)
+
+
 def union_catalogs(catalogs: Mapping[str, DataFrame]) -> DataFrame:
     """Named catalogs side by side, told apart by the column ``catalog``."""
     parts = [df.withColumn("catalog", F.lit(name)) for name, df in catalogs.items()]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,25 +28,80 @@ def read_resource(
     keep_corrupt: bool = False,
     multi_line: bool = False,
 ) -> DataFrame:
-    """A delimited resource under its declared schema.
+    """A delimited or JSON resource under its declared schema.
 
     Declared fields are found by their names in the header, in whatever order they
-    stand there; a declared field that the file lacks is an error. The columns are the
-    declared ones, in declared order. Cells that do not fit their type become null; with
+    stand there; of a name that the header repeats, the first column is taken, and a
+    declared field that the file lacks is an error. The columns are the declared ones, in
+    declared order. Cells that do not fit their type become null; with
     ``keep_corrupt`` the line of such a row is kept in a column (with several missing
-    values: its cells, written again). ``multi_line`` is for quoted line breaks.
+    values, and of JSON: its cells, written again). ``multi_line`` is for quoted line breaks.
     """
     r = _as_dict(resource)
-    declared = r.get("schema") or {}
-    schema = to_struct(declared.get("fields") or [])
-    missing = declared.get("missingValues")
-    charset, codec = reader_charset(r.get("encoding"))
     location = r.get("location") or r["path"]
     if base and not r.get("location"):
         location = f"{base.rstrip('/')}/{location}"
-    if (r.get("format") or "csv").lower() == "json":
-        return spark.read.schema(schema).json(location, multiLine=True, encoding=charset)
-    reader = (
+    names = None
+    if (r.get("format") or "csv").lower() != "json":
+        charset, codec = reader_charset(r.get("encoding"))
+        names = _header(_csv_reader(spark, charset, multi_line), location, codec)
+    return read_files(spark, [location], r, names, keep_corrupt, multi_line)
+
+
+def read_files(
+    spark: SparkSession,
+    locations: Sequence[str],
+    resource: Row | Mapping,
+    names: Sequence[str] | None,
+    keep_corrupt: bool = False,
+    multi_line: bool = False,
+    file: str | None = None,
+) -> DataFrame:
+    """Files of one declared schema, charset and header ``names`` as one table.
+
+    Everything is as in ``read_resource``; ``names`` is None for JSON. ``file`` names a
+    column that holds the location of each row's file, as (path).
+    """
+    r = _as_dict(resource)
+    declared = r.get("schema") or {}
+    fields = declared.get("fields") or []
+    missing = declared.get("missingValues")
+    charset, codec = reader_charset(r.get("encoding"))
+    # a struct is no text of the file, which a charset would change
+    extra = [F.struct(F.col("_metadata.file_path").alias("path")).alias(file)] if file else []
+    if names is None:
+        text = T.StructType([T.StructField(n, T.StringType()) for n in dict.fromkeys(f["name"] for f in fields)])
+        whole = T.StructType([*text, T.StructField(CORRUPT, T.StringType())])
+        reader = spark.read.schema(whole).option("columnNameOfCorruptRecord", CORRUPT)
+        df = reader.json(list(locations), multiLine=True, encoding=charset).select("*", *extra)
+        return _cast(df, fields, missing or [""], keep_corrupt, file, F.to_json, F.col(f"`{CORRUPT}`"))
+    absent = [f["name"] for f in fields if f["name"] not in names]
+    if absent:
+        raise ValueError(f"{locations[0]} has no columns {absent}; its header is {list(names)}")
+    # columns go by their places: names may be repeated
+    place = {f["name"]: list(names).index(f["name"]) for f in fields}
+    reader = _csv_reader(spark, charset, multi_line)
+    if not missing or missing == [""]:
+        kinds = {place[f.name]: f.dataType for f in to_struct(fields)}
+        in_file = T.StructType([T.StructField(f"_{i}", kinds.get(i, T.StringType())) for i in range(len(names))])
+        if keep_corrupt:
+            in_file.add(CORRUPT, "string")
+            reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+        df = recode_strings(reader.option("nullValue", "").schema(in_file).csv(list(locations)).select("*", *extra), codec)
+        return df.select(
+            *[_blank_is_null(f"_{place[f['name']]}", kinds[place[f["name"]]]).alias(f["name"]) for f in fields],
+            *([CORRUPT] if keep_corrupt else []),
+            *([file] if file else []),
+        )
+    # several missing values: read as text, blank them, then cast
+    text = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
+    df = recode_strings(reader.schema(text).csv(list(locations)).select("*", *extra), codec)
+    df = df.withColumnsRenamed({f"_{i}": n for n, i in place.items()})
+    return _cast(df, fields, missing, keep_corrupt, file, F.to_csv, None)
+
+
+def _csv_reader(spark: SparkSession, charset: str, multi_line: bool):
+    return (
         spark.read.option("header", True)
         .option("enforceSchema", True)
         .option("encoding", charset)
@@ -55,68 +110,52 @@ def read_resource(
         .option("escape", '"')
         .option("multiLine", multi_line)
     )
-    names = _header(reader, location, codec)
-    absent = [f.name for f in schema if f.name not in names]
-    if absent and len(schema):
-        raise ValueError(f"{location} has no columns {absent}; its header is {names}")
-    if names == schema.names or len(set(names)) < len(names):
-        in_file = schema
-    else:
-        kinds = {f.name: f for f in schema}
-        in_file = T.StructType([kinds.get(n, T.StructField(n, T.StringType())) for n in names])
-    if not missing or missing == [""]:
-        df = _finish(reader.option("nullValue", ""), in_file, keep_corrupt, location, codec)
-        return df.select(*[F.col(f"`{n}`") for n in [*schema.names, *([CORRUPT] if keep_corrupt else [])]])
-    # several missing values: read as text, blank them, then cast
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in in_file])
-    df = recode_strings(reader.schema(text).csv(location), codec).toDF(*in_file.names)
-    cast = cast_declared(df, declared["fields"], missing)
+
+
+def _blank_is_null(name: str, kind: T.DataType) -> Column:
+    """A quoted empty cell is missing, too."""
+    return F.nullif(F.col(name), F.lit("")) if isinstance(kind, T.StringType) else F.col(name)
+
+
+def _cast(
+    df: DataFrame, fields: Sequence[Mapping], missing: Sequence[str], keep_corrupt: bool, file: str | None, written, broken: Column | None
+) -> DataFrame:
+    """Text columns as declared, with what does not fit: ``broken`` lines, else the cells as ``written``."""
+    also = [file] if file else []
     if not keep_corrupt:
-        return cast
+        return df.select(
+            *[cast_cell(F.when(~F.col(f"`{f['name']}`").isin(list(missing)), F.col(f"`{f['name']}`")), f["type"]).alias(f["name"]) for f in fields],
+            *also,
+        )
     both = df.select(
-        F.struct(*[F.col(f"`{n}`") for n in in_file.names]).alias("_text"),
+        F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (file, CORRUPT)]).alias("_text"),
         *[
             F.struct(
                 cast_cell(F.when(~F.col(f"`{f['name']}`").isin(list(missing)), F.col(f"`{f['name']}`")), f["type"]).alias("v"),
                 (F.col(f"`{f['name']}`").isNull() | F.col(f"`{f['name']}`").isin(list(missing))).alias("gone"),
             ).alias(f"_{i}")
-            for i, f in enumerate(declared["fields"])
+            for i, f in enumerate(fields)
         ],
+        (broken if broken is not None else F.lit(None).cast("string")).alias("_broken"),
+        *also,
     )
     bad = F.lit(False)
-    for i in range(len(declared["fields"])):
+    for i in range(len(fields)):
         bad = bad | (F.col(f"_{i}.v").isNull() & ~F.col(f"_{i}.gone"))
     return both.select(
-        *[F.col(f"_{i}.v").alias(f["name"]) for i, f in enumerate(declared["fields"])],
-        F.when(bad, F.to_csv("_text")).alias(CORRUPT),
+        *[F.col(f"_{i}.v").alias(f["name"]) for i, f in enumerate(fields)],
+        F.coalesce("_broken", F.when(bad, written("_text"))).alias(CORRUPT),
+        *also,
     )
 
 
 def _header(reader, location: str, codec: str | None) -> list[str]:
     """The names in the first line of a file."""
-    first = reader.option("header", False).option("enforceSchema", True).csv(location).limit(1)
+    first = reader.option("header", False).csv(location).limit(1)
     row = recode_strings(first, codec).first()
-    reader.option("header", True)
     return [n or "" for n in row] if row else []
 
 
-def _finish(reader, schema: T.StructType, keep_corrupt: bool, location: str, codec: str | None):
-    if keep_corrupt:
-        schema = T.StructType([*schema, T.StructField(CORRUPT, T.StringType())])
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-    # declared names are text already, not bytes of the file
-    df = recode_strings(reader.schema(schema).csv(location), codec).toDF(*schema.names)
-    # a quoted empty cell is missing, too
-    return df.select(
-        *[
-            F.nullif(F.col(f"`{f.name}`"), F.lit("")).alias(f.name)
-            if isinstance(f.dataType, T.StringType)
-            else F.col(f"`{f.name}`")
-            for f in schema
-        ]
-    )
-
-
 def read_delimited(
     spark: SparkSession, leaf: Row | Mapping, location: str | None = None, infer: bool = True
 ) -> DataFrame:
