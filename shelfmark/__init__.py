@@ -73,6 +73,7 @@ from .sources.catalogs import (
     read_catalog,
     read_catalog_dir,
     read_catalog_json,
+    read_catalog_json_blocks,
     read_catalog_lines,
 )
 from .sources.files import list_files

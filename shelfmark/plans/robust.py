@@ -103,7 +103,7 @@ def delimited_long_comments(spark, folder):
     long = F.concat(text("c_custkey"), F.lit(',"'), "c_name", F.lit('"# '), F.repeat(F.lit("x y, "), times))
     lines = c.select(F.col("c_custkey").alias("k"), long.alias("value"))
     first = spark.createDataFrame([(-2, "c_custkey,c_name# header"), (-1, ",c_name")], "k long, value string")
-    lines.unionByName(first).repartition(1).sortWithinPartitions("k").select("value").write.text(path)
+    lines.unionByName(first).repartitionByRange("k").sortWithinPartitions("k").select("value").write.text(path)
     leaf = {"path": path, "comment": "#"}
     return read_delimited(spark, leaf).select(F.col("c_custkey").cast("long").alias("c_custkey"), F.trim("c_name").alias("c_name"))
 

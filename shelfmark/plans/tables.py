@@ -1,17 +1,18 @@
-"""Queries on data files: many in one job, repeated names, JSON under a declared schema, repeated fetches."""
+"""Queries on data files: many in one job, records cut by blocks, repeated names, JSON under a declared schema, repeated fetches."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import mutate, shape
 from ..session import fresh_path
 from ..sinks.catalogs import write_catalog_array
 from ..sinks.materialize import materialize_many
-from ..sources.tables import read_resource
+from ..sources.catalogs import read_catalog_json_blocks
+from ..sources.tables import read_delimited, read_resource
 from .registry import query
 from .views import table, tag, text
 
@@ -113,3 +114,37 @@ def backfill_repeated(spark, folder):
 def repeated(spark, folder):
     o = table(spark, folder, "orders")
     return mutate.repeated_fetches(o.select(tag("customer-", "o_custkey").alias("metadata_uri"), F.struct("o_orderstatus").alias("datapackage")))
+
+
+@query("catalog_json_blocks", "SELECT o_orderkey AS id, o_orderpriority || ' {\"[,]' AS name, ['x', 'é\n' || o_custkey] AS tags, TRUE AS ranked FROM orders")
+def catalog_json_blocks(spark, folder):
+    """Orders as one indented JSON array in one file, with brackets and quotes in texts, read by blocks of 64 KB."""
+    path = fresh_path(spark, "array")
+    o = table(spark, folder, "orders")
+    doc = F.struct(
+        text("o_orderkey").alias("id"), F.concat("o_orderpriority", F.lit(' {"[,]')).alias("name"),
+        F.array(F.lit("x"), F.concat(F.lit("é\n"), "o_custkey")).alias("tags"),
+    )
+    write_catalog_array(o.select(F.col("o_orderkey").alias("pos"), F.to_variant_object(doc).alias("raw")), path, single_file=True)
+    catalog = read_catalog_json_blocks(spark, path, block=1 << 16)
+    # the array is in order of the keys, so positions are, too
+    before = F.lag(F.col("id").cast("long")).over(Window.partitionBy(F.floor(F.col("pos") / 1000)).orderBy("pos"))
+    rows = catalog.select(F.col("id").cast("long").alias("id"), "name", "tags", "pos")
+    return rows.withColumn("ranked", F.coalesce(before < F.col("id"), F.lit(True))).drop("pos")
+
+
+@query(
+    "read_delimited_quoted_breaks",
+    """SELECT doc_id AS k, nullif(regexp_replace(replace(replace(coalesce(text, ''), chr(13), ''), chr(0), ''), '^ +| +$', '', 'g'), '') AS note FROM documents""",
+)
+def delimited_quoted_breaks(spark, folder):
+    """Whole texts of documents as quoted cells, line breaks included, a comment behind every record."""
+    path = fresh_path(spark, "delimited")
+    d = table(spark, folder, "documents")
+    note = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "\r\x00", ""), "^ +| +$", "")
+    cell = F.concat(F.lit('"'), F.replace(note, F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = d.select(F.col("doc_id").alias("n"), F.concat(text("doc_id"), F.lit(";"), cell, F.lit('# a "note; of it')).alias("value"))
+    first = spark.createDataFrame([(None, "# documents\nk;note")], lines.schema)
+    lines.unionByName(first).repartitionByRange("n").sortWithinPartitions("n").select("value").write.text(path)
+    found = read_delimited(spark, {"path": path, "seperator": ";", "comment": "#"}, infer=False, block=1 << 18)
+    return found.select(F.col("k").cast("long").alias("k"), "note")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.position import dense_position
 from ..operators.shape import normalize
+from ..session import stage
+from .blocks import BLOCK, json_array_records
 
 
 def _sorted_out(
@@ -50,9 +52,9 @@ def read_catalog_json(
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Datasets of JSON arrays: one file, or several in path order.
 
-    ``pos`` is the index over all arrays. One array cannot be split, so one task reads
-    it; ``write_catalog_array`` writes one per task. Import a large single array once
-    and keep the catalog as a table (``write_catalog``). A file that is no array, or an
+    ``pos`` is the index over all arrays. One array is read by one task;
+    ``write_catalog_array`` writes one per task, and ``read_catalog_json_blocks`` is for
+    arrays too large for that. A file that is no array, or an
     item that is no object, is an error, or with ``with_rejects`` a row of the second
     table; blank files hold nothing.
     """
@@ -68,6 +70,20 @@ def read_catalog_json(
     return _sorted_out(docs, ["file", "index"], with_rejects)
 
 
+def read_catalog_json_blocks(
+    spark: SparkSession, path: str, with_rejects: bool = False, block: int = BLOCK
+) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Datasets of JSON arrays of any size: the blocks of a file are read by many tasks.
+
+    The rows are those of ``read_catalog_json``. Items are cut before they are parsed, so a
+    broken item is an error, or a reject, by itself; ``index`` of a reject is its place in
+    bytes. Text behind an array and an array that does not end are rejects, too.
+    """
+    items = json_array_records(spark, path, block)
+    # cut once, and kept: positions need them in order, rejects need them again
+    return _sorted_out(stage(items, "items"), ["file", "index"], with_rejects)
+
+
 def read_catalog_lines(
     spark: SparkSession, path: str, with_rejects: bool = False
 ) -> DataFrame | tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.charsets import reader_charset, recode, recode_strings
 from ..operators.infer import cast_cell, cast_declared, infer_types
 from ..schema import to_struct
+from .blocks import BLOCK, delimited_records
 
 CORRUPT = "_corrupt_record"
 
@@ -157,21 +158,29 @@ def _header(reader, location: str, codec: str | None) -> list[str]:
 
 
 def read_delimited(
-    spark: SparkSession, leaf: Row | Mapping, location: str | None = None, infer: bool = True
+    spark: SparkSession,
+    leaf: Row | Mapping,
+    location: str | None = None,
+    infer: bool = True,
+    quoted_breaks: bool = False,
+    block: int = BLOCK,
 ) -> DataFrame:
     """A delimited file with a header, as described by an old leaf.
 
     ``seperator`` (its spelling in leaves), ``comment`` and ``decode`` are taken from
     the leaf. A comment runs from its character, outside quotes, to the end of the
-    line; lines that are comments only vanish. Column types are inferred from all
-    rows unless ``infer`` is false.
+    line; lines that are comments only vanish. With a comment character, or with
+    ``quoted_breaks``, files are cut into records by blocks of ``block`` bytes, each in a
+    task, and a line break inside quotes is text; the header is the first record over all
+    files. Without, lines are records, and every file has a header. Column types are
+    inferred from all rows unless ``infer`` is false.
     """
     leaf = _as_dict(leaf)
     location = location or leaf.get("url") or leaf["path"]
     sep, comment = leaf.get("seperator") or ",", leaf.get("comment")
     charset, codec = reader_charset(leaf.get("decode"))
-    if comment:
-        df = _read_commented(spark, location, sep, comment, charset, codec)
+    if comment or quoted_breaks:
+        df = _read_records(spark, location, sep, comment, charset, codec, block)
     else:
         df = recode_strings(
             spark.read.csv(
@@ -186,39 +195,26 @@ def read_delimited(
     return cast_declared(df, fields, [""])
 
 
-def _read_commented(
-    spark: SparkSession, location: str, sep: str, comment: str, charset: str, codec: str | None
+def _read_records(
+    spark: SparkSession, location: str, sep: str, comment: str | None, charset: str, codec: str | None, block: int
 ) -> DataFrame:
-    mark = "\\" + comment
-    # possessive: no recursion, however long a line is
-    before = rf'^((?:[^"{mark}]++|"[^"]*+")*+){mark}.*$'
-    if charset in ("UTF-8", "ISO-8859-1", "US-ASCII"):
-        raw = spark.read.text(location).select(
-            F.decode(F.col("value").cast("binary"), charset).alias("value")
-        )
-    else:
-        # one column: a separator that cannot occur in the text
-        raw = spark.read.csv(
-            location, schema="value string", sep="\u0001", quote="", encoding=charset
-        )
-    value = recode(F.col("value"), codec) if codec else F.col("value")
-    # the header goes by its place: a line of data may be equal to it
-    lines = raw.select(
-        F.monotonically_increasing_id().alias("_line"), F.regexp_replace(value, before, "$1").alias("value")
-    ).filter(F.trim("value") != "")
-    header = lines.first()
+    """Records cut by ``delimited_records``; the first one over all files is the header."""
+    if charset not in ("UTF-8", "ISO-8859-1", "US-ASCII") or len(sep) != 1 or len((comment or "#").encode()) != 1 or not sep.isascii():
+        raise ValueError(f"comments and quoted line breaks need a charset and marks of single ASCII bytes, not {charset}, {sep!r}, {comment!r}")
+    records, first = delimited_records(spark, location, sep, comment, block)
+    text = F.decode("data", charset)
+    text = recode(text, codec) if codec else text
+    header = first.select("file", "start", text.alias("value")).first()
+    if header is None:
+        raise ValueError(f"{location} has no header")
     names = next(csv.reader(io.StringIO(header["value"]), delimiter=sep))
-    return (
-        lines.filter(F.col("_line") != header["_line"])
-        .select(
-            F.from_csv(
-                "value",
-                ", ".join(f"`{n}` string" for n in names),
-                {"sep": sep, "quote": '"', "escape": '"', "nullValue": ""},
-            ).alias("_r")
-        )
-        .select("_r.*")
-    )
+    if len(set(names)) < len(names):
+        raise ValueError(f"{location} repeats names in its header {names}")
+    kinds = ", ".join("`{}` string".format(n.replace("`", "``")) for n in names)
+    parsed = F.from_csv(text, kinds, {"sep": sep, "quote": '"', "escape": '"', "nullValue": "", "multiLine": "true", "maxCharsPerColumn": "-1"})
+    # the header goes by its place: a record of data may be equal to it
+    data = records.where((F.col("file") != header["file"]) | (F.col("start") != header["start"]))
+    return data.select(parsed.alias("_r")).select("_r.*")
 
 
 def read_json_resource(
