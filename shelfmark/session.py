@@ -59,3 +59,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove a table that ``stage`` wrote, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    top = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file)).getParent()
+        # staged tables lie directly in the shared folder; nothing else is touched
+        if folder.getParent() and system.makeQualified(folder.getParent()).equals(system.makeQualified(top)):
+            system.delete(folder, True)
