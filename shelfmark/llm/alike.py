@@ -1,4 +1,4 @@
-"""Components of texts with like word shingles: SimHash components and MinHash bands as buckets, verified by exact Jaccard."""
+"""Components of texts with like word shingles: SimHash components and MinHash bands as buckets, verified by Jaccard."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import stage, unstage
 from .components import connected_components
 from .simhash import SEED, near_duplicates
 from .words import texts
@@ -62,6 +62,28 @@ def _sketches(n: int):
     return run
 
 
+def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of equal minima of sketches, row by row."""
+    return (a == b).mean(-1)
+
+
+def _minima(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), ROWS * BANDS)
+
+
+def _close(edges: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
+    """The ``edges`` (u, v) whose sketches, from ``nodes``, have at least ``share`` of their minima equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ok = _share(_minima(batch.column("minima_u")), _minima(batch.column("minima_v"))) >= share
+                yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    ends = [nodes.select(F.col("node").alias(e), F.col("minima").alias(f"minima_{e}")) for e in "uv"]
+    return edges.join(ends[1], "v").join(ends[0], "u").select("u", "v", "minima_u", "minima_v").mapInArrow(run, "u bigint, v bigint")
+
+
 def _verified(edges: DataFrame, rows: DataFrame, n: int, least: float) -> DataFrame:
     """The ``edges`` (u, v) whose texts are alike, each text read from ``rows`` (node, text)."""
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
@@ -76,36 +98,97 @@ def _verified(edges: DataFrame, rows: DataFrame, n: int, least: float) -> DataFr
     both = edges.join(found.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v").join(
         found.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u"
     )
-    return stage(both.mapInArrow(run, "u bigint, v bigint"), "verified")
+    verified = stage(both.mapInArrow(run, "u bigint, v bigint"), "verified")
+    unstage(found)
+    return verified
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list]:
+    """The columns of one bucket (``key``) at a time, of rows in order of their keys."""
+    kept: list[list] = [[] for _ in names]
+    keys: list[int] = []
+    for batch in batches:
+        keys += batch.column("key").to_pylist()
+        for x, c in zip(kept, names):
+            x += batch.column(c).to_pylist()
+        start = 0
+        for at in (np.flatnonzero(np.diff(np.array(keys, np.int64))) + 1).tolist():
+            yield [keys[start], *(x[start:at] for x in kept)]
+            start = at
+        del keys[:start]
+        for x in kept:
+            del x[:start]
+    if keys:
+        yield [keys[0], *kept]
+
+
+def _partners(root: np.ndarray, minima: np.ndarray, share: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For members of a bucket, those of other components with close sketches; each pair from one side at least.
+
+    Members of the largest component ask for none, the others of it are found by theirs.
+    """
+    kinds, which = np.unique(root, return_inverse=True)
+    for i in np.flatnonzero(which != np.bincount(which).argmax()).tolist():
+        other = np.flatnonzero(root != root[i])
+        near = other[_share(minima[other], minima[i]) >= share]
+        if len(near):
+            yield i, near
+
 
+def _asking(share: float):
+    """Task function: the members of each bucket that have a close member in another component; no pairs."""
 
-def _across(share: float):
-    """Pairs of one bucket that are in different components and have at least ``share`` of their minima equal."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, root, minima in _whole_buckets(batches, ["node", "root", "minima"]):
+            asking = np.zeros(len(node), bool)
+            sketches = np.frombuffer(b"".join(minima), np.uint8).reshape(len(node), ROWS * BANDS)
+            for i, near in _partners(np.array(root), sketches, share):
+                asking[i] = True
+                asking[near] = True
+            out = np.array(node, np.int64)[asking]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), key), pa.int64()), pa.array(out)], ["key", "node"])
+
+    return run
+
+
+def _hashed(n: int):
+    """Task function: the set of a text's shingles as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(node: np.ndarray, root: np.ndarray, minima: np.ndarray) -> pa.RecordBatch:
-            left, right = [], []
-            for i in range(len(node) - 1):
-                other = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-                near = other[(minima[other] == minima[i]).sum(1) >= share * minima.shape[1]]
-                left.append(np.full(len(near), node[i]))
-                right.append(node[near])
-            u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v), pa.int64()), pa.array(np.minimum(u, v), pa.int64())], ["u", "v"])
-
-        kept = None
         for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "root")]
-            raw = b"".join(batch.column("minima").to_pylist())
-            new.append(np.frombuffer(raw, np.uint8).reshape(len(new[0]), ROWS * BANDS))
-            kept = new if kept is None else [np.concatenate(x) for x in zip(kept, new)]
-            cut = np.flatnonzero(kept[0][1:] != kept[0][:-1]) + 1
-            for a, b in zip([0, *cut.tolist()], cut.tolist()):
-                yield pairs(*(x[a:b] for x in kept[1:]))
-            if len(cut):
-                kept = [x[cut[-1] :] for x in kept]
-        if kept is not None and len(kept[0]):
-            yield pairs(*kept[1:])
+            sets = [np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, n)], np.uint64)).tobytes() for t in texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    return run
+
+
+def _forest(share: float, least: float):
+    """Task function: verified links between the components of a bucket, as many as join them and no more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, node, root, minima, hashes in _whole_buckets(batches, ["node", "root", "minima", "hashes"]):
+            sketches = np.frombuffer(b"".join(minima), np.uint8).reshape(len(node), ROWS * BANDS)
+            sets = [np.frombuffer(h, np.uint64) for h in hashes]
+            above: dict[int, int] = {}
+
+            def top(r: int) -> int:
+                while r in above:
+                    r = above[r]
+                return r
+
+            links = []
+            for i, near in _partners(np.array(root), sketches, share):
+                for j in near.tolist():
+                    a, b = top(root[i]), top(root[j])
+                    small, large = sorted((len(sets[i]), len(sets[j])))
+                    if a == b or small < least * large - 1e-9:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both >= least * (small + large - both) - 1e-9:
+                        above[max(a, b)] = min(a, b)
+                        links.append((max(node[i], node[j]), min(node[i], node[j])))
+            u, v = zip(*links) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
@@ -114,11 +197,14 @@ def alike_components(rows: DataFrame, n: int = SHINGLE, least: float = LEAST) ->
     """(node, root) of every node of ``rows`` (node, text); equal texts have one node.
 
     Two texts are linked if the Jaccard similarity of their sets of ``n``-word shingles is at
-    least ``least``, which is checked on the texts. A pair is looked at if it is in one
-    SimHash component (of ``n`` words) or shares one of the MinHash bands. First every member
-    of a bucket is checked against its smallest; buckets in one component then have nothing
-    to add. In the others all pairs of different components are checked, so that a dense
-    group costs no pairs and no bucket is cut. Links are missed only with the bands: at 0.8
+    least ``least``. A pair is looked at if it is in one
+    SimHash component (of ``n`` words) or shares one of the MinHash bands, and if at
+    least ``least - SLACK`` of its minima are equal. First every member
+    of a bucket is checked against its smallest, on the texts; buckets in one component then
+    have nothing to add. In the others, members with a close one in another component are
+    checked where they meet, on sets of 64-bit hashes of their shingles, until they are one
+    component: a bucket gives fewer links than it has members, no pairs leave it, and no
+    bucket is cut. Links are missed only with the bands: at 0.8
     with a probability of 0.0004. Root is the smallest node of a component.
     """
     groups = near_duplicates(rows, "node", "text", n=n).select("node", F.xxhash64("component").alias("key"))
@@ -129,22 +215,30 @@ def alike_components(rows: DataFrame, n: int = SHINGLE, least: float = LEAST) ->
     dealt = nodes.select("node", F.explode("keys").alias("key")).unionByName(groups.distinct())
     shared = stage(dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1"), "buckets")
     members = stage(dealt.join(shared.drop("n"), "key"), "members")
-    stars = stage(members.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct(), "stars")
-    links = _verified(stars, rows, n, least)
+    unstage(shared)
+    stars = members.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
+    close = stage(_close(stars, nodes, least - SLACK), "stars")
+    links = _verified(close, rows, n, least)
+    unstage(close)
     roots = connected_components(links)
     placed = stage(
         members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed"
     )
+    unstage(members)
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = placed.join(mixed, "key").join(nodes.select("node", "minima"), "node")
-    across = (
-        open_.select("key", "node", "root", "minima")
-        .repartition("key")
-        .sortWithinPartitions("key", "node")
-        .mapInArrow(_across(least - SLACK), "u bigint, v bigint")
-        .distinct()
-        .join(stars, ["u", "v"], "left_anti")
+    sketches = nodes.select("node", "minima")
+    open_ = stage(placed.join(mixed, "key").join(sketches, "node").select("key", "node", "root", "minima"), "open")
+    unstage(placed)
+    asking = stage(
+        open_.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_asking(least - SLACK), "key bigint, node bigint"), "asking"
+    )
+    texts_ = rows.join(asking.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").cast("string").alias("text"))
+    sets = stage(texts_.mapInArrow(_hashed(n), "node bigint, hashes binary"), "sets")
+    met = open_.join(asking, ["key", "node"]).join(sets, "node").select("key", "node", "root", "minima", "hashes")
+    more = stage(
+        met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_forest(least - SLACK, least), "u bigint, v bigint").distinct(), "across"
     )
-    more = _verified(stage(across, "across"), rows, n, least)
+    for done in (open_, asking, sets):
+        unstage(done)
     found = connected_components(links.unionByName(more))
     return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

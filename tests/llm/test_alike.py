@@ -57,3 +57,17 @@ def test_all_documents(spark):
     groups = lambda names: sorted(map(sorted, ({i for i, n in names.items() if n == m} for m in set(names.values()))))
     want = dict(zip([r.doc_id for r in rows], brute([r.text for r in rows])))
     assert groups(found) == groups(want) and len(set(want.values())) < len(want)
+
+
+def test_many_variants_of_one_text(spark):
+    """Variants that share bands with each other without being alike, and some that are: the same as brute force."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    rows = []
+    for _ in range(300):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(copy), "s"))
+    want = sorted(set(brute([t for _, t, _ in rows])))
+    assert kept(spark, rows) == want and 1 < len(want) < 200

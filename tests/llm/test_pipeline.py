@@ -4,11 +4,11 @@ from collections import Counter
 
 import pytest
 from compare import compare, database
-from test_simhash import components, fingerprint
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 from shelfmark.llm import mixing, oracles, queries
+from shelfmark.llm.alike import alike, shingles
 
 FOLDER = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -47,10 +47,23 @@ def test_filters(spark, stages, name, label, good):
 
 
 def test_near_duplicates(stages):
+    """Five-word Jaccard of 0.8 against brute force; one document of each component stays, the smallest id."""
     before, after = stages["near-duplicates"]
     rows = sorted(before.collect(), key=lambda r: r.doc_id)
-    root = components([fingerprint(r.text) for r in rows])
-    assert sorted(r.doc_id for r in after.collect()) == sorted(rows[i].doc_id for i in set(root.tolist()))
+    sets = [shingles((r.text or "").encode()) for r in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    assert sorted(r.doc_id for r in after.collect()) == sorted(rows[i].doc_id for i in {top(i) for i in range(len(rows))})
 
 
 def test_near_duplicates_of_awkward_rows(spark):
