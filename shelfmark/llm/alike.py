@@ -84,23 +84,26 @@ def _close(edges: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
     return edges.join(ends[1], "v").join(ends[0], "u").select("u", "v", "minima_u", "minima_v").mapInArrow(run, "u bigint, v bigint")
 
 
-def _verified(edges: DataFrame, rows: DataFrame, n: int, least: float) -> DataFrame:
-    """The ``edges`` (u, v) whose texts are alike, each text read from ``rows`` (node, text)."""
-    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    found = stage(rows.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+def _jaccard_reached(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """``alike`` of two sets of shingles as sorted hashes."""
+    small, large = sorted((len(a), len(b)))
+    if small < least * large - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (small + large - both) - 1e-9
+
+
+def _verified(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The ``edges`` (u, v) whose ``sets`` (node, hashes) are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(texts(batch, "text_u"), texts(batch, "text_v"))
-            ok = pa.array([alike(shingles(a, n), shingles(b, n), least) for a, b in pairs], pa.bool_())
-            yield batch.select(["u", "v"]).filter(ok)
+            pairs = zip(*([np.frombuffer(h, np.uint64) for h in batch.column(c).to_pylist()] for c in ("hashes_u", "hashes_v")))
+            yield batch.select(["u", "v"]).filter(pa.array([_jaccard_reached(x, y, least) for x, y in pairs], pa.bool_()))
 
-    both = edges.join(found.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v").join(
-        found.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u"
-    )
-    verified = stage(both.mapInArrow(run, "u bigint, v bigint"), "verified")
-    unstage(found)
-    return verified
+    ends = [sets.select(F.col("node").alias(e), F.col("hashes").alias(f"hashes_{e}")) for e in "uv"]
+    both = edges.join(ends[1], "v").join(ends[0], "u").select("u", "v", "hashes_u", "hashes_v")
+    return stage(both.mapInArrow(run, "u bigint, v bigint"), "verified")
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list]:
@@ -180,11 +183,7 @@ def _forest(share: float, least: float):
             for i, near in _partners(np.array(root), sketches, share):
                 for j in near.tolist():
                     a, b = top(root[i]), top(root[j])
-                    small, large = sorted((len(sets[i]), len(sets[j])))
-                    if a == b or small < least * large - 1e-9:
-                        continue
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if both >= least * (small + large - both) - 1e-9:
+                    if a != b and _jaccard_reached(sets[i], sets[j], least):
                         above[max(a, b)] = min(a, b)
                         links.append((max(node[i], node[j]), min(node[i], node[j])))
             u, v = zip(*links) if links else ((), ())
@@ -199,11 +198,11 @@ def alike_components(rows: DataFrame, n: int = SHINGLE, least: float = LEAST) ->
     Two texts are linked if the Jaccard similarity of their sets of ``n``-word shingles is at
     least ``least``. A pair is looked at if it is in one
     SimHash component (of ``n`` words) or shares one of the MinHash bands, and if at
-    least ``least - SLACK`` of its minima are equal. First every member
-    of a bucket is checked against its smallest, on the texts; buckets in one component then
+    least ``least - SLACK`` of its minima are equal; it is checked on the sets of 64-bit
+    hashes of its shingles. First every member
+    of a bucket is checked against its smallest; buckets in one component then
     have nothing to add. In the others, members with a close one in another component are
-    checked where they meet, on sets of 64-bit hashes of their shingles, until they are one
-    component: a bucket gives fewer links than it has members, no pairs leave it, and no
+    checked where they meet, until they are one component: a bucket gives fewer links than it has members, no pairs leave it, and no
     bucket is cut. Links are missed only with the bands: at 0.8
     with a probability of 0.0004. Root is the smallest node of a component.
     """
@@ -218,7 +217,10 @@ def alike_components(rows: DataFrame, n: int = SHINGLE, least: float = LEAST) ->
     unstage(shared)
     stars = members.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
     close = stage(_close(stars, nodes, least - SLACK), "stars")
-    links = _verified(close, rows, n, least)
+    # one plan at every size: texts of members are shuffled once, to be cut into shingles where they meet
+    texts_ = rows.join(members.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").cast("string").alias("text"))
+    sets = stage(texts_.mapInArrow(_hashed(n), "node bigint, hashes binary"), "sets")
+    links = _verified(close, sets, least)
     unstage(close)
     roots = connected_components(links)
     placed = stage(
@@ -232,8 +234,6 @@ def alike_components(rows: DataFrame, n: int = SHINGLE, least: float = LEAST) ->
     asking = stage(
         open_.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_asking(least - SLACK), "key bigint, node bigint"), "asking"
     )
-    texts_ = rows.join(asking.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").cast("string").alias("text"))
-    sets = stage(texts_.mapInArrow(_hashed(n), "node bigint, hashes binary"), "sets")
     met = open_.join(asking, ["key", "node"]).join(sets, "node").select("key", "node", "root", "minima", "hashes")
     more = stage(
         met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_forest(least - SLACK, least), "u bigint, v bigint").distinct(), "across"
