@@ -41,10 +41,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = found.groupBy("root").agg(first).select(
         F.col("first.doc_id").alias("_id"), F.col("first._text_hash").alias("_hash")
     )
-    same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_text_hash"] == kept["_hash"])
+    # null ids as a key of their own; join and choice are dealt by the same keys, so texts move once
+    key = ["_none", "_key", "_text_hash"]
+    keyed = lambda df, id_: df.withColumns({"_none": F.col(id_).isNull(), "_key": F.coalesce(F.col(id_).cast("string"), F.lit(""))})
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    once = Window.partitionBy("doc_id", "_text_hash").orderBy(*others, "text")
-    return rows.join(kept, same).withColumn("_n", F.row_number().over(once)).where("_n = 1").select(docs.columns)
+    once = Window.partitionBy(*key).orderBy(*others, "text")
+    chosen = keyed(kept, "_id").withColumnRenamed("_hash", "_text_hash").select(key).hint("merge")
+    return keyed(rows, "doc_id").join(chosen, key, "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
