@@ -25,8 +25,9 @@ def labelled_sample(
     per_class: int,
     id_col: str = "doc_id",
     text_col: str = "text",
+    values: Sequence[int] = (0, 1),
 ) -> DataFrame:
-    """(_text, _label) of at most ``per_class`` documents of each label, 0 and 1.
+    """(_id, _text, _label) of at most ``per_class`` documents of each label in ``values``.
 
     Only label rows for which ``train`` holds are read. Other labels and nulls are
     left; an id labelled twice counts as 1 if one of its labels is. Of each class the
@@ -42,7 +43,7 @@ def labelled_sample(
     rows = two_columns(docs, id_col, text_col)
     known = known.join(rows.select("_id").distinct(), "_id", "left_semi")
     chosen = None
-    for value in (0, 1):
+    for value in values:
         some = known.where(F.col("_label") == value).orderBy("_at", "_id").limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
     return (
@@ -52,6 +53,16 @@ def labelled_sample(
     )
 
 
+def text_sample(docs: DataFrame, size: int, text_col: str = "text") -> DataFrame:
+    """(_id, _text) of at most ``size`` different texts of the whole table, those with the smallest hash.
+
+    Labels and ids play no part; null is the empty text. The hashes, at most ``size``, are broadcast.
+    """
+    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_id", F.xxhash64("_text"))
+    chosen = rows.select("_id").distinct().orderBy("_id").limit(size)
+    return rows.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("_text").alias("_text"))
+
+
 def collect_features(sample: DataFrame, features: Callable[[bytes], np.ndarray]) -> list[tuple[int, np.ndarray]]:
     """(label, features) of the sampled documents, in order of id; features are made on the executors."""
 

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import collect_features, labelled_sample, rows_of, score_texts, sigmoid, sums
+from .labelled import collect_features, labelled_sample, rows_of, score_texts, sigmoid, sums, text_sample
 
 PER_CLASS = 5000
 #: Words and beginnings are hashed into this many places, of which each has LEVELS numbers.
@@ -88,17 +88,20 @@ class Model:
 
 
 def without_copies(docs: list[np.ndarray]) -> list[int]:
-    """Which documents share no mark with an earlier one.
+    """Which documents do not share more than half of their marks with one earlier document that stays.
 
     Copies of one document in the sample would make its rare words look like evidence.
+    Documents that only have a passage in common all stay.
     """
-    seen: set[int] = set()
+    owners: dict[int, list[int]] = {}
     first = []
     for i, d in enumerate(docs):
         marks = d[d < 0].tolist()
-        if seen.isdisjoint(marks):
+        shared = Counter(j for m in marks for j in owners.get(m, ()))
+        if not shared or 2 * max(shared.values()) <= len(marks):
             first.append(i)
-        seen.update(marks)
+            for m in marks:
+                owners.setdefault(m, []).append(i)
     return first
 
 
@@ -170,19 +173,11 @@ def nnpu(
     return theta[:-1], float(theta[-1])
 
 
-def fit(sample: list[tuple[int, np.ndarray]], prior: float | None) -> Model:
-    """A model from confirmed positives (label 1) and the whole sample as unlabelled text.
-
-    ``prior`` is the share of positives among unlabelled texts.
-    """
-    sample = [(sample[i][0], sample[i][1][sample[i][1] >= 0]) for i in without_copies([d for _, d in sample])]
-    positive = [d for y, d in sample if y == 1]
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float | None) -> Model:
+    """A model from confirmed positives and unlabelled text, of which ``prior`` is the share of positives."""
     if not positive or prior is None:
         return Model({}, -40.0)
-    negative = [d for y, d in sample if y != 1]
-    # as many of the positives as the prior asks for make the unlabelled sample complete
-    hidden = positive[: max(1, round(prior / max(1e-9, 1 - prior) * len(negative)))]
-    unlabelled = negative + hidden
+    positive, unlabelled = ([docs[i][docs[i] >= 0] for i in without_copies(docs)] for docs in (positive, unlabelled))
     places = vocabulary(positive, unlabelled)
     if not len(places):
         return Model({}, float(np.log(min(prior, 0.49) / (1 - min(prior, 0.49)))))
@@ -210,9 +205,9 @@ def toxicity(
     """(id, or the columns ``keep``, score, predicted) of every row: how likely a text is toxic, from the text alone.
 
     The confirmed examples are at most ``per_class`` documents labelled 1 for which
-    ``train`` holds. The unlabelled text is that of at most as many documents with
-    label 0, together with so many confirmed ones that the share of the class in it is
-    that in all label rows of ``train``; its labels are not used. The classifier is
+    ``train`` holds. The unlabelled text is that of at most as many different texts of
+    the whole table, whether labelled or not; no label of theirs is used. The share of
+    the class in it is taken to be that in all label rows of ``train``. The classifier is
     fitted on the driver; texts are scored whole, on the executors. Null and empty texts
     get the score of a text without any known word. Without a confirmed example every
     score is near 0; without any word that tells the classes apart it is the share of the
@@ -221,7 +216,9 @@ def toxicity(
     """
     known = labels.where(F.col(label).isin(0, 1) & F.coalesce(train, F.lit(False)))
     prior = known.agg(F.avg(label)).first()[0]
-    sample = labelled_sample(docs, labels, label, train, per_class, id_col, text_col)
-    model = fit(collect_features(sample, features), prior)
+    confirmed = labelled_sample(docs, labels, label, train, per_class, id_col, text_col, values=(1,))
+    unlabelled = text_sample(docs, per_class, text_col).withColumn("_label", F.lit(0))
+    positive, rest = ([d for _, d in collect_features(sample, features)] for sample in (confirmed, unlabelled))
+    model = fit(positive, rest, prior)
     scored = score_texts(docs, model.scorer, text_col, keep or [id_col])
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.llm import nbsvm, toxicity
-from shelfmark.llm.labelled import fold, labelled_sample, sigmoid
+from shelfmark.llm.labelled import fold, labelled_sample, sigmoid, text_sample
 from shelfmark.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.1"
@@ -93,3 +93,39 @@ def test_unlabelled_positives_do_not_count_as_negatives():
     marked = [np.array([int(rng.integers(0, 3))]) for _ in range(100)]
     weight, bias = toxicity.nnpu(marked[:50], clean + marked[50:], 3, 50 / 350)
     assert (sigmoid(weight + bias) > 0.5).all() and sigmoid(np.array([bias]))[0] < 0.5
+
+
+def test_risk_falls_as_by_plain_steps():
+    """One Adam step from a plain finite-difference gradient of the risk gives the same weights."""
+    rng = np.random.default_rng(5)
+    docs = [np.unique(rng.integers(0, 6, 4)) for _ in range(40)]
+    positive, unlabelled, prior = docs[:10], docs[10:], 0.2
+
+    def score(theta, d):
+        return 1 / (1 + np.exp(-(theta[d].sum() + theta[-1])))
+
+    def risk(theta):
+        fp, fu = (np.mean([score(theta, d) for d in part]) for part in (positive, unlabelled))
+        return prior * (1 - fp) + max(0.0, fu - prior * fp) + 0.5e-4 * (theta[:-1] ** 2).sum()
+
+    theta = np.append(np.zeros(6), -1.0)
+    slope = np.array([(risk(theta + e) - risk(theta - e)) / 2e-6 for e in 1e-6 * np.eye(7)])
+    plain = theta - 0.1 * slope / (np.abs(slope) + 1e-8)
+    weight, bias = toxicity.nnpu(positive, unlabelled, 6, prior, epochs=1)
+    assert np.allclose(np.append(weight, bias), plain, atol=1e-4)
+
+
+def test_shared_passages_are_no_copies():
+    marks = lambda *m: np.array([-1 - x for x in sorted(m, reverse=True)] + [3, 7], np.int32)
+    one, copy = marks(*range(8)), marks(*range(5), 20, 21, 22)
+    passage = [marks(0, 1, *range(100 * i, 100 * i + 6)) for i in range(1, 30)]
+    assert toxicity.without_copies([one, copy, one, *passage]) == [0, *range(3, 32)]
+
+
+def test_texts_for_the_unlabelled_part(spark):
+    rows = [(i, f"t{i % 40}", 1) for i in range(200)] + [(None, None, 2), (None, "", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int")
+    everything = text_sample(docs, 1000).collect()
+    assert sorted(r._text for r in everything) == sorted({t or "" for _, t, _ in rows})
+    some = sorted(r._text for r in text_sample(docs, 10).collect())
+    assert len(some) == 10 and some == sorted(r._text for r in text_sample(docs.repartition(5), 10).collect())
