@@ -1,8 +1,8 @@
 """Joins of a large table with keys, safe against hot keys.
 
-Existence tests are plain semi and anti joins on plain tables: adaptive execution splits
-a hot key of the left side. It cannot where the right side is an aggregate; there the
-keys are salted.
+Semi and anti joins are plain: adaptive execution splits a hot key of the left side.
+It cannot in an existence join, or where the right side is an aggregate; there the keys
+are salted.
 """
 
 from __future__ import annotations
@@ -15,11 +15,19 @@ from pyspark.sql import functions as F
 SALT = 16
 
 
-def flagged(left: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
-    """Add ``name``: does the row's key occur in ``keys``? Null keys do not."""
-    there = left.join(keys.select(key), key, "left_semi").select(*left.columns, F.lit(True).alias(name))
-    gone = left.join(keys.select(key), key, "left_anti").select(*left.columns, F.lit(False).alias(name))
-    return there.unionByName(gone)
+def flagged(left: DataFrame, keys: DataFrame, key: str, name: str, spread: Sequence[str], salt: int = SALT) -> DataFrame:
+    """Add ``name``: does the row's key occur in ``keys``? Null keys do not.
+
+    One existence join, for which the left side is read once. The rows of a key are
+    dealt to ``salt`` tasks by the columns ``spread``, and the keys are repeated as often.
+    """
+    # the key under a name of its own, as the subquery would find its own column of that name first
+    dealt = left.withColumns({"_asked": F.col(key), "_salt": F.pmod(F.xxhash64(*spread), F.lit(salt)).cast("int")})
+    copies = keys.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("_there"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_dealt")
+    )
+    same = (F.col("_there") == F.col("_asked").outer()) & (F.col("_dealt") == F.col("_salt").outer())
+    return dealt.select(*left.columns, copies.where(same).exists().alias(name))
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread: Sequence[str], salt: int = SALT) -> DataFrame:

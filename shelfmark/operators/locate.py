@@ -86,7 +86,9 @@ def resolve_paths(
     Resources may be a table of their own (dataset_id, pos, name, path) instead.
     """
     columns = ["id", "source", "metadata_uri", *([] if resources is not None else ["datapackage"])]
-    found = flagged(catalog.select(columns), folders, "id", "_local").withColumnRenamed("id", "dataset_id")
+    spread = row_key(catalog)
+    asked = catalog.select(*columns, *[F.col(c).alias(f"_{c}") for c in spread])
+    found = flagged(asked, folders, "id", "_local", [f"_{c}" for c in spread]).select(F.col("id").alias("dataset_id"), *columns[1:], "_local")
     if resources is not None:
         own = resources.select("dataset_id", "pos", F.struct("name", "path").alias("_r"))
         found = own.join(found, "dataset_id")

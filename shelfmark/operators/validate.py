@@ -135,7 +135,7 @@ def _with_found(leaves: DataFrame, files: DataFrame) -> DataFrame:
     path = F.col("path")
     asked = leaves.withColumn("_path", F.when(~blank(path), path))
     there = files.select(path.alias("_path"))
-    return flagged(asked, there, "_path", "_found").drop("_path")
+    return flagged(asked, there, "_path", "_found", ["dataset_id", "pos"]).drop("_path")
 
 
 def validate(

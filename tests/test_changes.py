@@ -201,11 +201,11 @@ def test_existence_joins(spark, hot):
     assert rows(by_ids(hot, ids), "id", "pos") == rows(hot.filter("id in ('hot', 'id-1', 'id-2')"), "id", "pos")
     assert rows(remove(hot, ids), "id", "pos") == rows(hot.filter("id not in ('hot', 'id-1', 'id-2')"), "id", "pos")
     asked = hot.unionByName(spark.createDataFrame([(None, -1, "x")], "id string, pos long, name string"))
-    found = flagged(asked, ids, "id", "there")
+    found = flagged(asked, ids, "id", "there", ["pos"])
     assert found.columns == ["id", "pos", "name", "there"]
     assert found.count() == 3001 and found.filter("there").count() == 1002
     assert remove(asked, ids).count() == 1999
-    assert flagged(hot.limit(0), ids, "id", "there").count() == 0
+    assert flagged(hot.limit(0), ids, "id", "there", ["pos"]).count() == 0
 
 
 def test_existence_joins_split_a_hot_key(spark):
@@ -224,11 +224,16 @@ def test_existence_joins_split_a_hot_key(spark):
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("plans", "plans")
     try:
-        plans = [by_ids(left, ids), remove(left, ids), flagged(left, ids, "id", "there")]
+        plans = [by_ids(left, ids), remove(left, ids), flagged(left, ids, "id", "there", ["pos"])]
         assert not tracker.getJobIdsForGroup("plans")
         for df in (plans[0], plans[1]):
             df.collect()
             assert "skew=true" in plan_of(df)
+        # one existence join, the left side once, its hot key in many tasks
+        plan = plan_of(plans[2])
+        assert plan.count("ExistenceJoin") == 1 and plan.count("Range (0, 60000") == 1
+        sizes = plans[2].where("id = 'hot' AND there").groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in sizes) == 20_000 and max(r["count"] for r in sizes) < 12_000
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         for k in settings:
