@@ -25,7 +25,7 @@ HEADLINE = (
     "resolve_paths", "slug_with_collisions", "infer_types", "declared_cast_failures",
     "build_descriptors", "build_leaves", "sync_plan", "render_pages", "catalog_lines", "read_resource",
     "list_files", "catalog_dir", "infer_resources", "resource_failures", "materialize", "write_pages",
-    "read_delimited_long_comments", "create_register_save", "backfill_saved",
+    "read_delimited_long_comments", "create_register_save", "backfill_saved", "search_indexed",
 )
 
 

@@ -2,6 +2,7 @@
 
 from .catalog import Catalog
 from .functions.similarity import token_set_ratio
+from .operators.index import search_indexed, write_search_index
 from .operators.infer import (
     build_descriptors,
     build_leaves,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.similarity import token_set_ratio
-from ..operators import lookup, search
+from ..operators import index, lookup, search
+from ..session import fresh_path
 from .registry import query
 from .views import DOCS, PARTS, docs, parts, table
 
@@ -98,6 +99,15 @@ def keyword_search_topk(spark, folder):
     return search.search(parts(spark, folder), PART_WORDS, limit=10).select("pos", "id", "score")
 
 
+@query("search_indexed", PART_SEARCH + "SELECT pos, id, name, score FROM scored WHERE score >= 50")
+def search_indexed(spark, folder):
+    """The index of all parts is written, then searched."""
+    path, catalog = fresh_path(spark, "index"), parts(spark, folder)
+    index.write_search_index(catalog, path)
+    found = index.search_indexed(spark, path, PART_WORDS)
+    return catalog.select("pos", "id", "name").join(found, ["pos", "id"]).select("pos", "id", "name", "score")
+
+
 @query(
     "search_score_all",
     PART_SEARCH + "SELECT pos, id, score FROM scored",
