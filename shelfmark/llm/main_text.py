@@ -18,9 +18,9 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose content is no markup.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg annotation annotation-xml".split())
 #: Elements that are no part of an article.
-LEFT = frozenset("nav footer aside form dialog menu select search".split())
+LEFT = frozenset("nav footer aside dialog menu select search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form".split())
 #: Words in classes and ids of what is no part of an article.
 _MARKS = frozenset(
@@ -94,7 +94,7 @@ class _Page:
         self.links.append(0)
         inside = self.inside[parent]
         self.inside.append(inside or name in ("article", "main"))
-        left, marks = name in LEFT or (name == "header" and not inside), set()
+        left, marks = name in LEFT or (name == "header" and not inside), {"form"} & {name}
         if attributes and name not in ("html", "body", "main"):
             for m in _ATTRIBUTE.finditer(attributes):
                 key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
@@ -233,7 +233,8 @@ def _anchor(page: _Page) -> int:
     It is the first h1 that is in no marked element, or else the first in a place for titles
     only. If there is none, and no article or main outside of marked elements has text, it
     is the longest article in one, or else the first h1, if that holds more text than is
-    outside of all marked elements.
+    outside of all marked elements. Forms count as marked; a page without all these, whose
+    text is in forms only, has its longest form with a paragraph instead.
     """
     n, name, parent = len(page.name), page.name, page.parent
     left, top, strong = list(page.left), [0] * n, [0] * n  # the outermost marked element around, and that not for titles
@@ -264,16 +265,20 @@ def _anchor(page: _Page) -> int:
     if articles:
         best = max(articles, key=lambda i: (chars[i], -i))
         return best if chars[best] > outside else 0
-    return headings[0] if headings and chars[strong[headings[0]]] > outside else 0
+    if headings:
+        return headings[0] if chars[strong[headings[0]]] > outside else 0
+    told = {strong[node] for node, *_ in page.runs if name[node] == "p"}
+    forms = [i for i in told if name[i] == "form" and not left[i]]
+    return max(forms, key=lambda i: (chars[i], -i)) if forms and not outside else 0
 
 
 def main_text(source: str | None) -> str:
     """The article of a page: its blocks in order, joined by two line feeds.
 
-    Elements that are no article by name, role, class or id are left out, unless one that
-    only its class or id tells of holds the page's first heading or article (see
+    Elements that are no article by name, role, class or id are left out, unless a form or one
+    that only its class or id tells of holds the page's first heading or article (see
     :func:`_anchor`). A class or id tells by whole names, like ``comments`` or ``cookie-notice``;
-    ``has-sidebar`` and ``ad-free`` are other names. Of the rest,
+    ``has-sidebar`` and ``ad-free`` are other names. Formulas are text. Of the rest,
     the element with the largest sum of its children's densities is the main text; the
     smallest density between it and the body is the threshold, and every element that
     reaches it adds the element of the largest sum inside it. An ``article`` or ``main`` element

@@ -92,6 +92,26 @@ def test_rescued():
     assert main_text(f"<body><article class=widget><h2>T</h2>{inside}</article></body>") == want
 
 
+@pytest.mark.parametrize("inside", ["<h1>Title</h1>{}", "<article><h1>Title</h1>{}</article>", "<article><h2>Title</h2>{}</article>", "<div><h2>Title</h2>{}</div>"])
+def test_page_in_a_form(inside):
+    article = inside.format(f"<p>{LONG}</p><p>{LONG}</p>")
+    search = "<form action=/search><p>Search here<input></form>"
+    page = f"<body><form id=aspnetForm method=post><nav><a href=x>Home</a></nav><div>{article}{search}</div><footer>End</footer></form>"
+    assert main_text(page) == "\n\n".join(["Title", LONG.strip(), LONG.strip()])
+
+
+def test_forms_without_article():
+    assert main_text("<body><form><label>Name</label><input><div>Your name, please</div></form>") == ""
+    assert main_text(f"<body><p>{LONG}</p><form><h1>Write to us</h1><p>{LONG * 3}</p></form>") != ""
+    assert main_text(f"<body><h1>A</h1><p>{LONG}</p><form><p>{LONG * 3}</p></form>") == "A\n\n" + LONG.strip()
+
+
+def test_formulas_and_objects():
+    formula = "<math><semantics><mi>pi</mi> <mi>r</mi><annotation encoding=tex>\\pi r</annotation></semantics></math>"
+    page = f"<article><p>Area is {formula} here.</p><p>See <object data=x><param name=a>the table</object>.</p></article>"
+    assert main_text(page) == "Area is pi r here.\n\nSee the table."
+
+
 def test_text_of_blocks():
     page = "<article><header class=header><h1>A&nbsp;&amp B</h1></header><p>a <b>b</b>c<br>d &lt;p&gt; 1 < 2 &#x1D11E;<p>\n x \t y</p>z<table><tr><td>1<td>2</table></article>"
     assert main_text(page) == "A & B\n\na bc d <p> 1 < 2 𝄞\n\nx y\n\nz\n\n1\n\n2"
