@@ -8,9 +8,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .words import let, two_columns, words
 
-#: Places n-grams are hashed into.
+#: Places n-grams are hashed into; they are kept as short numbers.
 PLACES = 1 << 14
 #: Documents with a mean log-likelihood ratio below it are not kept, in millionths.
 THRESHOLD = -150_000
@@ -26,26 +27,25 @@ _HASH = 15  # hexadecimal digits of MD5
 def _place(word: Column) -> Column:
     """Place of a word: its MD5's first 15 digits, as a number, modulo PLACES. Four digits tell that."""
     low = F.conv(F.substring(F.md5(word), _HASH - 3, 4), 16, 10).cast("int")
-    return low.bitwiseAND(F.lit(PLACES - 1))
+    return low.bitwiseAND(F.lit(PLACES - 1)).cast("short")
 
 
 def _end(word: Column) -> Column:
     """Place of the last three characters of a word, from their code points."""
-    number = sum(F.ascii(F.substring(word, -k, k)).cast("long") * m for k, m in zip((3, 2, 1), _FACTORS))
-    return number.bitwiseAND(F.lit(PLACES - 1).cast("long")).cast("int")
 
+    def of(end: Column) -> Column:
+        tails = (end, F.substring(end, -2, 2), F.substring(end, -1, 1))
+        number = sum(F.ascii(t).cast("long") * m for t, m in zip(tails, _FACTORS))
+        return number.bitwiseAND(F.lit(PLACES - 1).cast("long")).cast("short")
 
-def _places(w: Column) -> Column:
-    """Places of the n-grams of a text: its words ``w``, pairs of words, and the last three characters of words."""
+    return let(F.substring(word, -3, 3), of)
 
-    def of(one: Column) -> Column:
-        two = F.transform(
-            F.slice(one, F.lit(2), F.greatest(F.size(one) - 1, F.lit(0))),
-            lambda x, i: (F.get(one, i) * 31 + x).bitwiseAND(F.lit(PLACES - 1)),
-        )
-        return F.concat(one, two, F.transform(w, _end))
 
-    return let(F.transform(w, _place), of)
+def _places(one: Column, end: Column) -> Column:
+    """Places of the n-grams of a text: its words ``one``, pairs of words, and the ends of words ``end``."""
+    n = F.greatest(F.size(one) - 1, F.lit(0))
+    two = F.zip_with(F.slice(one, F.lit(1), n), F.slice(one, F.lit(2), n), lambda a, b: (a * 31 + b).bitwiseAND(F.lit(PLACES - 1)).cast("short"))
+    return F.concat(one, two, end)
 
 
 def _covered(starts: Column) -> Column:
@@ -86,7 +86,7 @@ def _repeat_words(m: Column) -> Column:
 
 
 def base_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, counts and base_failed of every row, and _places of its n-grams).
+    """(_id, counts and base_failed of every row, and the places of its words, _one, and of their ends, _end).
 
     See :func:`quality_rules` for the columns.
     """
@@ -102,25 +102,25 @@ def base_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .otherwise(0).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.transform("_w", lambda x: F.xxhash64(x))).cast("long").alias("n_repeat_words"),
-        _places(F.col("_w")).alias("_places"),
+        F.transform("_w", _place).alias("_one"),
+        F.transform("_w", _end).alias("_end"),
     ).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def place_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def place_counts(base: DataFrame, trusted: DataFrame) -> DataFrame:
     """(place, r, t): how often the n-grams of all texts, and of those with an id in ``trusted``, fall on a place.
 
-    Only texts whose ids may be trusted are shuffled to the join that decides; all others
-    are counted where they are read. Every text is cut into n-grams once.
+    ``base`` is that of :func:`base_rules`. Only rows whose ids may be trusted are shuffled to
+    the join that decides; all others are counted where they are read.
     """
-    rows = two_columns(docs, id_col, text_col).withColumn("_maybe", F.coalesce(_maybe_in(trusted, F.col("_id")), F.lit(False)))
+    rows = base.select("_id", "_one", "_end").withColumn("_maybe", F.coalesce(_maybe_in(trusted, F.col("_id")), F.lit(False)))
     # one plan at every size: small ids would be broadcast, large ones not
     marked = trusted.select("_id", F.lit(True).alias("_trusted")).hint("merge")
-    some = rows.where("_maybe").join(marked, "_id", "left").select("_text", F.coalesce("_trusted", F.lit(False)).alias("_trusted"))
-    others = rows.where("NOT _maybe").select("_text", F.lit(False).alias("_trusted"))
+    some = rows.where("_maybe").join(marked, "_id", "left").withColumn("_trusted", F.coalesce("_trusted", F.lit(False)))
+    others = rows.where("NOT _maybe").withColumn("_trusted", F.lit(False))
 
     def counted(part: DataFrame) -> DataFrame:
-        w = part.select(words(F.col("_text")).alias("_w"), "_trusted")
-        places = w.select(F.explode(_places(F.col("_w"))).alias("place"), "_trusted")
+        places = part.select(F.explode(_places(F.col("_one"), F.col("_end"))).alias("place"), "_trusted")
         return places.groupBy("place").agg(F.count("*").alias("r"), F.count_if("_trusted").alias("t"))
 
     both = counted(some).unionByName(counted(others))
@@ -179,12 +179,15 @@ def quality_rules(
     others; an empty table gives no rows; other columns are left.
     """
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("_id")).distinct()
-    ratios = log_ratios(place_counts(docs, trusted, id_col, text_col))
+    # written, so that texts are read and cut into n-grams once for counting and judging
+    base = stage(base_rules(docs, id_col, text_col), "places")
+    ratios = log_ratios(place_counts(base, trusted))
     weights = F.from_json(F.lit(json.dumps(ratios)), "array<bigint>")
+    places = _places(F.col("_one"), F.col("_end"))
     total = F.aggregate("_places", F.lit(0).cast("long"), lambda a, p: a + F.get(weights, p))
     n = F.size("_places")
     return (
-        base_rules(docs, id_col, text_col)
+        base.withColumn("_places", places)
         .withColumn("_total", total)
         .select(
             F.col("_id").alias(id_col),
