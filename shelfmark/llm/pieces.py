@@ -17,9 +17,10 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 SPACE = "▁"
 _BASE = 0x9E3779B97F4A7C15 | 1
-#: Texts encoded at a time, in bytes, and words remembered by a task.
+#: Texts encoded at a time, in bytes, and words and (as a power of two) pairs of pieces remembered by a task.
 CHUNK = 1 << 19
 CACHED = 250_000
+PAIRS = 20
 SEEN = 21
 _NEVER = 1 << 40
 #: Stands for a character that is no piece.
@@ -161,13 +162,31 @@ def compatible(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def viterbi(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+class Pairs:
+    """:func:`compatible` for one vocabulary, with pairs met before remembered: one pair for each of 2^PAIRS places."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.v = v
+        self.known = np.full(1 << PAIRS, -1, np.int64)  # a pair, and in the last bit whether it fits
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = ((a + 2 << 31) + b + 2) * 2  # neither is below UNKNOWN
+        at = (pair.view(np.uint64) * np.uint64(_BASE) >> np.uint64(64 - PAIRS)).view(np.int64)
+        found = self.known[at]
+        new = np.flatnonzero(found & ~1 != pair)
+        if len(new):
+            found[new] = pair[new] + compatible(self.v, a[new], b[new])
+            self.known[at[new]] = found[new]
+        return found & 1 == 1
+
+
+def viterbi(v: Vocabulary, words: list[str], fits: Pairs | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of words of one length end to end, and how many each word has; all words advance together.
 
     For every end the substrings that end there are looked up by hash; the value of a
     path through one is that up to its start plus its own. In a unigram model that is the
     score. In a byte-pair model it is 0 if the piece may follow the last piece of the path
-    (see :func:`compatible`), and minus infinity if not; one path is left, that of merging.
+    (see :func:`compatible`, asked by ``fits``), and minus infinity if not; one path is left, that of merging.
     The maxima over all starts give the backpointers. Characters that are no piece become
     their bytes, or the unknown id.
     """
@@ -181,6 +200,7 @@ def viterbi(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     value[0] = 0.0
     piece, size = np.full((n + 1, m), -1, np.int64), np.zeros((n + 1, m), np.int64)
     rare = v.score[v.ids].min() - 10.0
+    fits = fits or Pairs(v)
     for e in range(1, n + 1):
         longest = min(e, v.longest)
         s = np.arange(e - 1, e - longest - 1, -1)
@@ -189,7 +209,7 @@ def viterbi(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         row, at = np.nonzero((found != -1) & (value[s] > -np.inf))  # row 0 has substrings of one character
         ids, start = found[row, at], s[row]
         if v.kind == "bpe":
-            ok = compatible(v, piece[start, at], ids)
+            ok = fits(piece[start, at], ids)
             row, at, ids = row[ok], at[ok], ids[ok]
             value[e, at], piece[e, at], size[e, at] = 0.0, ids, row + 1
             continue
@@ -240,21 +260,34 @@ def _spelled(v: Vocabulary, words: list[str], ids: np.ndarray, counts: np.ndarra
     return np.array(out, np.int64), np.array(found)
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges end to end, each ``size`` numbers from ``start`` on."""
+    until = np.cumsum(size)
+    return np.repeat(start - until + size, size) + np.arange(until[-1] if len(until) else 0)
+
+
 class Encoder:
-    """Encodes texts word by word; words met before are remembered, up to ``cached`` of them."""
+    """Encodes texts word by word; words met before are remembered. Of more than ``cached`` the most used half stays."""
 
     def __init__(self, v: Vocabulary, cached: int = CACHED) -> None:
-        self.v, self.cached = v, cached
+        self.v, self.cached, self.fits = v, cached, Pairs(v)
         line = "" if v.find(np.array([_key("\n")], np.uint64))[0] >= 0 else "\n"
         # a word begins at its blanks; a line feed that is no piece stands alone
         self._words = re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + (f"|{line}" if line else "")).findall
-        self._clear()
-
-    def _clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.uses = np.empty(0, np.int64)
         self.flat = np.empty(0, np.int32)
         self.start = np.zeros(1, np.int64)
 
+    def _forget(self) -> None:
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[: self.cached // 2])
+        words = list(self.known)
+        self.known = {words[i]: n for n, i in enumerate(stay.tolist())}
+        size = np.diff(self.start)[stay]
+        self.flat = self.flat[_ranges(self.start[stay], size)]
+        self.start = np.concatenate(([0], np.cumsum(size)))
+        self.uses = self.uses[stay] // 2
+
     def _learn(self, words: Iterable[str]) -> None:
         new = sorted(words, key=len)
         found: list[np.ndarray] = []
@@ -265,12 +298,13 @@ class Encoder:
             end = at
             while end < len(new) and len(new[end]) == n and end - at < max(1, 100_000 // n):
                 end += 1
-            ids, counts = viterbi(self.v, new[at:end])
+            ids, counts = viterbi(self.v, new[at:end], self.fits)
             found.append(ids)
             sizes.append(counts)
             at = end
         first = len(self.known)
         self.known.update((w, first + i) for i, w in enumerate(new))
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
         self.flat = np.concatenate([self.flat, *found])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
 
@@ -279,14 +313,15 @@ class Encoder:
         split = [self._words(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         flat = [w for words in split for w in words]
         if len(self.known) > self.cached:
-            self._clear()
+            self._forget()
         new = {w for w in flat if w not in self.known}
         if new:
             self._learn(new)
         index = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        size = (self.start[1:] - self.start[:-1])[index]
+        self.uses += np.bincount(index, minlength=len(self.known))
+        size = np.diff(self.start)[index]
         until = np.concatenate(([0], np.cumsum(size)))
-        ids = self.flat[np.repeat(self.start[:-1][index] - until[:-1], size) + np.arange(until[-1])]
+        ids = self.flat[_ranges(self.start[index], size)]
         words = np.concatenate(([0], np.cumsum([len(w) for w in split]))).astype(np.int64)
         return ids, until[words]
 
