@@ -13,11 +13,6 @@ def blank(col: Column) -> Column:
     return F.coalesce(col, F.lit("")) == ""
 
 
-def no_match(*cols: str) -> Column:
-    """A join key that spreads rows and equals no text of a file or an id (NUL first)."""
-    return F.concat(F.lit("\0"), F.xxhash64(*cols).cast("string"))
-
-
 def _ascii_table() -> tuple[str, str]:
     """Accented Latin letters and their base letter, from the Unicode decompositions."""
     pairs = {}
