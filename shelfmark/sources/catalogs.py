@@ -60,13 +60,13 @@ def read_catalog_json(
     """
     files = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
     # an array as a whole, or nothing: a broken one is one rejected document
-    items = F.from_json("value", "array<string>")
     whole = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>").isNotNull()
+    # the mark is in the items: beside the explode, a file would be parsed again for each of them
+    marked = lambda items, mark: F.transform(items, lambda b: F.struct(b.alias("body"), F.lit(mark).alias("whole")))
+    items = F.when(whole, marked(F.from_json("value", "array<string>"), True)).otherwise(marked(F.array("value"), False))
     docs = files.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.posexplode(F.when(whole, items).otherwise(F.array("value"))).alias("_n", "body"),
-        whole.alias("whole"),
-    ).select("file", F.col("_n").cast("long").alias("index"), F.col("body"), "whole")
+        F.col("_metadata.file_path").alias("file"), F.posexplode(items).alias("_n", "_item")
+    ).select("file", F.col("_n").cast("long").alias("index"), "_item.body", "_item.whole")
     return _sorted_out(docs, ["file", "index"], with_rejects)
 
 
