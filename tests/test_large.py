@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 
-from conftest import plan_of
+import duckdb
+from compare import compare
+from conftest import TABLES, plan_of
 
+from shelfmark.plans import QUERIES, SQL
 from shelfmark.sources.catalogs import read_catalog_json
 
 
@@ -17,3 +20,19 @@ def test_an_array_is_not_parsed_again_for_each_of_its_items(spark, tmp_path):
     assert generate and "value#" not in above
     assert [r.id for r in catalog.orderBy("pos").select("id").collect()] == [str(i) for i in range(20)]
     assert rejects.isEmpty()
+
+
+def test_types_of_a_table_whose_first_split_has_no_row(spark, tmp_path):
+    """One row group in the middle of its file belongs to a later split."""
+    con = duckdb.connect()
+    for name in ("customer", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{TABLES}/{name}.parquet')")
+        spark.read.parquet(f"{TABLES}/{name}.parquet").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "1000")
+    try:
+        error, n, _, _ = compare(QUERIES["infer_resources"](spark, str(tmp_path)), con, SQL["infer_resources"])
+    finally:
+        spark.conf.set(size, before)
+    assert (error, n) == (None, 2)
