@@ -19,13 +19,13 @@ def flagged(left: DataFrame, keys: DataFrame, key: str, name: str, spread: Seque
     """Add ``name``: does the row's key occur in ``keys``? Null keys do not.
 
     One existence join, for which the left side is read once. The rows of a key are
-    dealt to ``salt`` tasks by the columns ``spread``, and the keys are repeated as often.
+    dealt to ``salt`` tasks by the columns ``spread``, and the different keys are repeated as
+    often. Spark's size estimate does not see the repeats, so the keys are never broadcast.
     """
     # the key under a name of its own, as the subquery would find its own column of that name first
     dealt = left.withColumns({"_asked": F.col(key), "_salt": F.pmod(F.xxhash64(*spread), F.lit(salt)).cast("int")})
-    copies = keys.where(F.col(key).isNotNull()).select(
-        F.col(key).alias("_there"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_dealt")
-    )
+    there = keys.where(F.col(key).isNotNull()).select(F.col(key).alias("_there")).distinct()
+    copies = there.withColumn("_dealt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).hint("merge")
     same = (F.col("_there") == F.col("_asked").outer()) & (F.col("_dealt") == F.col("_salt").outer())
     return dealt.select(*left.columns, copies.where(same).exists().alias(name))
 
@@ -34,11 +34,12 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread: Sequence[
     """Left join with an aggregate that is unique on ``key``.
 
     The rows of a key are dealt to ``salt`` tasks by the columns ``spread``, and the
-    aggregate, which is small against the left side, is repeated as often.
+    aggregate, which is small against the left side, is repeated as often; it is not
+    broadcast, as Spark's size estimate does not see the repeats.
     """
     payload = [c for c in right.columns if c != key]
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salt)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).hint("merge")
     return dealt.join(copies, [key, "_salt"], "left").select(*left.columns, *payload)
 
 

@@ -7,7 +7,9 @@ import json
 import duckdb
 from compare import compare
 from conftest import TABLES, plan_of
+from pyspark.sql import functions as F
 
+from shelfmark.operators.joins import flagged, salted_lookup
 from shelfmark.plans import QUERIES, SQL
 from shelfmark.sources.catalogs import read_catalog_json
 
@@ -36,3 +38,18 @@ def test_types_of_a_table_whose_first_split_has_no_row(spark, tmp_path):
     finally:
         spark.conf.set(size, before)
     assert (error, n) == (None, 2)
+
+
+def test_repeated_keys_are_not_broadcast(spark):
+    left = spark.range(100).select(F.col("id").cast("string").alias("key"), F.col("id").alias("pos"))
+    right = left.filter("pos % 2 = 0").select("key")
+    asked, looked = flagged(left, right, "key", "there", ["pos"]), salted_lookup(left, right.groupBy("key").count(), "key", ["pos"])
+    assert "Broadcast" not in plan_of(asked) + plan_of(looked)
+    assert asked.filter("there").count() == looked.filter("count = 1").count() == 50
+
+
+def test_a_key_that_is_listed_twice_is_repeated_once(spark):
+    left = spark.range(10).select(F.col("id").cast("string").alias("key"), F.col("id").alias("pos"))
+    found = flagged(left, left.crossJoin(spark.range(50).select("id")), "key", "there", ["pos"])
+    assert found.filter("there").count() == found.count() == 10
+    assert "HashAggregate" in plan_of(found).partition("Generate")[2]
