@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators.joins import flagged, salted_lookup
 from shelfmark.plans import QUERIES, SQL
+from shelfmark.plans.views import spread
 from shelfmark.sources.catalogs import read_catalog_json
 
 
@@ -53,3 +54,21 @@ def test_a_key_that_is_listed_twice_is_repeated_once(spark):
     found = flagged(left, left.crossJoin(spark.range(50).select("id")), "key", "there", ["pos"])
     assert found.filter("there").count() == found.count() == 10
     assert "HashAggregate" in plan_of(found).partition("Generate")[2]
+
+
+def test_one_row_group_in_many_splits_is_spread(spark, tmp_path):
+    spark.range(2000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "200")
+    try:
+        found = spread(spark.read.parquet(f"{tmp_path}/one"))
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set(size, before)
+    assert sum(sizes) == 2000 and max(sizes) < 500
+
+
+def test_parts_with_nested_values_are_spread(spark):
+    for name in ("search_nested_values", "validate_catalog"):
+        assert "REPARTITION_BY_NUM" in plan_of(QUERIES[name](spark, TABLES))
