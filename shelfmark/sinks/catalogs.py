@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import row_key
 from ..operators.shape import with_document
+from ..session import stage
 from ..sources.files import as_uri, file_system
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,7 +31,7 @@ def write_catalog(catalog: DataFrame, path: str, overwrite: bool = False) -> Non
 def write_catalog_json(catalog: DataFrame, path: str, overwrite: bool = False) -> None:
     """One descriptor per line in catalog order, keys sorted at every level."""
     mode = "overwrite" if overwrite else "errorifexists"
-    lines = with_document(catalog).orderBy("pos").select(F.to_json("raw").alias("value"))
+    lines = with_document(catalog.orderBy("pos")).select(F.to_json("raw").alias("value"))
     lines.write.mode(mode).text(path)
 
 
@@ -58,9 +59,11 @@ def write_catalog_array(
     all datasets, streamed by one task: for small catalogs that other tools read.
     """
     mode = "overwrite" if overwrite else "errorifexists"
-    docs = with_document(catalog).orderBy("pos").select(F.to_json("raw").alias("doc"))
-    if single_file:
-        docs = docs.coalesce(1)
+    # documents are made after the sort: before it, the sample of its bounds would make them, too
+    docs = with_document(catalog.orderBy("pos")).select(F.to_json("raw").alias("doc"))
+    if single_file:  # made by many tasks, before the one that only strings them together
+        made = with_document(catalog).select("pos", F.to_json("raw").alias("doc"))
+        docs = stage(made, "documents").orderBy("pos").select("doc").coalesce(1)
     elif catalog.isEmpty():
         docs = docs.repartition(1)  # one task, which writes the empty array
     docs.mapInArrow(_as_array, "value string").write.mode(mode).text(path)

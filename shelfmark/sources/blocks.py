@@ -25,6 +25,8 @@ from .files import file_system
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 4 << 20
+#: Bytes that a task reads of a large input, block after block.
+SHARE = 16 << 20
 _BOM = b"\xef\xbb\xbf"
 _BLANK = b" \t\r\n"
 
@@ -51,14 +53,21 @@ class _Open:
         return data
 
 
+def _dealt(blocks: DataFrame, block: int) -> DataFrame:
+    """Blocks dealt to tasks: a few for each core, or more with ``SHARE`` bytes each."""
+    n = blocks.count()
+    few = 4 * blocks.sparkSession.sparkContext.defaultParallelism
+    return blocks.repartition(max(1, min(n, max(few, n * block // SHARE))), "uri", "block")
+
+
 def file_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """(uri, size, block, start) of all blocks of a file or of the files of a folder, dealt to as many tasks."""
+    """(uri, size, block, start) of all blocks of a file or of the files of a folder, dealt to tasks."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("uri"), F.col("length").alias("size"))
     numbers = F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("size") - F.lit(1), F.lit(0)) / F.lit(block)))
     blocks = stage(
         files.select("uri", "size", F.explode(numbers).alias("block")).select("*", (F.col("block") * F.lit(block)).alias("start")), "blocks"
     )
-    return blocks.repartition(max(1, min(blocks.count(), 20_000)), "uri", "block")
+    return _dealt(blocks, block)
 
 
 # ---- JSON arrays ------------------------------------------------------------------
@@ -211,15 +220,14 @@ def _as_batch(uri: str, found: list[tuple[int, bytes, bool]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["file", "index", "body", "whole"])
 
 
-def _in_file_order(steps: DataFrame, through: Callable, schema: str) -> DataFrame:
+def _in_file_order(steps: DataFrame, through: Callable, schema: str, block: int) -> DataFrame:
     """The composed steps: one small row for each block, in file order."""
     ordered = steps.repartition("uri").sortWithinPartitions("uri", "block")
-    entered = stage(ordered.mapInArrow(through, schema), "entered")
-    return entered.repartition(max(1, min(entered.count(), 20_000)), "uri", "block")
+    return _dealt(stage(ordered.mapInArrow(through, schema), "entered"), block)
 
 
 def json_array_records(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """(file, index, body, whole): the items of the JSON arrays of files, cut by as many tasks as there are blocks.
+    """(file, index, body, whole): the items of the JSON arrays of files, cut block by block by many tasks.
 
     ``index`` is the place of an item's first byte. ``whole`` is false for what is no item of a
     complete array: a file that does not begin with a bracket (one row), text behind
@@ -228,7 +236,7 @@ def json_array_records(spark: SparkSession, path: str, block: int = BLOCK) -> Da
     """
     names = ", ".join(f"{n}{s} long" for s in range(3) for n in ("to", "by"))
     steps = stage(file_blocks(spark, path, block).mapInArrow(_json_steps(block), f"uri string, size long, block long, start long, begins string, {names}"), "steps")
-    entered = _in_file_order(steps, _json_entered, "uri string, size long, block long, start long, state long, depth long, first string")
+    entered = _in_file_order(steps, _json_entered, "uri string, size long, block long, start long, state long, depth long, first string", block)
     return entered.mapInArrow(_json_records(block), "file string, index long, body string, whole boolean")
 
 
@@ -392,7 +400,7 @@ def delimited_records(spark: SparkSession, path: str, sep: str = ",", comment: s
     kind = Delimited(sep, comment)
     blocks = file_blocks(spark, path, block)
     steps = stage(blocks.mapInArrow(_delimited_steps(kind, block), "uri string, size long, block long, start long, exits array<long>"), "steps")
-    entered = _in_file_order(steps, _delimited_entered, "uri string, size long, block long, start long, state long")
+    entered = _in_file_order(steps, _delimited_entered, "uri string, size long, block long, start long, state long", block)
     cut = _delimited_records(kind, block)
     schema = "file string, start long, data binary"
     # the first block that has a record: mostly the very first

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators.joins import flagged, salted_lookup
 from shelfmark.plans import QUERIES, SQL
 from shelfmark.plans.views import spread
+from shelfmark.sources.blocks import file_blocks
 from shelfmark.sources.catalogs import read_catalog_json
 
 
@@ -72,3 +73,10 @@ def test_one_row_group_in_many_splits_is_spread(spark, tmp_path):
 def test_parts_with_nested_values_are_spread(spark):
     for name in ("search_nested_values", "validate_catalog"):
         assert "REPARTITION_BY_NUM" in plan_of(QUERIES[name](spark, TABLES))
+
+
+def test_small_blocks_share_tasks(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": str(i)} for i in range(2000)]))
+    blocks = file_blocks(spark, str(tmp_path), 16)
+    assert blocks.count() > 1000
+    assert blocks.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
