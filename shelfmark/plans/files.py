@@ -20,7 +20,7 @@ from ..sinks.catalogs import (
 from ..sinks.materialize import materialize
 from ..sinks.pages import render_pages, write_pages
 from ..sources.catalogs import read_catalog, read_catalog_dir, read_catalog_json, read_catalog_lines
-from ..sources.files import list_files
+from ..sources.files import list_files, read_texts
 from ..sources.tables import read_delimited, read_json_resource, read_resource
 from .registry import query
 from .views import PARTS, parts, table, tag, text, with_raw
@@ -327,8 +327,8 @@ def written_pages(spark, folder):
     path = fresh_path(spark, "pages")
     shared = parts(spark, folder).withColumn("id", F.col("name"))
     write_pages(render_pages(shared, "short"), path)
-    files = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract("_metadata.file_name", "^(.*?)(--[0-9]+)?[.]md$", 1).alias("slug"),
+    files = read_texts(list_files(spark, path, glob="*.md")).select(
+        F.regexp_extract("path", "^(.*?)(--[0-9]+)?[.]md$", 1).alias("slug"),
         F.regexp_count("value", F.lit('(?s)^---\ntitle: ".*\n---\n  $')).alias("whole"),
     )
     return files.groupBy("slug").agg(F.sum("whole").alias("n"))

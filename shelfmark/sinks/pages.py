@@ -94,5 +94,7 @@ def write_pages(pages: DataFrame, path: str, overwrite: bool = False, extension:
     alone = counted.filter(F.col("n").isNull()).select(F.col("slug").alias("file"), "page")
     many = dense_position(counted.filter(F.col("n").isNotNull()).drop("n"), ["id", "page"], by=["slug"], name="at")
     files = alone.unionByName(many.select(F.concat_ws("--", "slug", "at").alias("file"), "page"))
-    written = files.mapInArrow(_write_files(as_uri(path), extension), "file string")
+    # small rows lie in few splits, but a file costs far more than moving its row
+    dealt = files.repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "file")
+    written = dealt.mapInArrow(_write_files(as_uri(path), extension), "file string")
     written.write.format("noop").mode("overwrite").save()

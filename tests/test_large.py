@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from shelfmark.operators.joins import flagged, salted_lookup
 from shelfmark.plans import QUERIES, SQL
 from shelfmark.plans.views import spread
+from shelfmark.sinks.pages import write_pages
 from shelfmark.sources.blocks import file_blocks
 from shelfmark.sources.catalogs import read_catalog_json
+from shelfmark.sources.files import list_files, read_texts
 
 
 def test_an_array_is_not_parsed_again_for_each_of_its_items(spark, tmp_path):
@@ -80,3 +82,11 @@ def test_small_blocks_share_tasks(spark, tmp_path):
     blocks = file_blocks(spark, str(tmp_path), 16)
     assert blocks.count() > 1000
     assert blocks.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_texts_of_many_files(spark, tmp_path):
+    rows = spark.range(300).select(F.lit("page").alias("slug"), F.col("id").cast("string").alias("id"), F.concat(F.lit("é\n"), F.col("id")).alias("page"))
+    write_pages(rows.coalesce(1), str(tmp_path / "pages"))
+    found = read_texts(list_files(spark, str(tmp_path / "pages"), glob="*.md"))
+    assert sorted(r.value for r in found.collect()) == sorted(f"é\n{i}" for i in range(300))
+    assert found.select(F.spark_partition_id()).distinct().count() > 8
