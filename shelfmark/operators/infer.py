@@ -423,7 +423,7 @@ def build_descriptors(
     packages = (
         resources.groupBy(F.col("dataset_id").alias("id"))
         .agg(
-            F.array_sort(F.collect_list(F.struct("pos", F.struct(*RESOURCE.names).alias("r")))).alias("_rs")
+            F.sort_array(F.collect_list(F.struct("pos", F.struct(*RESOURCE.names).alias("r")))).alias("_rs")
         )
         .select(
             "id",

@@ -52,3 +52,25 @@ def dense_position(
         .withColumn(name, (F.col("_before") + F.col("_row") - F.col("_first")).cast("long"))
         .drop("_part", "_row", "_first", "_before", *keys.values())
     )
+
+
+def scan_position(df: DataFrame, blocks: Sequence[str], name: str = "pos") -> DataFrame:
+    """Add the 0-based rank of each row of a scan: by ``blocks``, inside a block as it is read.
+
+    ``blocks`` tell the blocks of files apart; a task reads the rows of one in order. So no row is
+    sorted or moved: they are written once with a number, and the counts of the blocks, one row for
+    each, pass through a window.
+    """
+    placed = stage(df.withColumn("_row", F.monotonically_increasing_id()), "position")
+    earlier = Window.orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy(*blocks)
+        .agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .drop("_n")
+    )
+    return (
+        placed.join(F.broadcast(offsets), list(blocks))
+        .withColumn(name, (F.col("_before") + F.col("_row") - F.col("_first")).cast("long"))
+        .drop("_row", "_first", "_before")
+    )

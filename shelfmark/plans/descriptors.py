@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import infer, locate, mutate, shape
 from ..operators.position import dense_position
-from ..session import fresh_path
+from ..session import fresh_path, stage
 from ..sinks.catalogs import write_catalog_json
 from ..sources.catalogs import read_catalog_lines
 from .registry import query
@@ -142,16 +142,20 @@ def _order_files(spark, folder):
         tag("customer-", "o_custkey").alias("dataset_id"),
         F.col("o_orderpriority").alias("name"),
         F.concat(F.lit("dataset/"), text("o_orderkey"), F.lit(".csv")).alias("path"),
-        F.lit("csv").alias("format"),
-        F.lit("text/csv").alias("mediatype"),
-        F.lit("utf-8").alias("encoding"),
-        F.lit("tabular-data-resource").alias("profile"),
-        F.struct(
-            F.array(F.struct(F.lit("key").alias("name"), F.lit("integer").alias("type"), none.alias("format"))).alias("fields"),
-            F.array(F.lit("")).alias("missingValues"),
-        ).alias("schema"),
     )
-    return dense_position(files, ["path"], by=["dataset_id"])
+    # what all files share is added behind the sort
+    return dense_position(files, ["path"], by=["dataset_id"]).withColumns(
+        {
+            "format": F.lit("csv"),
+            "mediatype": F.lit("text/csv"),
+            "encoding": F.lit("utf-8"),
+            "profile": F.lit("tabular-data-resource"),
+            "schema": F.struct(
+                F.array(F.struct(F.lit("key").alias("name"), F.lit("integer").alias("type"), none.alias("format"))).alias("fields"),
+                F.array(F.lit("")).alias("missingValues"),
+            ),
+        }
+    )
 
 
 _FILES = """
@@ -218,13 +222,16 @@ FROM (SELECT * FROM have UNION ALL SELECT * FROM fresh) a LEFT JOIN files f ON f
 )
 def create_register_save(spark, folder):
     """Descriptors are built, added to a catalog, saved as lines and read again."""
-    built = _described(spark, folder)
+    # built once: for the sample of a sort, the sort, and the new rows; saving makes the documents
+    built = stage(_described(spark, folder).drop("raw"), "built")
     old = F.expr("cast(substring(id, 10) AS long) % 3 = 0")
     have = dense_position(built.filter(old).drop("pos"), ["id"])
-    merged, _ = mutate.add(have, built.filter(~old).drop("raw"))
+    merged, _ = mutate.add(have, built.filter(~old))
     path = fresh_path(spark, "registered")
     write_catalog_json(merged, path)
-    files = F.transform("datapackage.resources", lambda r: F.concat(r["path"], F.lit(":"), r["name"]))
+    # of the packages only what is asked for is taken out of the documents
+    saved = F.try_variant_get("raw", "$.datapackage.resources", "array<struct<name string, path string>>")
+    files = F.transform(saved, lambda r: F.concat(r["path"], F.lit(":"), r["name"]))
     return read_catalog_lines(spark, path).select(
         "pos", "id", "name", "source", "metadata_uri", F.coalesce(F.array_join(files, " "), F.lit("")).alias("resources")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import row_key
-from ..operators.shape import with_document
+from ..operators.shape import with_document, with_text
 from ..session import stage
 from ..sources.files import as_uri, file_system
 
@@ -31,7 +31,7 @@ def write_catalog(catalog: DataFrame, path: str, overwrite: bool = False) -> Non
 def write_catalog_json(catalog: DataFrame, path: str, overwrite: bool = False) -> None:
     """One descriptor per line in catalog order, keys sorted at every level."""
     mode = "overwrite" if overwrite else "errorifexists"
-    lines = with_document(catalog.orderBy("pos")).select(F.to_json("raw").alias("value"))
+    lines = with_text(catalog.orderBy("pos"), "value").select("value")
     lines.write.mode(mode).text(path)
 
 
@@ -60,9 +60,9 @@ def write_catalog_array(
     """
     mode = "overwrite" if overwrite else "errorifexists"
     # documents are made after the sort: before it, the sample of its bounds would make them, too
-    docs = with_document(catalog.orderBy("pos")).select(F.to_json("raw").alias("doc"))
+    docs = with_text(catalog.orderBy("pos")).select("doc")
     if single_file:  # made by many tasks, before the one that only strings them together
-        made = with_document(catalog).select("pos", F.to_json("raw").alias("doc"))
+        made = with_text(catalog).select("pos", "doc")
         docs = stage(made, "documents").orderBy("pos").select("doc").coalesce(1)
     elif catalog.isEmpty():
         docs = docs.repartition(1)  # one task, which writes the empty array
@@ -112,7 +112,7 @@ def export_catalog_dir(
     twice = catalog.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").first()
     if twice:
         raise ValueError(f"{twice['n']} rows have the id {twice['id']!r}")
-    docs = with_document(catalog).select("id", F.to_json("raw").alias("doc"))
+    docs = with_text(catalog).select("id", "doc")
     written = docs.mapInArrow(_write_documents(as_uri(path), descriptor), "id string")
     written.write.format("noop").mode("overwrite").save()
 

@@ -2,33 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.position import dense_position
+from ..operators.position import dense_position, scan_position
 from ..operators.shape import normalize
 from ..session import stage
 from .blocks import BLOCK, json_array_records
 
 
 def _sorted_out(
-    docs: DataFrame, order: list[str], with_rejects: bool
+    docs: DataFrame, order: list[str], with_rejects: bool, place: Callable[..., DataFrame] = dense_position
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
     """The catalog of documents (file, the columns ``order``, body), and what is none.
 
-    A document is a JSON object. With ``with_rejects`` all others are returned as (file,
+    ``place`` gives the positions in this order. A document is a JSON object. With ``with_rejects`` all others are returned as (file,
     index, body, reason); without, the first one met is an error.
     """
     parsed = docs.withColumn("raw", F.try_parse_json("body"))
     if "whole" in docs.columns:  # an object where an array is asked for is no catalog
         parsed = parsed.withColumn("raw", F.when(F.col("whole"), F.col("raw")))
-    is_object = F.try_variant_get("raw", "$", "map<string,variant>").isNotNull()
-    good = F.coalesce(is_object, F.lit(False))
+    # of valid JSON, an object is what opens with a brace
+    good = F.col("raw").isNotNull() & F.col("body").rlike(r"^\x{FEFF}?\s*\{")
     if not with_rejects:
         fault = F.raise_error(F.concat(F.lit("no descriptor in "), F.coalesce("file", F.lit("")))).cast("variant")
         whole = parsed.withColumn("raw", F.when(good, F.col("raw")).otherwise(fault))
-        return normalize(dense_position(whole.drop("body"), order).select("pos", "raw"))
-    catalog = normalize(dense_position(parsed.where(good).drop("body"), order).select("pos", "raw"))
+        return normalize(place(whole.drop("body"), order).select("pos", "raw"))
+    catalog = normalize(place(parsed.where(good).drop("body"), order).select("pos", "raw"))
     reason = F.when(F.col("raw").isNull(), "not valid JSON").otherwise("not a JSON object")
     return catalog, parsed.where(~good).select("file", "index", "body", reason.alias("reason"))
 
@@ -89,8 +91,8 @@ def read_catalog_lines(
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Datasets of JSON Lines files; ``pos`` is the line number over all files in path order.
 
-    Inside one block of a file the ids grow with the lines, so (file, block, id) is
-    the order of the lines, whatever way blocks were given to tasks. Blank lines are
+    Inside one block of a file lines are read in order, so they are counted by (file, block),
+    whatever way blocks were given to tasks, and not sorted. Blank lines are
     skipped; a line that holds no object is an error, or a row of the second table.
     """
     lines = (
@@ -103,7 +105,7 @@ def read_catalog_lines(
         )
         .filter(F.trim("body") != "")
     )
-    return _sorted_out(lines, ["file", "block", "index"], with_rejects)
+    return _sorted_out(lines, ["file", "block"], with_rejects, scan_position)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:

@@ -10,11 +10,12 @@ from conftest import TABLES, plan_of
 from pyspark.sql import functions as F
 
 from shelfmark.operators.joins import flagged, salted_lookup
+from shelfmark.operators.shape import with_document, with_text
 from shelfmark.plans import QUERIES, SQL
 from shelfmark.plans.views import spread
 from shelfmark.sinks.pages import write_pages
 from shelfmark.sources.blocks import file_blocks
-from shelfmark.sources.catalogs import read_catalog_json
+from shelfmark.sources.catalogs import read_catalog_json, read_catalog_lines
 from shelfmark.sources.files import list_files, read_texts
 
 
@@ -90,3 +91,35 @@ def test_texts_of_many_files(spark, tmp_path):
     found = read_texts(list_files(spark, str(tmp_path / "pages"), glob="*.md"))
     assert sorted(r.value for r in found.collect()) == sorted(f"é\n{i}" for i in range(300))
     assert found.select(F.spark_partition_id()).distinct().count() > 8
+
+
+def test_documents_of_columns_are_written_without_a_variant(spark):
+    package = "struct<profile string, resources array<struct<path string, name string, schema struct<missingValues array<string>, fields array<struct<name string, type string>>>>>>"
+    new = spark.createDataFrame(
+        [(0, "a", 'é "x"\n', ["t", None], ("p", [("b", None, (["", None], [("n", "t")])), None])), (1, "b", None, None, None), (2, "", None, [], ("p", None))],
+        f"pos long, id string, name string, tags array<string>, datapackage {package}",
+    )
+    want = [r.doc for r in with_document(new).select("pos", F.to_json("raw").alias("doc")).orderBy("pos").collect()]
+    assert [r.doc for r in with_text(new).orderBy("pos").collect()] == want
+    assert want[2] == '{"datapackage":{"profile":"p"},"id":"","tags":[]}'
+    # beside rows with a document, of which one has a changed column and keys of its own
+    old = with_document(new.filter("pos < 2")).withColumn("raw", F.when(F.col("pos") == 0, F.parse_json(F.lit('{"z": [1.50], "id": "a", "name": "old"}'))).otherwise(F.col("raw")))
+    both = old.unionByName(new.filter("pos = 2"), allowMissingColumns=True)
+    assert [r.doc for r in with_text(both).orderBy("pos").collect()] == [
+        want[0][:-1] + ',"z":[1.5]}', want[1], want[2]
+    ]
+
+
+def test_lines_are_numbered_without_a_sort(spark, tmp_path):
+    lines = [line for i in range(300) for line in (json.dumps({"id": f"{i:04}"}), *[" "] * (i % 3))]
+    for k, part in enumerate((lines[:250], [""], lines[250:])):
+        (tmp_path / f"part-{k}.txt").write_text("\n".join(part) + "\n")
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "500")
+    try:
+        catalog = read_catalog_lines(spark, str(tmp_path))
+        assert [(r.pos, r.id) for r in catalog.orderBy("pos").collect()] == [(i, f"{i:04}") for i in range(300)]
+        assert "Sort " not in plan_of(catalog).partition("Broadcast")[0] and "SortMergeJoin" not in plan_of(catalog)
+    finally:
+        spark.conf.set(size, before)
