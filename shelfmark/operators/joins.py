@@ -2,7 +2,7 @@
 
 Semi and anti joins are plain: adaptive execution splits a hot key of the left side.
 It cannot in an existence join, or where the right side is an aggregate; there the keys
-are salted.
+are salted, or written first.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 SALT = 16
 
 
@@ -30,6 +32,19 @@ def flagged(left: DataFrame, keys: DataFrame, key: str, name: str, spread: Seque
     return dealt.select(*left.columns, copies.where(same).exists().alias(name))
 
 
+def known(left: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """Add ``name``: does the row's key occur in ``keys``? Null keys do not.
+
+    For a left side of mostly different keys, where :func:`flagged` would repeat all keys for
+    the sake of a few hot ones. The different keys are written once, so that the join has no
+    aggregate on its right side and adaptive execution splits a hot key of its left side. They
+    are not broadcast: their size in a file says little of their size in memory.
+    """
+    there = stage(keys.where(F.col(key).isNotNull()).select(F.col(key).alias("_there")).distinct(), "keys").hint("merge")
+    joined = left.withColumn("_asked", F.col(key)).join(there, F.col("_asked") == F.col("_there"), "left")
+    return joined.select(*left.columns, F.col("_there").isNotNull().alias(name))
+
+
 def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread: Sequence[str], salt: int = SALT) -> DataFrame:
     """Left join with an aggregate that is unique on ``key``.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, list_block, metadata_uri, parent_uri, slug
-from .joins import flagged, row_key, salted_lookup
+from .joins import flagged, known, row_key, salted_lookup
 
 # Hosts whose raw files can be fetched, and from where.
 RAW_HOSTS = {"github.com": "https://raw.githubusercontent.com"}
@@ -86,9 +86,14 @@ def resolve_paths(
     Resources may be a table of their own (dataset_id, pos, name, path) instead.
     """
     columns = ["id", "source", "metadata_uri", *([] if resources is not None else ["datapackage"])]
-    spread = row_key(catalog)
-    asked = catalog.select(*columns, *[F.col(c).alias(f"_{c}") for c in spread])
-    found = flagged(asked, folders, "id", "_local", [f"_{c}" for c in spread]).select(F.col("id").alias("dataset_id"), *columns[1:], "_local")
+    if resources is not None:
+        # a join follows, with which adaptive execution would not split this one
+        spread = row_key(catalog)
+        asked = catalog.select(*columns, *[F.col(c).alias(f"_{c}") for c in spread])
+        found = flagged(asked, folders, "id", "_local", [f"_{c}" for c in spread])
+    else:
+        found = known(catalog.select(*columns), folders, "id", "_local")
+    found = found.select(F.col("id").alias("dataset_id"), *columns[1:], "_local")
     if resources is not None:
         own = resources.select("dataset_id", "pos", F.struct("name", "path").alias("_r"))
         found = own.join(found, "dataset_id")

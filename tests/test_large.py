@@ -9,7 +9,8 @@ from compare import compare
 from conftest import TABLES, plan_of
 from pyspark.sql import functions as F
 
-from shelfmark.operators.joins import flagged, salted_lookup
+from shelfmark.operators.joins import flagged, known, salted_lookup
+from shelfmark.operators.locate import resolve_paths
 from shelfmark.operators.shape import with_document, with_text
 from shelfmark.plans import QUERIES, SQL
 from shelfmark.plans.views import spread
@@ -123,3 +124,32 @@ def test_lines_are_numbered_without_a_sort(spark, tmp_path):
         assert "Sort " not in plan_of(catalog).partition("Broadcast")[0] and "SortMergeJoin" not in plan_of(catalog)
     finally:
         spark.conf.set(size, before)
+
+
+def test_keys_of_a_catalog_are_not_repeated(spark):
+    catalog = spark.range(20).selectExpr("cast(id AS string) AS id", "'git' AS source", "'u/dataset.json' AS metadata_uri", "named_struct('resources', array(named_struct('name', 'n', 'path', 'p'))) AS datapackage")
+    found = resolve_paths(catalog, catalog.filter("id < 5").union(catalog.filter("id < 5")).select("id"), "/w")
+    assert "sequence" not in plan_of(found) and "Broadcast" not in plan_of(found)
+    assert sorted(r.kind for r in found.collect()) == ["git"] * 15 + ["local"] * 5
+
+
+def test_known_keys_and_a_hot_one(spark):
+    left = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id"))).alias("key"), F.sha2(F.col("id").cast("string"), 512).alias("name")
+    )
+    keys = spark.createDataFrame([("hot",), ("hot",), ("k1",), (None,)], "key string")
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = known(left, keys, "key", "there")
+        got = {(r["key"], r["there"]): r["count"] for r in found.withColumn("key", F.left("key", F.lit(3))).where("key IS NULL OR key IN ('hot', 'k1')").groupBy("key", "there").count().collect()}
+        assert got == {("hot", True): 20_000, ("k1", True): 1, (None, False): 20_000}
+        found.collect()
+        assert "skew=true" in plan_of(found)
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
