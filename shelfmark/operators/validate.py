@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import blank
 from ..schema import LEAF
-from .joins import flagged
+from .joins import known
 
 # Status names and message forms of a report row.
 SUCCESS, WARNING, ERROR = "success", "warning", "error"
@@ -135,7 +135,7 @@ def _with_found(leaves: DataFrame, files: DataFrame) -> DataFrame:
     path = F.col("path")
     asked = leaves.withColumn("_path", F.when(~blank(path), path))
     there = files.select(path.alias("_path"))
-    return flagged(asked, there, "_path", "_found", ["dataset_id", "pos"]).drop("_path")
+    return known(asked, there, "_path", "_found").drop("_path")
 
 
 def validate(

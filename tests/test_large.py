@@ -153,3 +153,8 @@ def test_known_keys_and_a_hot_one(spark):
     finally:
         for k in settings:
             spark.conf.unset(k)
+
+
+def test_listed_paths_are_not_repeated(spark):
+    leaves = QUERIES["validate_report"](spark, TABLES)
+    assert "sequence" not in plan_of(leaves) and "ExistenceJoin" not in plan_of(leaves)
