@@ -32,13 +32,10 @@ def _place(word: Column) -> Column:
 
 def _end(word: Column) -> Column:
     """Place of the last three characters of a word, from their code points."""
-
-    def of(end: Column) -> Column:
-        tails = (end, F.substring(end, -2, 2), F.substring(end, -1, 1))
-        number = sum(F.ascii(t).cast("long") * m for t, m in zip(tails, _FACTORS))
-        return number.bitwiseAND(F.lit(PLACES - 1).cast("long")).cast("short")
-
-    return let(F.substring(word, -3, 3), of)
+    # cut from the word each time: to hold the end in a lambda costs more than cutting it
+    firsts = (F.ascii(F.substring(word, -n, n)) for n in (3, 2, 1))
+    number = sum(c.cast("long") * m for c, m in zip(firsts, _FACTORS))
+    return number.bitwiseAND(F.lit(PLACES - 1).cast("long")).cast("short")
 
 
 def _places(one: Column, end: Column) -> Column:

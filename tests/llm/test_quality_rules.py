@@ -7,9 +7,10 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.llm.oracles import SQL
-from shelfmark.llm.quality_rules import PLACES, quality_rules
+from shelfmark.llm.quality_rules import PLACES, _end, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -100,3 +101,10 @@ def test_sql_on_edges(spark, tmp_path):
     want = con.execute(SQL["op2_quality_rules"])
     assert [d[0] for d in want.description] == out.columns
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in out.collect())
+
+
+def test_ends_of_words_without_a_lambda(spark):
+    words = ["a", "ab", "abc", "abcd", "é", "xé\u3000", "𝄞𝄞𝄞𝄞", "z𝄞"]
+    found = spark.createDataFrame([(w,) for w in words], "w string").select("w", _end(F.col("w")).alias("end"))
+    assert {r.w: r.end for r in found.collect()} == {w: end(w) for w in words}
+    assert "lambda" not in found._jdf.queryExecution().analyzed().toString()
