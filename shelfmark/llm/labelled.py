@@ -89,7 +89,8 @@ def rows_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def sums(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The sum of ``values`` within each document."""
-    total = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
+    total = np.zeros(len(values) + 1)
+    np.cumsum(values, dtype=np.float64, out=total[1:])
     return total[start[1:]] - total[start[:-1]]
 
 

@@ -77,9 +77,12 @@ def log_count_ratio(docs: list[np.ndarray], label: np.ndarray, alpha: float = 1.
     """log of the smoothed share of a feature among those of class 1, over that of class 0."""
     counts = []
     for value in (1, 0):
-        at, _ = rows_of([d for d, y in zip(docs, label) if y == value])
-        c = np.bincount(at, minlength=PLACES) + alpha
-        counts.append(np.log(c / c.sum()))
+        c = np.full(PLACES, alpha)
+        for d, y in zip(docs, label):
+            if y == value:
+                c[d] += 1  # a document has each place once
+        c /= c.sum()
+        counts.append(np.log(c, out=c))
     return counts[0] - counts[1]
 
 
@@ -89,11 +92,15 @@ def dual_coordinate_descent(
     """Weights (in units of the scaled features) of a linear hinge-loss model with squared norm penalty.
 
     One dual variable per document, in [0, c of the document], is moved to its optimum
-    in turn; the weights follow.
+    in turn; the weights follow. Scaled features are made one document at a time, as
+    those of all would be twice the size of the sample.
     """
     rng = np.random.default_rng(seed)
-    x = [ratio[d] / np.sqrt(max(1, len(d))) for d in docs]
-    norm = np.array([v @ v for v in x])
+
+    def scaled(d: np.ndarray) -> np.ndarray:
+        return ratio[d] / np.sqrt(max(1, len(d)))
+
+    norm = np.array([v @ v for v in map(scaled, docs)])
     sign = np.where(label == 1, 1.0, -1.0)
     alpha, w = np.zeros(len(docs)), np.zeros(PLACES)
     for _ in range(epochs):
@@ -101,10 +108,11 @@ def dual_coordinate_descent(
         for i in rng.permutation(len(docs)):
             if not norm[i]:
                 continue
-            gradient = sign[i] * (w[docs[i]] @ x[i]) - 1.0
+            x = scaled(docs[i])
+            gradient = sign[i] * (w[docs[i]] @ x) - 1.0
             new = min(max(alpha[i] - gradient / norm[i], 0.0), c[i])
             if new != alpha[i]:
-                w[docs[i]] += (new - alpha[i]) * sign[i] * x[i]
+                w[docs[i]] += (new - alpha[i]) * sign[i] * x
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3 * c.max():

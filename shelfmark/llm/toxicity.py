@@ -111,10 +111,13 @@ def vocabulary(positive: list[np.ndarray], unlabelled: list[np.ndarray], z: floa
     Those of under three positive documents are left.
     """
     n1, n0 = len(positive), len(unlabelled)
-    found, a = np.unique(rows_of(positive)[0], return_counts=True)
-    found, a = found[a >= 3], a[a >= 3]
+    all_ = rows_of(positive)[0]
+    all_.sort()
+    found = np.unique(all_[2:][all_[2:] == all_[:-2]])
     if not len(found):
         return found
+    a = np.searchsorted(all_, found, "right") - np.searchsorted(all_, found)
+    del all_
     b = np.zeros(len(found), np.int64)
     for d in unlabelled:
         at = np.searchsorted(found, d)
@@ -177,7 +180,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float |
     """A model from confirmed positives and unlabelled text, of which ``prior`` is the share of positives."""
     if not positive or prior is None:
         return Model({}, -40.0)
-    positive, unlabelled = ([docs[i][docs[i] >= 0] for i in without_copies(docs)] for docs in (positive, unlabelled))
+    # numbers are in order, marks first: what follows them is a view, not a copy
+    positive, unlabelled = ([docs[i][np.searchsorted(docs[i], 0) :] for i in without_copies(docs)] for docs in (positive, unlabelled))
     places = vocabulary(positive, unlabelled)
     if not len(places):
         return Model({}, float(np.log(min(prior, 0.49) / (1 - min(prior, 0.49)))))

@@ -1,5 +1,6 @@
 """Toxicity and quality: held-out accuracy, edge rows, and the parts of the training."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -129,3 +130,38 @@ def test_texts_for_the_unlabelled_part(spark):
     assert sorted(r._text for r in everything) == sorted({t or "" for _, t, _ in rows})
     some = sorted(r._text for r in text_sample(docs, 10).collect())
     assert len(some) == 10 and some == sorted(r._text for r in text_sample(docs.repartition(5), 10).collect())
+
+
+def _peak(run):
+    """What ``run`` returns, and how many bytes more than before it held at once."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_fits_hold_no_copies_of_the_sample():
+    rng = np.random.default_rng(5)
+    docs = [np.unique(rng.integers(0, nbsvm.PLACES, 2000)).astype(np.int32) for _ in range(1500)]
+    label = np.arange(len(docs)) % 2
+    sample = sum(d.nbytes for d in docs)
+    ratio, held = _peak(lambda: nbsvm.log_count_ratio(docs, label))
+    assert held < 4 * 8 * nbsvm.PLACES + sample // 4
+    _, held = _peak(lambda: nbsvm.dual_coordinate_descent(docs, ratio, label, np.ones(len(docs)), 1))
+    assert held < 8 * nbsvm.PLACES + sample // 2
+    marked = [np.concatenate((np.arange(-8 * i - 8, -8 * i, dtype=np.int32), d)) for i, d in enumerate(docs)]
+    _, held = _peak(lambda: toxicity.fit(marked[:750], marked[750:], 0.1))
+    assert held < 2 * sample
+
+
+def test_vocabulary_is_that_of_plain_counts():
+    rng = np.random.default_rng(6)
+    positive = [np.unique(rng.zipf(1.3, 60) % 500).astype(np.int32) for _ in range(80)]
+    unlabelled = [np.unique(rng.integers(0, 500, 20)).astype(np.int32) for _ in range(90)]
+    a = {x: sum(x in d for d in positive) for x in range(500)}
+    b = {x: sum(x in d for d in unlabelled) for x in range(500)}
+    share = {x: (a[x] + b[x] + 1) / 172 for x in a}
+    lead = {x: (a[x] / 80 - b[x] / 90) / np.sqrt(share[x] * (1 - share[x]) * (1 / 80 + 1 / 90)) for x in a}
+    want = [x for x in a if a[x] >= 3 and lead[x] >= 3]
+    assert want and toxicity.vocabulary(positive, unlabelled).tolist() == want

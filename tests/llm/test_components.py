@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from shelfmark.llm import components
 from shelfmark.llm.components import connected_components
 
 
@@ -38,3 +39,16 @@ def test_graphs(spark, name):
 
 def test_none(spark):
     assert connected_components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    written = []
+    stage = components.stage
+    monkeypatch.setattr(components, "stage", lambda df, label: written.append(label) or stage(df, label))
+    edges = [(i, i % 7) for i in range(7, 60)]
+    found = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {r.node: r.root for r in found} == plain(edges) and len(found) == 60
+    assert written == ["edges"]
+    written.clear()
+    connected_components(spark.createDataFrame([(2, 1), (3, 2)], "u long, v long")).collect()
+    assert written.count("small") == 1
