@@ -38,11 +38,15 @@ def _end(word: Column) -> Column:
     return number.bitwiseAND(F.lit(PLACES - 1).cast("long")).cast("short")
 
 
+def _pair(a: Column, b: Column) -> Column:
+    """Place of two words that follow each other, from theirs."""
+    return (a * 31 + b).bitwiseAND(F.lit(PLACES - 1))
+
+
 def _places(one: Column, end: Column) -> Column:
-    """Places of the n-grams of a text: its words ``one``, pairs of words, and the ends of words ``end``."""
+    """Places of the n-grams of a text: its words ``one``, pairs of words, and the ends of words ``end``, as ints."""
     n = F.greatest(F.size(one) - 1, F.lit(0))
-    two = F.zip_with(F.slice(one, F.lit(1), n), F.slice(one, F.lit(2), n), lambda a, b: (a * 31 + b).bitwiseAND(F.lit(PLACES - 1)).cast("short"))
-    return F.concat(one, two, end)
+    return F.concat(one, F.zip_with(F.slice(one, F.lit(1), n), F.slice(one, F.lit(2), n), _pair), end)
 
 
 def _covered(starts: Column) -> Column:
@@ -117,7 +121,10 @@ def place_counts(base: DataFrame, trusted: DataFrame) -> DataFrame:
     others = rows.where("NOT _maybe").withColumn("_trusted", F.lit(False))
 
     def counted(part: DataFrame) -> DataFrame:
-        places = part.select(F.explode(_places(F.col("_one"), F.col("_end"))).alias("place"), "_trusted")
+        # word by word instead of by _places: without a lambda all of it is compiled
+        word = part.select("_one", "_end", "_trusted", F.posexplode("_one").alias("i", "one"))
+        three = F.array("one", _pair(F.col("one"), F.get("_one", F.col("i") + 1)), F.get("_end", F.col("i")))
+        places = word.select(F.explode(three).alias("place"), "_trusted").where("place IS NOT NULL")  # the last has no pair
         return places.groupBy("place").agg(F.count("*").alias("r"), F.count_if("_trusted").alias("t"))
 
     both = counted(some).unionByName(counted(others))
@@ -180,11 +187,13 @@ def quality_rules(
     base = stage(base_rules(docs, id_col, text_col), "places")
     ratios = log_ratios(place_counts(base, trusted))
     weights = F.from_json(F.lit(json.dumps(ratios)), "array<bigint>")
+    # as ints, so that the lambdas have nothing to cast
+    ints = base.withColumns({c: F.col(c).cast("array<int>") for c in ("_one", "_end")})
     places = _places(F.col("_one"), F.col("_end"))
     total = F.aggregate("_places", F.lit(0).cast("long"), lambda a, p: a + F.get(weights, p))
     n = F.size("_places")
     return (
-        base.withColumn("_places", places)
+        ints.withColumn("_places", places)
         .withColumn("_total", total)
         .select(
             F.col("_id").alias(id_col),

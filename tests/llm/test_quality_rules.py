@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.llm.oracles import SQL
-from shelfmark.llm.quality_rules import PLACES, _end, quality_rules
+from shelfmark.llm.quality_rules import PLACES, _end, base_rules, place_counts, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -108,3 +108,17 @@ def test_ends_of_words_without_a_lambda(spark):
     found = spark.createDataFrame([(w,) for w in words], "w string").select("w", _end(F.col("w")).alias("end"))
     assert {r.w: r.end for r in found.collect()} == {w: end(w) for w in words}
     assert "lambda" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_places_are_counted_without_a_lambda(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string").localCheckpoint()
+    trusted = spark.createDataFrame([(4,), (10,), (77,)], "_id long")
+    base = base_rules(df).localCheckpoint()
+    counts = place_counts(base, trusted)
+    r, t = Counter(), Counter()
+    for d, text in ROWS:
+        found = places(WORD.findall(text or ""))
+        r.update(found)
+        t.update(found if d in (4, 10, 77) else ())
+    assert {x.place: (x.r, x.t) for x in counts.collect()} == {p: (n, t[p]) for p, n in r.items()}
+    assert "lambda" not in counts._jdf.queryExecution().analyzed().toString()
